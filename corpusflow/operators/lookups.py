@@ -1,0 +1,34 @@
+"""Joins of a large table with one expected to be small, without trusting that it is."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F, types as T
+
+BROADCAST_ROWS = 20_000
+SALTS = 64
+
+
+def join_small(
+    df: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    max_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join with the broadcast of ``small`` if it has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows and the rows read are the ones broadcast, so
+    ``small`` is computed once. Beyond the bound ``small`` is repeated per salt and the large side
+    is spread over the salts, so one hot key is worked on by ``salts`` tasks.
+    """
+    head = small.limit(max_rows + 1).collect()
+    if len(head) <= max_rows:
+        local = df.sparkSession.createDataFrame(head, small.schema)
+        return df.join(F.broadcast(local), list(on), how)
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
