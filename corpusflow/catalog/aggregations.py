@@ -60,14 +60,13 @@ def dropped_words(t: Tables):
 
 
 def sql_13a(col: str) -> str:
-    text = f"regexp_replace({col}, '[{X.SPACE_CLASS}]+$', '')"
+    text = f"regexp_replace({col}, '[{C.SPACE_CLASS}]+$', '')"
     text = f"replace(replace(replace({text}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
     for entity, char in X.ENTITIES:
         text = f"replace({text}, '{entity}', '{char}')"
     text = f"' ' || {text} || ' '"
-    for pattern, replacement in X.MTEVAL_13A_RULES:
-        back = replacement.replace("$", "\\")
-        text = f"regexp_replace({text}, '{pattern}', '{back}', 'g')"
+    for pattern, replacement in C.SQL_13A_RULES:
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
     return C.sql_words(text)
 
 

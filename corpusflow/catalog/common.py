@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.catalog import Tables
-from corpusflow.functions.text import SPACE_CLASS, words
+from corpusflow.functions.text import words
 from corpusflow.operators.sequences import Sequences, exploded, from_rows
 
+# White space as SQL engines with RE2 spell it, and the scorer's symbol rules in their own ranges.
+SPACE_CLASS = (
+    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SQL_13A_RULES = (
+    (r"([{-~\[-` -&(-+:-@/])", r" \1 "),
+    (r"([^0-9])([.,])", r"\1 \2 "),
+    (r"([.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
+
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
@@ -41,7 +52,7 @@ def user_frames(t: Tables) -> Sequences:
         "value",
         (F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)") / 1e6).alias("sec"),
     )
-    return from_rows(events, ["user_id"], [F.col("ts"), F.col("event_id")]).with_columns({})
+    return from_rows(events, ["user_id"], [F.col("ts"), F.col("event_id")])
 
 
 def user_intervals(t: Tables) -> Sequences:

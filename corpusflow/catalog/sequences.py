@@ -83,7 +83,7 @@ def frame_log_energy(t: Tables):
 
 
 @catalog.add(
-    f"""WITH {C.SQL_RUNS} SELECT user_id, run - 1 AS pos, min(symbol) AS symbol, min(t) AS start_frame, count(*)::BIGINT AS n_frames
+    f"""WITH {C.SQL_RUNS} SELECT user_id, run - 1 AS pos, min(symbol) AS symbol, min(t) AS start_frame
     FROM runs WHERE run > 0 GROUP BY user_id, run"""
 )
 def ctc_collapse(t: Tables):

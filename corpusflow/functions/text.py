@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What Python's str.strip and str.split call white space.
-SPACE_CLASS = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters that count as white space (those of Python's str.strip and str.split).
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as a pattern: one property test and one range, which Java checks far faster than a list.
+SPACE = r"(?U:[\s\x{1c}-\x{1f}])"
 
 # Symbols of the scored vocabularies.
 BOS, PAD, EOS, UNK = "<s>", "<pad>", "</s>", "<unk>"
@@ -14,9 +19,10 @@ PIECE_MARKER = "▁"
 NULL_INITIALS = ("NULLINIT", "nullinit")
 LANGUAGE_TAG = r"^<lang:.*>$"
 
-# The published mteval-13a rules, in the order they are applied.
+# The published mteval-13a rules, in the order they are applied. The first one lists
+# the ASCII symbols other than ' . , - as ranges and pads blanks too; padding blanks changes no token.
 MTEVAL_13A_RULES = (
-    (r"([{-~\[-` -&(-+:-@/])", " $1 "),
+    (r"([\p{Punct}&&[^'.,-]])", " $1 "),
     (r"([^0-9])([.,])", "$1 $2 "),
     (r"([.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -29,12 +35,12 @@ def _swap(col: Column, old: str, new: str) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def words(col: Column) -> Column:
     """Split on runs of white space; no empty words."""
-    return F.filter(F.split(col, f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    return F.array_remove(F.split(col, f"{SPACE}+"), "")
 
 
 def normalize_line(col: Column, side: str = "reference") -> Column:
@@ -52,7 +58,7 @@ def normalize_id(col: Column) -> Column:
 
 def tokenize_13a(col: Column) -> Column:
     """Tokens as the scorer counts them (trailing white space is cut first, as the scorer does)."""
-    line = F.regexp_replace(col, f"[{SPACE_CLASS}]+$", "")
+    line = F.rtrim(col, F.lit(SPACES))
     line = _swap(_swap(_swap(line, "<skipped>", ""), "-\n", ""), "\n", " ")
     for entity, char in ENTITIES:
         line = _swap(line, entity, char)

@@ -70,7 +70,7 @@ def offsets(durations: Sequences, duration: str = "duration") -> Sequences:
 
 
 def _covered(frames: Sequences, segments: DataFrame, seg: str) -> Sequences:
-    """Frames (``_frame`` true) and segments (false) in one sequence.
+    """Frames (``_frame`` true) and segments (false) in one sequence; ``frames.bounded`` speaks for both.
 
     ``_covering`` is the segment last opened before a frame; a segment row names itself there. A
     segment without frames opens nothing.

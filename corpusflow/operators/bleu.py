@@ -16,39 +16,38 @@ from corpusflow.functions.text import tokenize_13a
 MAX_ORDER = 4
 
 
-def _ngrams(tokens: Column, order: int = MAX_ORDER) -> list[Column]:
-    """Arrays of the 1-grams ... order-grams, each made from the one before it.
+def with_ngrams(df: DataFrame, tokens: str, order: int = MAX_ORDER) -> DataFrame:
+    """Add the n-grams of an array column as ``<tokens>_2`` ... ``<tokens>_<order>``.
 
-    Tokens hold no white space, so joining with a space is unambiguous.
+    Each order is made from the one before it. Tokens hold no white space, so joining them with a
+    space is unambiguous.
     """
-    grams = [tokens]
+    shorter = tokens
     for n in range(2, order + 1):
         count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-        grams.append(
-            F.zip_with(
-                F.slice(grams[-1], F.lit(1), count), F.slice(tokens, F.lit(n), count), lambda a, b: F.concat_ws(" ", a, b)
-            )
-        )
-    return grams
+        heads, tails = F.slice(shorter, F.lit(1), count), F.slice(tokens, F.lit(n), count)
+        shorter = f"{tokens}_{n}"
+        df = df.withColumn(shorter, F.zip_with(heads, tails, lambda a, b: F.concat_ws(" ", a, b)))
+    return df
 
 
-def ngram_counts(
-    pairs: DataFrame, hyp: Column, ref: Column, key: str, by: Sequence[str] = ()
-) -> DataFrame:
+def ngram_counts(tokens: DataFrame, hyp: str, ref: str, key: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, matches, hyp_ngrams, ref_ngrams), summed over the sentences of each group.
 
-    Whole sentences are laid out by ``key`` (unique per sentence) before they are taken apart, so
-    the many n-gram rows are counted where they arise and never travel.
+    ``tokens`` is laid out by ``_lay`` (a function of ``key``, which is unique per sentence) already,
+    so the many n-gram rows are counted where they arise and never travel.
     """
-    laid = pairs.select(*by, key, hyp.alias("_h"), ref.alias("_r")).repartition(key)
-    sided = []
-    for side, column in ((0, "_h"), (1, "_r")):
-        for n, grams in enumerate(_ngrams(F.col(column)), start=1):
-            sided.append(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), grams.alias("grams")))
-    rows = laid.select(*by, key, F.explode(F.array(*sided)).alias("_s"))
-    rows = rows.select(*by, key, "_s.side", "_s.n", F.explode("_s.grams").alias("gram"))
+    key = ["_lay", key]
+    grams = with_ngrams(with_ngrams(tokens, hyp), ref)
+    sided = [
+        F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.col(column if n == 1 else f"{column}_{n}").alias("grams"))
+        for side, column in ((0, hyp), (1, ref))
+        for n in range(1, MAX_ORDER + 1)
+    ]
+    rows = grams.select(*by, *key, F.explode(F.array(*sided)).alias("_s"))
+    rows = rows.select(*by, *key, "_s.side", "_s.n", F.explode("_s.grams").alias("gram"))
     is_hyp = F.when(F.col("side") == 0, 1).otherwise(0)
-    counted = rows.groupBy(*by, key, "n", "gram").agg(F.sum(is_hyp).alias("h"), F.sum(1 - is_hyp).alias("r"))
+    counted = rows.groupBy(*by, *key, "n", "gram").agg(F.sum(is_hyp).alias("h"), F.sum(1 - is_hyp).alias("r"))
     return counted.groupBy(*by, "n").agg(
         F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp_ngrams"), F.sum("r").alias("ref_ngrams")
     )
@@ -96,6 +95,20 @@ def corpus_bleu(
     key: str = "idx",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """BLEU of the corpus, or of each group of it, from raw sentences. ``key`` is unique per pair."""
-    text = [tokenize_13a(F.coalesce(F.col(c), F.lit(""))) for c in (prediction, reference)]
-    return score_counts(ngram_counts(pairs, *text, key, by), by)
+    """BLEU of the corpus, or of each group of it, from raw sentences. ``key`` is unique per pair.
+
+    Raw sentences are what is shuffled, once; tokens and n-grams come after. They are spread by a
+    hash of the key, not by the key: a layout by key left over from a join of few bytes would be
+    kept otherwise, with too few tasks for the n-grams.
+    """
+    laid = pairs.select(*by, key, prediction, reference, F.xxhash64(key).alias("_lay")).repartition("_lay")
+    tokens = laid.select(
+        *by,
+        "_lay",
+        key,
+        *[
+            tokenize_13a(F.coalesce(F.col(column), F.lit(""))).alias(side)
+            for side, column in (("_hyp", prediction), ("_ref", reference))
+        ],
+    )
+    return score_counts(ngram_counts(tokens, "_hyp", "_ref", key, by), by)

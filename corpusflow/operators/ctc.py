@@ -12,29 +12,31 @@ BLANK_ID, PAD_ID = 0, 1
 MERGE_KINDS = ("softmax", "meanpool", "maxpool", "weighted")
 
 
-def ctc_index(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID, name: str = "run") -> Sequences:
-    """1-based number of the label run each frame belongs to, 0 for blank frames."""
+def _numbered_runs(frames: Sequences, symbol: str, blank) -> Sequences:
+    """Frames with ``_opens`` (starts a label run) and ``_runs`` (runs opened so far)."""
     sym = F.col(symbol)
-    not_blank = sym != F.lit(blank)
     seen = frames.previous(sym, "_prev")
-    opens = not_blank & (F.col("_prev").isNull() | (F.col("_prev") != sym))
-    counted = seen.running_sum(F.when(opens, 1).otherwise(0), name)
-    run = F.when(not_blank, F.col(name)).otherwise(0).cast("bigint")
-    return counted.with_df(counted.df.withColumn(name, run).drop("_prev"))
+    opens = (sym != F.lit(blank)) & (F.col("_prev").isNull() | (F.col("_prev") != sym))
+    opened = seen.with_df(seen.df.withColumn("_opens", opens).drop("_prev"))
+    return opened.running_sum(F.when(F.col("_opens"), 1).otherwise(0), "_runs")
+
+
+def ctc_index(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID, name: str = "run") -> Sequences:
+    """1-based number of the label run each frame belongs to, 0 for blank frames."""
+    counted = _numbered_runs(frames, symbol, blank)
+    run = F.when(F.col(symbol) != F.lit(blank), F.col("_runs")).otherwise(0).cast("bigint")
+    return counted.with_df(counted.df.withColumn(name, run).drop("_opens", "_runs"))
 
 
 def ctc_collapse(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID) -> Sequences:
     """Merge runs and drop blanks: one row per label, ``pos`` from 0, with its first frame.
 
-    Long form on purpose: a sequence may have more labels than one row can hold.
+    The frames that open a run are the answer, so nothing is grouped. Long form on purpose: a
+    sequence may have more labels than one row can hold.
     """
-    indexed = ctc_index(frames, symbol, blank)
-    labels = (
-        indexed.df.filter(F.col("run") > 0)
-        .groupBy(*frames.keys, "run")
-        .agg(F.min(symbol).alias(symbol), F.min(frames.t).alias("start_frame"), F.count(F.lit(1)).alias("n_frames"))
-        .withColumn("pos", F.col("run") - 1)
-        .drop("run")
+    opening = _numbered_runs(frames, symbol, blank).df.filter(F.col("_opens"))
+    labels = opening.select(
+        *frames.keys, (F.col("_runs") - 1).cast("bigint").alias("pos"), symbol, F.col(frames.t).alias("start_frame")
     )
     return Sequences(labels, frames.keys, "pos", frames.bounded, frames.span)
 

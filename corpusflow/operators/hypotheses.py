@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions.text import detokenize
-from corpusflow.operators.bleu import _ngrams
+from corpusflow.operators.bleu import with_ngrams
 
 
 def nbest_rank(
@@ -34,8 +34,10 @@ def no_repeat_ngram(hyps: DataFrame, tokens: Column, n: int) -> DataFrame:
     """Drop hypotheses in which an n-gram comes twice; n = 0 keeps all."""
     if n == 0:
         return hyps
-    grams = _ngrams(tokens, n)[-1]
-    return hyps.withColumn("_g", grams).filter(F.size(F.array_distinct("_g")) == F.size("_g")).drop("_g")
+    grams = with_ngrams(hyps.withColumn("_g", tokens), "_g", n)
+    longest = "_g" if n == 1 else f"_g_{n}"
+    kept = grams.filter(F.size(F.array_distinct(longest)) == F.size(longest))
+    return kept.drop("_g", *[f"_g_{k}" for k in range(2, n + 1)])
 
 
 def one_best(hyps: DataFrame, item: list[str], hyp: str, tokens: str, score: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusflow.functions.text import EOS, UNK, normalize_id
+from corpusflow.functions.text import EOS, SPECIAL_SYMBOLS, UNK, normalize_id
 from corpusflow.operators.lookups import join_small
 from corpusflow.operators.sequences import Sequences
 
@@ -141,19 +141,21 @@ def attach_targets(df: DataFrame, tasks: Mapping[str, DataFrame], key: str = "id
     return df.withColumn(name, packed).drop(*[f"_task_{task}" for task in tasks])
 
 
-def encode_tokens(tokens: Sequences, vocab: DataFrame, token: str = "token", eos: bool = True) -> DataFrame:
+def encode_tokens(
+    tokens: Sequences,
+    vocab: DataFrame,
+    token: str = "token",
+    eos: bool = True,
+    unk_id: int = SPECIAL_SYMBOLS.index(UNK),
+    eos_id: int = SPECIAL_SYMBOLS.index(EOS),
+) -> DataFrame:
     """Token ids per sample with unknown fallback and the end symbol; counts of tokens and unknowns.
 
-    ``tokens`` comes from one row per sample (:func:`sequences.exploded`). If it is laid out by
-    key beforehand the only further exchange is the vocabulary's broadcast. The vocabulary
-    (token, id) holds the special symbols; a large one is joined with salt, for the commonest
-    token may be a third of all rows.
+    ``tokens`` comes from one row per sample (:func:`~corpusflow.operators.sequences.exploded`). If
+    it is laid out by key beforehand the only further exchange is the broadcast of the vocabulary
+    (token, id). A vocabulary too large for that is joined with salt, for the commonest token may be
+    a third of all rows.
     """
-    specials = vocab.filter(F.col("token").isin(UNK, EOS)).groupBy().agg(
-        F.max(F.when(F.col("token") == UNK, F.col("id"))).alias("unk"),
-        F.max(F.when(F.col("token") == EOS, F.col("id"))).alias("eos"),
-    )
-    unk_id, eos_id = specials.first()
     known = vocab.select(F.col("token").alias(token), F.col("id").alias("_id"))
     rows = join_small(tokens.df, known, [token])
     ids = F.array_sort(F.collect_list(F.struct(tokens.t, F.coalesce("_id", F.lit(unk_id)).alias("id"))))["id"]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.session import materialize
 
 SPAN = 1 << 16
-WINDOW_ROWS = 1 << 20
+WINDOW_ROWS = 1 << 18
 _SPAN, _LOCAL, _CARRY = "_span", "_local", "_carry"
 
 

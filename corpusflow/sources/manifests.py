@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -43,13 +43,14 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, Da
 
 
 def scan_manifest_grid(
-    spark: SparkSession, pattern: str, langs: Sequence[str], splits: Sequence[str], columns: Sequence[str]
+    spark: SparkSession, pattern: str, cells: Iterable[tuple[str, str]], columns: Sequence[str]
 ) -> DataFrame:
-    """Read one manifest per (language, split) and tag rows with both.
+    """Read one manifest per (language, split) cell and tag rows with both.
 
-    ``pattern`` is a path with ``{lang}`` and ``{split}``. One scan; a missing cell is an error.
+    ``pattern`` is a path with ``{lang}`` and ``{split}``. One scan; a cell without a manifest is an
+    error. A full grid is ``itertools.product(langs, splits)``.
     """
-    paths = [pattern.format(lang=lang, split=split) for lang in langs for split in splits]
+    paths = [pattern.format(lang=lang, split=split) for lang, split in cells]
     raw = read_manifest_tsv(spark, paths, columns)
     cell = re.escape(pattern).replace(re.escape("{lang}"), "([^/]+)").replace(re.escape("{split}"), "([^/]+)")
     lang_at, split_at = (1, 2) if pattern.index("{lang}") < pattern.index("{split}") else (2, 1)
