@@ -76,8 +76,9 @@ def user_segments(t: Tables) -> tuple[Sequences, DataFrame]:
 def benchmark_words(t: Tables) -> Sequences:
     """Words of the benchmark as phones, with their length as duration."""
     spoken = words(F.col("text"))
+    laid = t.benchmark.select("item_id", "text").repartition("item_id")
     return exploded(
-        t.benchmark, ["item_id"], token=spoken, duration=F.transform(spoken, lambda w: F.length(w))
+        laid, ["item_id"], token=spoken, duration=F.transform(spoken, lambda w: F.length(w))
     )
 
 

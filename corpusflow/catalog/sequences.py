@@ -131,7 +131,7 @@ def ctc_required_length(t: Tables):
 
 
 def _vectors(t: Tables):
-    return exploded(t.embeddings, ["vec_id"], value=F.col("embedding"))
+    return exploded(t.embeddings, ["vec_id"], n="n", value=F.col("embedding"))
 
 
 @catalog.add(
@@ -141,7 +141,7 @@ def _vectors(t: Tables):
 )
 def uniform_upsample(t: Tables):
     vectors = _vectors(t)
-    by_length = ctc.uniform_upsample(vectors, length=F.lit(100)).df.withColumn("how", F.lit("length"))
+    by_length = ctc.uniform_upsample(vectors, length=F.lit(100), n="n").df.withColumn("how", F.lit("length"))
     by_ratio = ctc.uniform_upsample(vectors, ratio=5).df.withColumn("how", F.lit("ratio"))
     both = stack_rows(by_length, by_ratio)
     return both.select("vec_id", "t", "src", C.r6(F.col("value"), "value"), "how")

@@ -26,18 +26,11 @@ def cmvn_stats(df: DataFrame, frame: Column) -> DataFrame:
     return stats.withColumn("std", F.greatest("std", F.lit(STD_FLOOR)))
 
 
-def stats_arrays(stats: DataFrame) -> DataFrame:
-    """The statistics as one row of two arrays; its size is the number of dimensions."""
-    rows = F.array_sort(F.collect_list(F.struct("dim", "mean", "std")))
-    packed = stats.groupBy().agg(rows.alias("_s"))
-    return packed.select(F.col("_s")["mean"].alias("mean"), F.col("_s")["std"].alias("std"))
-
-
 def _by_dimension(df: DataFrame, column: str, stats: DataFrame, term) -> DataFrame:
-    arrays = stats_arrays(stats)
-    held = F.arrays_zip(arrays.select("mean").scalar().alias("mean"), arrays.select("std").scalar().alias("std"))
+    """Apply ``term(x, mean, std)`` to each dimension; the statistics are one value of n_dims entries."""
+    packed = stats.groupBy().agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))))
     scaled = F.zip_with(F.col(column), F.col("_stats"), lambda x, s: term(x.cast("double"), s["mean"], s["std"]))
-    return df.withColumn("_stats", held).withColumn(column, scaled).drop("_stats")
+    return df.withColumn("_stats", packed.scalar()).withColumn(column, scaled).drop("_stats")
 
 
 def cmvn_apply(df: DataFrame, column: str, stats: DataFrame | None) -> DataFrame:
@@ -171,7 +164,7 @@ def split_summary(df: DataFrame, split: str, length: Column, tokens: Column) ->
 
 def size_ratios(sizes: DataFrame, alpha: float) -> DataFrame:
     """Sampling ratio of each dataset: p = (n/N)^alpha, normalised, over its share n/N."""
-    total = sizes.groupBy().agg(F.sum("n").alias("N")).scalar()
-    weighted = sizes.withColumn("_w", F.pow(F.col("n") / total, F.lit(float(alpha)))).withColumn("_N", total)
-    norm = weighted.groupBy().agg(F.sum("_w")).scalar()
-    return weighted.withColumn("size_ratio", F.col("_w") / norm * F.col("_N") / F.col("n")).drop("_w", "_N")
+    power = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
+    totals = sizes.groupBy().agg(F.struct(F.sum("n").alias("n"), F.sum(power).alias("power"))).scalar()
+    held = sizes.withColumn("_t", totals)
+    return held.withColumn("size_ratio", power / F.col("_t.power") * F.col("_t.n") / F.col("n")).drop("_t")

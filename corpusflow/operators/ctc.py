@@ -84,17 +84,21 @@ def ctc_merge(
     return rows.groupBy(*groups).agg(_merged(F.col("_v").cast("double"), F.col("_p"), how).alias("value"))
 
 
-def uniform_upsample(sequences: Sequences, length: Column | None = None, ratio: int | None = None) -> Sequences:
+def uniform_upsample(
+    sequences: Sequences, length: Column | None = None, ratio: int | None = None, n: str | None = None
+) -> Sequences:
     """Stretch n positions to m: output t takes source position ``t * n div m``.
 
     Every source row knows the stretch of outputs it feeds, so there is no join. Give a whole
-    ``ratio``, or ``length`` = m as a column that is constant within a sequence.
+    ``ratio``, or ``length`` = m as a column that is constant within a sequence. ``n`` names a
+    column that holds n; without it the rows are counted.
     """
     t = sequences.t
     if ratio is not None:
         seen, first, last = sequences, F.col(t) * ratio, (F.col(t) + 1) * ratio - 1
     else:
-        seen = sequences.with_columns({"_m": length}).attach(_n=("sum", F.lit(1)))
+        seen = sequences.with_columns({"_m": length})
+        seen = seen.attach(_n=("sum", F.lit(1))) if n is None else seen.with_columns({"_n": F.col(n)})
         first = F.ceil(F.col(t) * F.col("_m") / F.col("_n"))
         last = F.ceil((F.col(t) + 1) * F.col("_m") / F.col("_n")) - 1
     first, last = first.cast("bigint"), last.cast("bigint")

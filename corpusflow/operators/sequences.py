@@ -139,11 +139,21 @@ class Sequences:
         return self.lengths().filter(F.col("n") > limit)
 
 
-def exploded(df: DataFrame, keys: Sequence[str], t: str = "t", **arrays: Column) -> Sequences:
-    """Sequences from array columns of one row each: every key is one row, so it is bounded."""
+def exploded(
+    df: DataFrame, keys: Sequence[str], t: str = "t", n: str | None = None, **arrays: Column
+) -> Sequences:
+    """Sequences from array columns of one row each: every key is one row, so it is bounded.
+
+    ``n`` names a column for the length. Lay ``df`` out by ``keys`` first if windows follow: then
+    whole rows are shuffled instead of their elements.
+    """
     lists = F.arrays_zip(*[col.alias(name) for name, col in arrays.items()])
-    rows = df.select(*keys, F.posexplode(lists).alias(t, "_item"))
-    rows = rows.select(*keys, F.col(t).cast("bigint").alias(t), *[F.col("_item")[n].alias(n) for n in arrays])
+    packed = df.select(*keys, lists.alias("_lists"))
+    size = [F.size("_lists").cast("bigint").alias(n)] if n else []
+    rows = packed.select(*keys, *size, F.posexplode("_lists").alias(t, "_item"))
+    rows = rows.select(
+        *keys, *([n] if n else []), F.col(t).cast("bigint").alias(t), *[F.col("_item")[name].alias(name) for name in arrays]
+    )
     return Sequences(rows, tuple(keys), t, bounded=True)
 
 
