@@ -41,10 +41,10 @@ def global_cmvn(t: Tables):
 
 
 @catalog.add(
-    """SELECT min(value) AS pitch_min, max(value) AS pitch_max, round(min(ln(value)), 6) AS energy_min, round(max(ln(value)), 6) AS energy_max FROM events"""
+    """SELECT min(value) AS pitch_min, max(value) AS pitch_max, round(min(ln(value + 1)), 6) AS energy_min, round(max(ln(value + 1)), 6) AS energy_max FROM events"""
 )
 def feature_min_max(t: Tables):
-    row = aggregates.feature_range(t.events, pitch=F.col("value"), energy=F.ln("value"))
+    row = aggregates.feature_range(t.events, pitch=F.col("value"), energy=F.log1p("value"))
     return row.select("pitch_min", "pitch_max", C.r6(F.col("energy_min"), "energy_min"), C.r6(F.col("energy_max"), "energy_max"))
 
 
