@@ -35,13 +35,14 @@ def trim_silence(
 
     The rows left are renumbered in ``position`` and carry the sample's ``start_sec``/``end_sec``.
     """
-    spoken_t = F.when(~F.col(phone).isin(*silence), F.col(intervals.t))
-    spoken = intervals.attach(_first=("min", spoken_t), _last=("max", spoken_t))
-    kept = spoken.filter(F.col(intervals.t).between(F.col("_first"), F.col("_last")))
     at = F.col(intervals.t)
-    kept = kept.attach(
-        start_sec=("min", F.when(at == F.col("_first"), F.col(start))),
-        end_sec=("max", F.when(at == F.col("_last"), F.col(end))),
+    spoken = ~F.col(phone).isin(*silence)
+    ends = intervals.attach(
+        _first=("min", F.when(spoken, F.struct(at.alias("t"), F.col(start).alias("sec")))),
+        _last=("max", F.when(spoken, F.struct(at.alias("t"), F.col(end).alias("sec")))),
+    )
+    kept = ends.filter(at.between(F.col("_first.t"), F.col("_last.t"))).with_columns(
+        {"start_sec": F.col("_first.sec"), "end_sec": F.col("_last.sec")}
     )
     kept = kept.running_sum(F.lit(1), position)
     return kept.with_df(

@@ -8,12 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def safe_map(df: DataFrame, fn: Callable[[object], object], column: str, value_type: T.DataType, name: str = "value") -> DataFrame:
+def safe_map(
+    df: DataFrame,
+    fn: Callable[[object], object],
+    column: str,
+    value_type: T.DataType,
+    name: str = "value",
+    keep: bool = False,
+) -> DataFrame:
     """Add ``name`` = fn(column) and ``error``: a record on which fn raises has a null value and the reason.
 
-    Arrow batches; only ``column`` and the columns the caller left in ``df`` are sent.
+    Arrow batches. The record itself does not come back unless ``keep`` asks for it.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, value_type), T.StructField("error", T.StringType())])
+    fields = [f for f in df.schema.fields if keep or f.name != column]
+    schema = T.StructType([*fields, T.StructField(name, value_type), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -25,7 +33,8 @@ def safe_map(df: DataFrame, fn: Callable[[object], object], column: str, value_t
                 except Exception as failure:  # whatever the user's function does, the job goes on
                     values.append(None)
                     errors.append(f"{type(failure).__name__}: {failure}")
-            yield batch.assign(**{name: pd.Series(values, index=batch.index, dtype=object), "error": errors})
+            kept = batch if keep else batch.drop(columns=column)
+            yield kept.assign(**{name: pd.Series(values, index=batch.index, dtype=object), "error": errors})
 
     return df.mapInPandas(run, schema)
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-_READ = {"sep": "\t", "header": True, "quote": "", "escape": "\0", "mode": "FAILFAST", "maxCharsPerColumn": -1}
+_READ = {"sep": "\t", "header": True, "quote": "", "escape": "\0", "mode": "FAILFAST", "maxCharsPerColumn": -1, "columnPruning": False}
 _WRITE = {
     "sep": "\t",
     "header": True,
@@ -72,8 +72,19 @@ def split_tsv_safe(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_manifest(df: DataFrame, path: str, columns: Sequence[str], by: Sequence[str] = ("split",)) -> None:
-    """Write one manifest folder per split with a fixed column order."""
-    writer = df.select(*columns, *by).write.options(**_WRITE)
+    """Write one manifest folder per split with a fixed column order.
+
+    Text the format cannot hold fails the job; :func:`split_tsv_safe` sets it aside beforehand.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def checked(name: str) -> Column:
+        if not isinstance(kinds[name], T.StringType):
+            return F.col(name)
+        broken = F.raise_error(F.lit(f"tab or line break in column {name}"))
+        return F.when(F.col(name).rlike(_UNSAFE), broken).otherwise(F.col(name)).alias(name)
+
+    writer = df.select(*[checked(c) for c in columns], *by).write.options(**_WRITE)
     if by:
         writer = writer.partitionBy(*by)
     writer.csv(path)

@@ -415,5 +415,6 @@ def test_safe_map(spark):
     assert rows_of(mapped, "id", "value") == [(1, 14), (2, None), (3, None)]
     good, bad = for_extraction(mapped)
     assert rows_of(good, "id") == [(1,)] and [r["error"].split(":")[0] for r in bad.orderBy("id").collect()] == ["ValueError", "TypeError"]
+    assert rows_of(safe_map(df, len, "v", T.LongType(), keep=True), "id", "v", "value") == [(1, "7", 1), (2, "x", 1), (3, None, None)]
     text = safe_map(df, lambda v: v.upper(), "v", T.StringType())
     assert rows_of(for_scoring(text), "id", "value") == [(1, "7"), (2, "X"), (3, "")]

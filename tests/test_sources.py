@@ -37,12 +37,17 @@ def test_manifest_by_hand(spark, tmp_path):
     wide = write(tmp_path / "wide.tsv", "id\taudio\na\tx\ty\n")
     with pytest.raises(Exception):
         manifests.read_manifest_tsv(spark, wide, ["id", "audio"]).collect()
+    with pytest.raises(Exception):
+        manifests.read_manifest_tsv(spark, wide, ["id", "audio"]).select("id").collect()
 
 
-def test_unsafe_text_is_set_aside(spark):
+def test_unsafe_text_is_set_aside(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\tb"), (2, "a\nb"), (3, "ab"), (4, None)], "id int, text string")
     good, bad = manifests.split_tsv_safe(df)
     assert rows_of(good, "id") == [(3,), (4,)] and rows_of(bad, "id") == [(1,), (2,)]
+    with pytest.raises(Exception, match="tab or line break in column text"):
+        manifests.write_manifest(df, str(tmp_path / "m"), ["id", "text"], by=())
+    manifests.write_manifest(good, str(tmp_path / "n"), ["id", "text"], by=())
 
 
 def test_grid(spark, tmp_path):
