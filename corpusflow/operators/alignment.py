@@ -37,13 +37,14 @@ def trim_silence(
     """
     at = F.col(intervals.t)
     spoken = ~F.col(phone).isin(*silence)
+    # A tier is in time order, so the ends of the spoken stretch are a minimum and a maximum too.
     ends = intervals.attach(
-        _first=("min", F.when(spoken, F.struct(at.alias("t"), F.col(start).alias("sec")))),
-        _last=("max", F.when(spoken, F.struct(at.alias("t"), F.col(end).alias("sec")))),
-    )
-    kept = ends.filter(at.between(F.col("_first.t"), F.col("_last.t"))).with_columns(
-        {"start_sec": F.col("_first.sec"), "end_sec": F.col("_last.sec")}
+        _first=("min", F.when(spoken, at)),
+        _last=("max", F.when(spoken, at)),
+        start_sec=("min", F.when(spoken, F.col(start))),
+        end_sec=("max", F.when(spoken, F.col(end))),
     )
+    kept = ends.filter(at.between(F.col("_first"), F.col("_last")))
     kept = kept.running_sum(F.lit(1), position)
     return kept.with_df(
         kept.df.withColumn(position, (F.col(position) - 1).cast("bigint")).drop("_first", "_last"), t=position
