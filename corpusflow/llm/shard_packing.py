@@ -92,8 +92,16 @@ def best_fit(sizes: np.ndarray, capacity: int, bins: int | None = None) -> np.nd
 
 
 def fewest_bytes(sizes: np.ndarray, bins: int) -> np.ndarray:
-    """``best_fit`` into ``bins`` bins at the smallest of the capacities tried, from the mean upwards."""
-    capacity = max(-(-int(sizes.sum()) // bins), int(sizes.max(initial=0)), 1)
+    """``best_fit`` into ``bins`` bins at the smallest of the capacities tried, from the mean upwards.
+
+    An item above the mean of what is left fills a bin alone and counts no more for the mean.
+    """
+    rest, left = int(sizes.sum()), bins
+    for size in np.sort(sizes)[::-1].tolist():
+        if left == 1 or size * left <= rest:
+            break
+        rest, left = rest - size, left - 1
+    capacity = max(1, -(-rest // left))
     while (found := best_fit(sizes, capacity, bins)) is None:
         capacity = max(capacity + 1, int(capacity * STEP))
     return found
