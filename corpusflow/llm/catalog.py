@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.catalog import Catalog
-from corpusflow.llm import exact_dedup, shard_packing, warc_store
+from corpusflow.llm import bpe, decontaminate, exact_dedup, nbsvm, ngram_join, sequence_packing, shard_packing, warc_store
+from corpusflow.llm.tables import written
 from corpusflow.session import scratch_path
 
 catalog = Catalog()
@@ -28,7 +30,7 @@ def op3_warc_store(t) -> DataFrame:
     """Archive all pages, read the archive back, and report what its records say."""
     folder = scratch_path(t.spark, "warc")
     warc_store.archive(t.pages, folder)
-    return warc_store.parsed(warc_store.reconstruct(t.spark, folder)).drop("digest_holds")
+    return warc_store.described(t.spark, folder)
 
 
 @catalog.add()
@@ -52,3 +54,74 @@ def op9_exact_dedup(t) -> DataFrame:
     return exact_dedup.group_rows(*exact_dedup.by_age(rows)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+
+@catalog.add(
+    rf"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, w[s : s + least(len(w), 10) - 1] AS gram
+            FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT len(gram) AS k FROM win),
+    g AS (SELECT doc_id, k, s, w[s : s + k - 1] AS gram
+          FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, sizes WHERE len(w) >= k)),
+    h AS (SELECT doc_id, k, s, item_id FROM g JOIN win USING (gram)),
+    p AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS at FROM h) GROUP BY doc_id),
+    i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
+)
+def op5_decontaminate(t) -> DataFrame:
+    """All documents against the whole benchmark."""
+    return decontaminate.scan(t.documents, t.benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.tiktoken", 50_256
+
+
+@catalog.add()
+def op7_bpe(t) -> DataFrame:
+    """Every whole text to ids and back."""
+    path = public_tokenizers.path(WORD_BPE)
+    rows = bpe.decode(bpe.encode(t.documents.select("doc_id", "text"), path), path)
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+@catalog.add()
+def op8_quality_classifier(t) -> DataFrame:
+    """The quality score of every document, learnt from the labelled rows that are not held out."""
+    model = nbsvm.fit(t.documents, t.labels)
+    return nbsvm.score(t.documents.select("doc_id", "text"), model).select(
+        "doc_id", nbsvm.held_out().alias("held_out"), "score", (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@catalog.add()
+def op10_sequence_packing(t) -> DataFrame:
+    """All documents as rows of 2,048 token ids, written as a table and read back."""
+    packed = sequence_packing.pack(t.documents, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, BYTE_BPE_END)
+    return written(packed, "packed").select(
+        "pack_id", "doc_ids", "pieces", "cu_seqlens", "resets", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")
+    )
+
+
+@catalog.add()
+def op1_ngram_join(t) -> DataFrame:
+    """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word n-grams."""
+    return ngram_join.join(t.documents).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")

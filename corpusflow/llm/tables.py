@@ -61,3 +61,15 @@ def by_run(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBat
             yield fn(table)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+
+
+def keep_rows(docs: DataFrame, key: list[Column], kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``kept`` (__0, __1, ..., __once), with all their columns.
+
+    Where ``__once`` is set only one of the rows with the key stays, the one with the least hash of the row.
+    Texts are shuffled once, by the key.
+    """
+    names = [f"__{i}" for i in range(len(key))]
+    hit = docs.withColumns(dict(zip(names, key, strict=True))).join(kept.hint("shuffle_hash"), names)
+    once = hit.filter("__once").groupBy(*names).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return hit.filter("NOT __once").select(*docs.columns).unionByName(once.select("__row.*"))

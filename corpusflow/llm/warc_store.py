@@ -82,19 +82,30 @@ def archive(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -
     headers = spark.read.parquet(f"{folder}/headers").filter(F.col("record_type") == "response")
     keepers = headers.groupBy(F.col("digest").alias("held")).agg(F.min("page_id").alias("holder"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    content = pages.select("page_id", payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    content = pages.select(_source(F.col("page_id")), payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    keepers = keepers.select(_source(F.col("holder")), F.col("held").alias("digest"))
     (
-        content.join(keepers.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("holder")) & (F.col("digest") == F.col("held")))
+        content.join(keepers.hint("shuffle_hash"), ["source", "digest"])
+        .dropDuplicates(["source", "digest"])
         .select("digest", "payload")
-        .dropDuplicates(["digest"])
-        .write.parquet(f"{folder}/payloads")
+        .write.option("compression", "zstd")
+        .parquet(f"{folder}/payloads")
     )
 
 
-def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records: ids and exact headers joined with the payloads that their digests name."""
+def _source(page: Column) -> Column:
+    return F.coalesce(page.cast("string"), F.lit("none")).alias("source")
+
+
+def reconstruct(spark: SparkSession, folder: str, *of_payload: Column) -> DataFrame:
+    """The original records: ids and exact headers joined with what their digests name.
+
+    Without ``of_payload`` that is the payload itself; else these expressions over it, which are then
+    evaluated once for each stored payload and joined in its place.
+    """
     headers, payloads = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
-    return headers.join(payloads, "digest").select("page_id", "header", "payload", "digest")
+    stored = payloads.select("digest", *(of_payload or [F.col("payload")]))
+    return headers.select("page_id", "header", "digest").join(stored, "digest")
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -103,18 +114,22 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """What the records themselves say: type, digest of the payload as read, length, what they refer to."""
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archived records say when they are read back: type, what they refer to, and the length and digest of
+    the payload bytes, computed anew."""
+    rows = reconstruct(
+        spark, folder, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
+    )
     header = F.col("header").cast("string")
     page = lambda name: F.regexp_extract(header_field(header, name), r"<urn:page:(-?\d+)>", 1)
     number = lambda text: F.when(text != "", text).cast("long")
+    holds = header_field(header, "WARC-Payload-Digest") == F.concat(F.lit("sha256:"), F.col("payload_digest"))
     return rows.select(
         number(page("WARC-Record-ID")).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
+        "payload_bytes",
+        F.when(holds, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest"))).alias("payload_digest"),
         header_field(header, "WARC-Type").alias("record_type"),
         number(page("WARC-Refers-To")).alias("refers_to"),
-        (header_field(header, "WARC-Payload-Digest") == F.concat(F.lit("sha256:"), F.sha2("payload", 256))).alias("digest_holds"),
     )
 
 
