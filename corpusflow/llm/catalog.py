@@ -7,7 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.catalog import Catalog
-from corpusflow.llm import bpe, decontaminate, exact_dedup, nbsvm, ngram_join, sequence_packing, shard_packing, warc_store
+from corpusflow.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    lm_score,
+    nbsvm,
+    ngram_join,
+    sequence_packing,
+    shard_packing,
+    warc_store,
+)
 from corpusflow.llm.tables import written
 from corpusflow.session import scratch_path
 
@@ -69,7 +80,7 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
     g AS (SELECT doc_id, k, s, w[s : s + k - 1] AS gram
           FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, sizes WHERE len(w) >= k)),
     h AS (SELECT doc_id, k, s, item_id FROM g JOIN win USING (gram)),
-    p AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS at FROM h) GROUP BY doc_id),
+    p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS pos FROM h) GROUP BY doc_id),
     i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -125,3 +136,38 @@ def op10_sequence_packing(t) -> DataFrame:
 def op1_ngram_join(t) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word n-grams."""
     return ngram_join.join(t.documents).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+
+
+_NOTICE_WORDS = ", ".join(
+    f"({i}, '{name}', {license_scan.template_words(text)!r})" for i, (name, text) in enumerate(license_scan.NOTICES)
+)
+
+
+@catalog.add(
+    rf"""
+    WITH t AS (SELECT template, license, w, len(w) AS l, greatest(1, len(w) // 4) AS s FROM (VALUES {_NOTICE_WORDS}) AS v(template, license, w)),
+    ts AS (SELECT DISTINCT template, license, l, s, array_to_string(w[j : j + 4], ' ') AS shingle
+           FROM (SELECT *, unnest(generate_series(1, l - 4)) AS j FROM t)),
+    n AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS (SELECT doc_id, j - 1 AS p, array_to_string(w[j : j + 4], ' ') AS shingle
+          FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS j FROM d WHERE len(w) >= 5)),
+    h AS (SELECT doc_id, template, license, l, s, p, shingle FROM g JOIN ts USING (shingle)),
+    win AS (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((p - (l + s - 4) + 1) / s) AS BIGINT)), p // s)) * s AS start FROM h),
+    c AS (SELECT doc_id, template, license, start, count(DISTINCT shingle) / any_value(n) AS containment
+          FROM win JOIN n USING (template) GROUP BY doc_id, template, license, start)
+    SELECT doc_id, template, license, max(containment) AS containment, min(CAST(start AS INT)) AS start
+    FROM c WHERE containment >= 0.8 GROUP BY doc_id, template, license
+    """,
+)
+def op2_license_scan(t) -> DataFrame:
+    """The licence notices that each document holds."""
+    return license_scan.scan(t.documents).drop("text_key")
+
+
+@catalog.add()
+def op6_lm_score(t) -> DataFrame:
+    """Every document between a model of the documents labelled good and a model of all documents."""
+    good = t.labels.filter("quality = 1").select("doc_id").distinct()
+    model = lm_score.fit(t.documents, good)
+    return lm_score.score(t.documents.select("doc_id", "text"), *model).drop("text")

@@ -23,8 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.native_words import gram_hashes, word_hashes, words
-from corpusflow.llm.tables import text_of, written
+from corpusflow.llm.native_words import gram_hashes, let, word_hashes, words
+from corpusflow.llm.tables import drop_rows, row_id, text_of, written
 
 SPAN = 10
 GRAM = 5
@@ -36,62 +36,76 @@ def _text_key() -> Column:
     return F.xxhash64(text_of("text"))
 
 
-def _kept(hashes: Column, span: int, k: int) -> Column:
+def _kept(grams: Column, span: int, k: int) -> Column:
     """The distinct least gram hashes over windows of ``span - k + 1`` grams."""
-    width, last = span - k + 1, F.size(hashes) - (span - k)
+    width = span - k + 1
     if width == 1:
-        return F.array_distinct(hashes)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda j: F.array_min(F.slice(hashes, j, width))))
+        return F.array_distinct(grams)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - (width - 1)), lambda j: F.array_min(F.slice(grams, j, width))))
 
 
-def _grams(df: DataFrame, span: int) -> DataFrame:
-    """Rows of at least ``span`` words, with ``grams`` and ``kept``."""
+def _winnowed(df: DataFrame, span: int) -> DataFrame:
+    """``df`` with ``n``, ``hashes``, ``grams`` and ``kept`` in place of its text; null for texts below ``span`` words."""
     k = min(GRAM, span)
-    long_enough = df.filter(F.col("n") >= span)
-    return long_enough.withColumn("grams", gram_hashes(F.col("hashes"), F.col("n"), k)).withColumn("kept", _kept(F.col("grams"), span, k))
+
+    def of(hashes: Column) -> Column:
+        whole = let(
+            gram_hashes(hashes, F.size(hashes), k),
+            lambda grams: F.struct(F.size(hashes).alias("n"), hashes.alias("hashes"), grams.alias("grams"), _kept(grams, span, k).alias("kept")),
+        )
+        return F.when(F.size(hashes) >= span, whole)
+
+    return df.withColumn("w", let(word_hashes("text"), of)).drop("text").select("*", "w.*").drop("w")
+
+
+def _by_gram(winnowed: DataFrame, *columns: str) -> DataFrame:
+    """One row for each kept gram. The outer form: a plain explode adds a filter that evaluates the array a second time."""
+    return winnowed.select(*columns, F.explode_outer("kept").alias("gram"))
 
 
 def _places(grams: Column, gram: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda p: grams[p] == gram)
 
 
-def _item_grams(items: DataFrame, span: int) -> DataFrame:
+def _item_grams(benchmark: DataFrame, span: int) -> DataFrame:
     """(gram, item_id, at, n_item, around): each place of a kept gram, with the words that spans over it can hold."""
     k = min(GRAM, span)
-    own = items.filter(F.col("n") >= SPAN) if span == SPAN else items.filter(F.col("n") == span)
-    placed = _grams(own, span).select("item_id", "hashes", "grams", F.col("n").alias("n_item"), F.explode("kept").alias("gram"))
-    placed = placed.select("gram", "item_id", "n_item", "hashes", F.explode(_places(F.col("grams"), F.col("gram"))).alias("at"))
+    size = F.size(words("text"))
+    own = benchmark.filter(size >= SPAN if span == SPAN else size == span).select("item_id", "text")
+    placed = written(_by_gram(_winnowed(own, span), "item_id", "n", "hashes", "grams"), "benchmark-kept")
+    placed = placed.select("gram", "item_id", "n", "hashes", F.explode(_places(F.col("grams"), F.col("gram"))).alias("at"))
     reach = F.sequence(F.col("at") - (span - k), F.col("at") + span - 1)
-    around = F.transform(reach, lambda x: F.when((x >= 0) & (x < F.col("n_item")), F.col("hashes")[x]))
-    return placed.select("gram", "item_id", "at", "n_item", around.alias("around"))
+    around = F.transform(reach, lambda x: F.when((x >= 0) & (x < F.col("n")), F.col("hashes")[x]))
+    return placed.select("gram", "item_id", "at", F.col("n").alias("n_item"), around.alias("around"))
 
 
 def _agreeing(span: int) -> Column:
     """Starts of the spans over a place of the gram in a document that agree with the item."""
     k = min(GRAM, span)
-    hashes, grams, around, at, n_item, n = (F.col(c) for c in ("hashes", "grams", "around", "at", "n_item", "n"))
+    around, at, n_item, gram = (F.col(c) for c in ("around", "at", "n_item", "gram"))
+    hashes, grams, n = F.col("hashes"), F.col("grams"), F.col("n")
 
     def over(p: Column) -> Column:
-        starts = F.sequence(F.greatest(p - (span - k), p - at, F.lit(0)), F.least(p, p - at + n_item - span, n - span))
-        possible = F.greatest(p - (span - k), p - at, F.lit(0)) <= F.least(p, p - at + n_item - span, n - span)
-        agree = F.filter(starts, lambda s: F.slice(hashes, s + 1, span) == F.slice(around, s - p + (span - k) + 1, span))
-        return F.when(possible, agree).otherwise(F.array().cast("array<int>"))
+        first, last = F.greatest(p - (span - k), p - at, F.lit(0)), F.least(p, p - at + n_item - span, n - span)
+        agree = F.filter(F.sequence(first, last), lambda s: F.slice(hashes, s + 1, span) == F.slice(around, s - p + (span - k) + 1, span))
+        return F.when(first <= last, agree).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.transform(_places(grams, F.col("gram")), over))
+    return F.flatten(F.transform(_places(grams, gram), over))
 
 
-def _hits(docs: DataFrame, items: DataFrame, span: int, broadcast_grams: int) -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, span: int, broadcast_grams: int) -> DataFrame:
     """(doc_id, text_key, item_id, start, span) for each agreeing span."""
-    asked = written(_item_grams(items, span), "benchmark-grams")
-    kept = _grams(docs, span)
+    asked = written(_item_grams(benchmark, span), "benchmark-grams")
+    texts = _winnowed(docs.select("doc_id", _text_key().alias("text_key"), text_of("text").alias("text")), span)
     if asked.count() <= broadcast_grams:
-        rows = kept.select("doc_id", "text_key", "n", "hashes", "grams", F.explode("kept").alias("gram")).join(F.broadcast(asked), "gram")
+        rows = _by_gram(texts, "doc_id", "text_key", "n", "hashes", "grams").join(F.broadcast(asked), "gram")
     else:
-        found = kept.select("doc_id", "text_key", F.explode("kept").alias("gram")).distinct().join(asked, "gram")
-        found = found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
+        found = _by_gram(texts, "doc_id", "text_key").distinct().join(asked, "gram")
+        found = written(found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"}), "benchmark-matches")
         same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key"))
-        rows = kept.drop("kept").join(found, same)
-    return rows.select("doc_id", "text_key", "item_id", F.explode(_agreeing(span)).alias("start"), F.lit(span).alias("span"))
+        rows = texts.join(found, same)
+    starts = rows.select("doc_id", "text_key", "item_id", F.explode_outer(_agreeing(span)).alias("start"), F.lit(span).alias("span"))
+    return starts.filter("start IS NOT NULL")
 
 
 def _covered(spans: Column) -> Column:
@@ -110,10 +124,9 @@ def _covered(spans: Column) -> Column:
 
 def scan(docs: DataFrame, benchmark: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, items) for each row of ``docs``; ``items`` are sorted strings."""
-    items = benchmark.select("item_id", word_hashes("text").alias("hashes")).withColumn("n", F.size("hashes"))
-    short = items.filter((F.col("n") > 0) & (F.col("n") < SPAN)).select("n").distinct().collect()
-    hashed = docs.select("doc_id", _text_key().alias("text_key"), word_hashes("text").alias("hashes")).withColumn("n", F.size("hashes"))
-    found = reduce(DataFrame.unionByName, [_hits(hashed, items, n, broadcast_grams) for n in [SPAN, *sorted(r["n"] for r in short)]])
+    lengths = benchmark.select(F.size(words("text")).alias("n")).filter(F.col("n").between(1, SPAN - 1)).distinct().collect()
+    spans = [SPAN, *sorted(row["n"] for row in lengths)]
+    found = reduce(DataFrame.unionByName, [_hits(docs, benchmark, n, broadcast_grams) for n in spans])
     spans = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(
         F.collect_set(F.struct("start", "span")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items")
     )
@@ -131,6 +144,5 @@ def scan(docs: DataFrame, benchmark: DataFrame, broadcast_grams: int = BROADCAST
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, with all their columns."""
-    hit = scan(docs, benchmark).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key() == F.col("__key"))
-    return docs.join(hit.hint("shuffle_hash"), same, "left_anti")
+    hit = scan(docs, benchmark).filter("n_hit > 0").select(row_id().alias("k0"), F.col("text_key").alias("k1"))
+    return drop_rows(docs, [row_id(), _text_key()], hit)

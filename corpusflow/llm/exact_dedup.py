@@ -22,15 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.tables import keep_rows, text_of, written
+from corpusflow.llm.tables import keep_rows, row_id, text_of, written
 
 DIGEST_BYTES = 32
 #: Digests in a shard of the archive, on average: about 4 MB in a task.
 SHARD_KEYS = 65_536
 #: Bits in a level of the hash for each key that is left.
 LOAD = 2
-#: Stands for a null id among row keys.
-NO_ID = (1 << 63) - 1
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 INDEX_SCHEMA = "shard int, n_keys long, level_bits array<long>, bits binary, slot_digests binary, slot_keepers binary, slot_known binary"
@@ -178,5 +176,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest("text").alias("digest"))
     keepers = group_rows(*by_age(rows)).filter(F.col("kept") | F.col("keep_id").isNull())
-    keepers = keepers.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__0"), F.col("digest").alias("__1")).agg((F.count(F.lit(1)) > 1).alias("__once"))
-    return keep_rows(docs, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_digest("text")], written(keepers, "keepers"))
+    keepers = keepers.groupBy(row_id().alias("k0"), F.col("digest").alias("k1")).agg((F.count(F.lit(1)) > 1).alias("once"))
+    return keep_rows(docs, [row_id(), text_digest("text")], written(keepers, "keepers"))

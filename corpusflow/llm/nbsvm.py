@@ -215,3 +215,11 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     schema = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(task, schema)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score ``THRESHOLD`` or more, with all their columns."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).filter(F.col(name) >= THRESHOLD).drop(name)

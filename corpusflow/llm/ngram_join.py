@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.components import components
-from corpusflow.llm.tables import by_run, keep_rows, slices, text_of, written
+from corpusflow.llm.tables import NO_ID, by_run, keep_rows, row_id, slices, text_of, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,8 +41,6 @@ AGREEMENT = 55
 BLOCK_NODES = 512
 BLOCK_BYTES = 8 * 1024 * 1024
 REMEMBERED_WORDS = 500_000
-#: Stands for a null id inside the join; sorts last.
-NO_ID = (1 << 63) - 1
 
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -122,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame) -> DataFrame:
     """(rep_id, rep_key, text): what finds a row again; a null id is ``NO_ID`` here."""
     text = text_of("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep_id"), F.xxhash64(text).alias("rep_key"), text.alias("text"))
+    return docs.select(row_id().alias("rep_id"), F.xxhash64(text).alias("rep_key"), text.alias("text"))
 
 
 def _forest(nodes: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
@@ -283,6 +281,6 @@ def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one that names it, with all its columns; texts without words all stay."""
-    keepers = join(docs).filter("keeper").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__0"), F.col("text_key").alias("__1"))
-    keepers = written(keepers.agg((F.max("has_words") & (F.count(F.lit(1)) > 1)).alias("__once")), "keepers")
-    return keep_rows(docs, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text_of("text"))], keepers)
+    keepers = join(docs).filter("keeper").groupBy(row_id().alias("k0"), F.col("text_key").alias("k1"))
+    keepers = written(keepers.agg((F.max("has_words") & (F.count(F.lit(1)) > 1)).alias("once")), "keepers")
+    return keep_rows(docs, [row_id(), F.xxhash64(text_of("text"))], keepers)

@@ -63,13 +63,34 @@ def by_run(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBat
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
 
 
+#: Stands for a null id in row keys; sorts last.
+NO_ID = (1 << 63) - 1
+
+
+def row_id(column: Column | str = "doc_id") -> Column:
+    """The id of a row as a key that is never null."""
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NO_ID))
+
+
+def _keyed(docs: DataFrame, key: list[Column]) -> tuple[DataFrame, list[str]]:
+    """(row, k0, k1, ...): all columns of ``docs`` as one, out of the way of other names."""
+    names = [f"k{i}" for i in range(len(key))]
+    return docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(key, names, strict=True)]), names
+
+
 def keep_rows(docs: DataFrame, key: list[Column], kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``kept`` (__0, __1, ..., __once), with all their columns.
+    """The rows of ``docs`` whose key is in ``kept`` (k0, k1, ..., once), with all their columns.
 
-    Where ``__once`` is set only one of the rows with the key stays, the one with the least hash of the row.
+    Where ``once`` is set only one of the rows with the key stays, the one with the least hash of the row.
     Texts are shuffled once, by the key.
     """
-    names = [f"__{i}" for i in range(len(key))]
-    hit = docs.withColumns(dict(zip(names, key, strict=True))).join(kept.hint("shuffle_hash"), names)
-    once = hit.filter("__once").groupBy(*names).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
-    return hit.filter("NOT __once").select(*docs.columns).unionByName(once.select("__row.*"))
+    keyed, names = _keyed(docs, key)
+    hit = keyed.join(kept.hint("shuffle_hash"), names)
+    one = hit.filter("once").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return hit.filter("NOT once").select("row.*").unionByName(one.select("row.*"))
+
+
+def drop_rows(docs: DataFrame, key: list[Column], dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``dropped`` (k0, k1, ...), with all their columns."""
+    keyed, names = _keyed(docs, key)
+    return keyed.join(dropped.hint("shuffle_hash"), names, "left_anti").select("row.*")
