@@ -1,0 +1,123 @@
+import hashlib
+import os
+import random
+import re
+import sys
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from edge_cases import ROWS, documents, prose  # noqa: E402
+
+from corpusflow.llm import components, exact_dedup, ngram_join  # noqa: E402
+
+
+def digests(n, seed=0):
+    return np.frombuffer(b"".join(hashlib.sha256(b"%d %d" % (seed, i)).digest() for i in range(n)), np.uint8).reshape(-1, 32).copy()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
+def test_minimal_perfect_hash(n):
+    keys = digests(n)
+    sizes, bits = exact_dedup.build_hash(keys)
+    assert sorted(exact_dedup.slots_of(keys, sizes, bits)) == list(range(n))
+    others = exact_dedup.slots_of(digests(500, 1), sizes, bits)
+    assert ((others >= -1) & (others < max(n, 1))).all()
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "", flags=re.ASCII)
+
+
+def brute_groups(rows):
+    groups = {}
+    for doc_id, text, *_ in rows:
+        groups.setdefault(normal(text), []).append(doc_id)
+    return {t: (min((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+
+
+@pytest.mark.parametrize("shard_keys", [2, 65_536])
+def test_exact_groups_of_edge_rows(spark, monkeypatch, shard_keys):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", shard_keys)
+    rows = documents(spark).select("doc_id", exact_dedup.text_digest("text").alias("digest"))
+    found = exact_dedup.group_rows(*exact_dedup.by_age(rows)).collect()
+    want = brute_groups(ROWS)
+    expected = [(i, hashlib.sha256(normal(t).encode()).digest(), *want[normal(t)], i is not None and i == want[normal(t)][0]) for i, t, *_ in ROWS]
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(((r.doc_id, bytes(r.digest), r.keep_id, r.group_size, r.kept) for r in found), key=key) == sorted(expected, key=key)
+
+
+def test_archive_winner_stays_even_with_a_larger_id(spark):
+    text = exact_dedup.text_digest("text").alias("digest")
+    old = documents(spark, [(90, "a b", "", 0, ""), (91, "c", "", 0, "")]).select("doc_id", text)
+    new = documents(spark, [(5, "a  b", "", 0, ""), (6, "d", "", 0, ""), (7, "d", "", 0, "")]).select("doc_id", text)
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.group_rows(old, new).collect()}
+    assert found == {90: (90, 2, True), 5: (90, 2, False), 91: (91, 1, True), 6: (6, 2, True), 7: (6, 2, False)}
+
+
+def test_deduplicate_keeps_one_row_of_each_text_with_its_columns(spark):
+    docs = documents(spark)
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.schema == docs.schema
+    rows = kept.collect()
+    assert sorted(normal(r.text) for r in rows) == sorted(brute_groups(ROWS))
+    assert {(r.doc_id, r.text) for r in rows} <= {r[:2] for r in ROWS}
+    assert exact_dedup.deduplicate(documents(spark, [])).count() == 0
+
+
+def brute_classes(rows):
+    sets = [ngram_join.ngram_set(ngram_join.split_words(t or "")) for _, t, *_ in rows]
+    near = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    links = [[j for j in range(len(rows)) if j != i and near(sets[i], sets[j])] for i in range(len(rows))]
+    names = list(range(len(rows)))
+    for i in range(len(rows)):
+        todo, seen = [i], {i}
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        names[i] = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+    return names, [len(x) for x in links]
+
+
+def near_rows(n, seed=1):
+    draw = random.Random(seed)
+    base = [prose(80, draw).split() for _ in range(3)]
+    rows = []
+    for i in range(n):
+        words = list(draw.choice(base))
+        for _ in range(draw.choice([0, 0, 1, 1, 2, 9])):
+            words[draw.randrange(len(words))] = draw.choice(["swap", "Other", "third"])
+        rows.append((i + 100, " ".join(words), "", i, ""))
+    return rows
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_ngram_classes_and_links_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    rows = ROWS + near_rows(60)
+    names, links = brute_classes(rows)
+    found = ngram_join.join(documents(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, found), key=key) == sorted(((r[0], c, n) for r, c, n in zip(rows, names, links, strict=True)), key=key)
+
+
+def test_keep_one_keeps_one_of_each_class_and_all_wordless_texts(spark):
+    docs = documents(spark, ROWS + near_rows(30))
+    kept = ngram_join.keep_one(docs)
+    assert kept.schema == docs.schema
+    rows = [tuple(r) for r in kept.collect()]
+    with_words = [r for r in rows if ngram_join.split_words(r[1] or "")]
+    links = brute_classes(with_words)[1]
+    assert not any(links) and len(rows) - len(with_words) == sum(not ngram_join.split_words(r[1] or "") for r in ROWS)
+    every = brute_classes([r for r in ROWS + near_rows(30) if ngram_join.split_words(r[1] or "")])[0]
+    assert sorted(map(str, {r[0] for r in with_words})) == sorted(map(str, set(every)))
+    assert ngram_join.keep_one(documents(spark, [])).count() == 0
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(20, 60)] + [(100, i) for i in range(101, 200)] + [(7, 7)]
+    found = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(20, 61), 20), **dict.fromkeys(range(100, 200), 100)}
