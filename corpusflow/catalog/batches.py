@@ -139,7 +139,8 @@ def _copies(table: str, key: str, ratio: float, limit: int) -> str:
     cut = round((ratio - whole) * 2**32)
     return f"""SELECT id, c AS copy, '{table}' AS modality FROM (SELECT {key} AS id, length(text) AS n,
         {whole} + CASE WHEN {C.sql_hash(key, "'1'", "'2'")} < {cut} THEN 1 ELSE 0 END AS copies FROM {table}) s,
-      unnest(generate_series(0, copies - 1)) u(c) WHERE n <= {limit}"""
+      unnest(generate_series(0, copies - 1)) u(c) WHERE n <= {limit}
+    UNION ALL SELECT {key}, -1, '{table}' FROM {table} WHERE length(text) > {limit}"""
 
 
 @catalog.add(
@@ -155,8 +156,9 @@ def mix_modalities(t: Tables):
     tables = {name: df.withColumn("n", F.length("text")) for name, df in _texts(t).items()}
     limits = {"documents": (6000, 6000), "conversations": (6000, 6000), "benchmark": (1024, 6000)}
     ratios = {"documents": 1.0, "conversations": 0.5, "benchmark": 2.25}
-    mixed = mixing.mix_modalities(tables, ratios, lengths=("n", "n"), limits=limits, seed=1, epoch=2)
-    return mixed.select("id", F.col("copy").cast("bigint").alias("copy"), "modality")
+    mixed, rejected = mixing.mix_modalities(tables, ratios, lengths=("n", "n"), limits=limits, seed=1, epoch=2)
+    both = stack_rows(mixed, rejected.withColumn("copy", F.lit(-1)))
+    return both.select("id", F.col("copy").cast("bigint").alias("copy"), "modality")
 
 
 @catalog.add(

@@ -58,9 +58,7 @@ def user_frames(t: Tables) -> Sequences:
 def user_intervals(t: Tables) -> Sequences:
     """The gap before each event as an alignment interval named after the event."""
     timed = user_frames(t).previous(F.col("sec"), "start", F.lit(0.0))
-    return timed.with_df(
-        timed.df.select("user_id", "t", F.col("symbol").alias("phone"), "start", F.col("sec").alias("end"))
-    )
+    return timed.select(F.col("symbol").alias("phone"), "start", F.col("sec").alias("end"))
 
 
 def user_segments(t: Tables) -> tuple[Sequences, DataFrame]:
@@ -68,7 +66,7 @@ def user_segments(t: Tables) -> tuple[Sequences, DataFrame]:
     from corpusflow.operators.alignment import offsets
 
     frames = user_frames(t)
-    lengths = frames.with_df(frames.df.select("user_id", "t", F.pmod("event_id", F.lit(3)).alias("duration")))
+    lengths = frames.select(F.pmod("event_id", F.lit(3)).alias("duration"))
     spans = offsets(lengths).df
     return frames, spans.select("user_id", F.col("t").alias("seg"), "start_frame", "end_frame")
 

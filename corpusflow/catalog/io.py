@@ -12,7 +12,6 @@ from corpusflow.session import scratch_path
 from corpusflow.sources import evaluation, features, lines, manifests, vocab
 
 catalog = Catalog()
-LANGS = ("de", "en", "es", "fr")
 
 
 @catalog.add(
@@ -41,8 +40,8 @@ def scan_manifest_grid(t: Tables):
     path = scratch_path(t.spark, "grid")
     tagged = t.documents.withColumn("split", C.split_of(F.col("doc_id")))
     manifests.write_manifest(tagged, path, ["doc_id", "n_chars"], by=("lang", "split"))
-    # A small table may leave cells empty; there are 16 at most.
-    cells = tagged.filter(F.col("lang").isin(*LANGS)).select("lang", "split").distinct().collect()
+    # The grid is what the catalogue of the corpus lists: its languages and splits, whatever they are.
+    cells = tagged.select("lang", "split").distinct().collect()
     grid = manifests.scan_manifest_grid(t.spark, path + "/lang={lang}/split={split}", map(tuple, cells), ["doc_id", "n_chars"])
     return grid.groupBy("lang", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("n_chars").cast("bigint")).alias("n_frames")

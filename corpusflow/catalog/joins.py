@@ -146,22 +146,46 @@ def multitask_lookup(t: Tables):
     return full.select("doc_id", "source", "multitask.phoneme", "multitask.unigram")
 
 
+_SQL_EMPTIED = "CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN '' ELSE text END"
+
+
 @catalog.add(
     f"""WITH {SQL_VOCAB_IDS},
     tok AS (SELECT conv_id, turn, i, w[i] AS token
-      FROM (SELECT conv_id, turn, {C.sql_words('text')} AS w FROM conversations) c, unnest(generate_series(1, len(w))) u(i))
-    SELECT conv_id, turn, string_agg(coalesce(id, 3)::VARCHAR, ' ' ORDER BY i) || ' 2' AS ids,
-      count(*)::BIGINT AS n_tokens, (count(*) - count(id))::BIGINT AS n_oov
-    FROM tok LEFT JOIN vocab USING (token) GROUP BY conv_id, turn"""
+      FROM (SELECT conv_id, turn, {C.sql_words(_SQL_EMPTIED)} AS w FROM conversations) c, unnest(generate_series(1, len(w))) u(i)),
+    e AS (SELECT conv_id, turn, string_agg(coalesce(id, 3)::VARCHAR, ' ' ORDER BY i) || ' 2' AS ids,
+        count(*)::BIGINT AS n_tokens, (count(*) - count(id))::BIGINT AS n_oov
+      FROM tok LEFT JOIN vocab USING (token) GROUP BY conv_id, turn)
+    SELECT conv_id, turn, coalesce(ids, '2') AS ids, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_oov, 0) AS n_oov
+    FROM conversations LEFT JOIN e USING (conv_id, turn)"""
 )
 def encode_tokens(t: Tables):
-    key = ["conv_id", "turn"]
-    laid = t.conversations.select(*key, "text").repartition(*key)
-    tokens = exploded(laid, key, token=words(F.col("text")))
-    encoded = joins.encode_tokens(tokens, benchmark_vocab(t))
+    """Every third first turn is emptied: a sample without tokens still gets its end symbol."""
+    encoded = _encoded(t)
     return encoded.withColumn("ids", C.joined(F.col("ids")))
 
 
+def _encoded(t: Tables):
+    key = ["conv_id", "turn"]
+    text = F.when((F.col("turn") == 0) & (F.pmod("conv_id", F.lit(3)) == 0), F.lit("")).otherwise(F.col("text"))
+    samples = t.conversations.select(*key, text.alias("text")).repartition(*key)
+    return joins.encode_tokens(exploded(samples, key, token=words(F.col("text"))), benchmark_vocab(t), samples)
+
+
+@catalog.add(
+    f"""WITH {SQL_VOCAB_IDS},
+    tok AS (SELECT conv_id, turn, i, w[i] AS token
+      FROM (SELECT conv_id, turn, {C.sql_words(_SQL_EMPTIED)} AS w FROM conversations) c, unnest(generate_series(1, len(w))) u(i)),
+    e AS (SELECT conv_id, turn, string_agg(CASE WHEN id IS NULL THEN '<unk>' ELSE token END, ' ' ORDER BY i) || ' </s>' AS symbols
+      FROM tok LEFT JOIN vocab USING (token) GROUP BY conv_id, turn)
+    SELECT conv_id, turn, coalesce(symbols, '</s>') AS symbols FROM conversations LEFT JOIN e USING (conv_id, turn)"""
+)
+def ids_to_symbols(t: Tables):
+    key = ["conv_id", "turn"]
+    back = joins.decode_ids(_encoded(t), benchmark_vocab(t), key=key)
+    return back.select(*key, F.array_join("symbols", " ").alias("symbols"))
+
+
 @catalog.add(
     f"""WITH {C.SQL_PAIRS.replace('pairs AS', 'p AS')},
     j AS (SELECT a.pos // 16 AS batch, a.pos % 16 AS i, b.pos % 16 AS j,
@@ -178,11 +202,10 @@ def encode_tokens(t: Tables):
 )
 def batch_pair_similarity(t: Tables):
     even, odd = C.even_odd(t)
-    scored = [
-        similarity.pair_similarity(even, odd, metric, batch_rows=16).withColumn("metric", F.lit(metric))
-        for metric in similarity.METRICS
-    ]
-    return stack_rows(*scored).withColumn("similarity", F.round("similarity", 6))
+    pairs = similarity.pair_similarity(even, odd, *similarity.METRICS, batch_rows=16)
+    return pairs.unpivot(["batch", "i", "j"], list(similarity.METRICS), "metric", "similarity").withColumn(
+        "similarity", F.round("similarity", 6)
+    )
 
 
 @catalog.add(

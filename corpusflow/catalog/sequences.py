@@ -66,10 +66,7 @@ def duration_offsets(t: Tables):
 )
 def segment_mean(t: Tables):
     frames, segments = C.user_segments(t)
-    values = frames.with_df(frames.df.select("user_id", "t", "value"))
-    plain = alignment.segment_mean(values, segments, "value")
-    logs = alignment.segment_mean(values, segments, "value", log_scale=True).drop("n_frames")
-    both = plain.join(logs.withColumnRenamed("mean", "log_mean"), ["user_id", "seg"])
+    both = alignment.segment_mean(frames, segments, "value", log_mean="log_mean")
     return both.select("user_id", "seg", C.r6(F.col("mean"), "mean"), C.r6(F.col("log_mean"), "log_mean"), "n_frames")
 
 

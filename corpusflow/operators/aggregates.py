@@ -83,29 +83,28 @@ def reduce_metrics(logs: DataFrame, losses: Sequence[str], sample_size: str = "s
 def log_sum_exp(df: DataFrame, keys: Sequence[str], value: Column, **extra: Column) -> DataFrame:
     """``ln(sum(exp(value)))`` per key in one pass, whatever the range of the values and the group size.
 
-    Values are added up inside exponent ranges, which plain partial sums can do; a key is left
-    with a handful of range sums, and those are combined under their largest exponent. ``extra``
-    aggregates (sums) come along.
+    Values are added up inside exponent ranges, which plain partial sums can do. Of a key's ranges
+    only the highest and the one below it can count: what lies further down is smaller by a factor of
+    exp(64) or more. Both are kept by plain maxima and sums. ``extra`` aggregates (sums) come along.
     """
     finite = F.when(value > float("-inf"), value)
-    ranged = df.withColumn("_x", finite).withColumn("_range", F.floor(F.col("_x") / _LOG_RANGE))
+    ranged = df.withColumn("_x", finite).withColumn("_range", F.floor(F.col("_x") / _LOG_RANGE).cast("bigint"))
     partial = ranged.groupBy(*keys, "_range").agg(
         F.sum(F.exp(F.col("_x") - F.col("_range") * _LOG_RANGE)).alias("_s"),
         *[F.sum(col).alias(name) for name, col in extra.items()],
     )
-    top = F.max("_range")
+    # The range below the top is the highest one of the other parity, or it is empty.
+    parity = F.pmod("_range", F.lit(2))
+    halves = [F.when(parity == side, F.col("_range")) for side in (0, 1)]
     merged = partial.groupBy(*keys).agg(
-        top.alias("_top"),
-        F.collect_list(F.when(F.col("_range").isNotNull(), F.struct("_range", "_s"))).alias("_parts"),
+        *[F.max(half).alias(f"_r{side}") for side, half in enumerate(halves)],
+        *[F.max_by("_s", half).alias(f"_s{side}") for side, half in enumerate(halves)],
         *[F.sum(name).alias(name) for name in extra],
     )
-    total = F.aggregate(
-        "_parts",
-        F.lit(0.0),
-        lambda acc, p: acc + p["_s"] * F.exp((p["_range"] - F.col("_top")) * _LOG_RANGE),
-    )
-    result = F.coalesce(F.ln(total) + F.col("_top") * _LOG_RANGE, F.lit(float("-inf")))
-    return merged.withColumn("lse", result).drop("_top", "_parts")
+    top = F.greatest("_r0", "_r1")
+    parts = [F.coalesce(F.col(f"_s{side}") * F.exp((F.col(f"_r{side}") - top) * _LOG_RANGE), F.lit(0.0)) for side in (0, 1)]
+    result = F.coalesce(F.ln(parts[0] + parts[1]) + top * _LOG_RANGE, F.lit(float("-inf")))
+    return merged.select(*keys, *extra, result.alias("lse"))
 
 
 def ensemble_logavg(df: DataFrame, keys: Sequence[str], log_prob: Column) -> DataFrame:
@@ -128,14 +127,18 @@ def average_best(df: DataFrame, group: str, loss: Sequence[Column], vector: str,
 def regression_errors(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Synthesis errors over valid positions, and their sum.
 
-    Columns: frame, frame_gold, pitch, pitch_gold, energy, energy_gold, log_duration, duration_gold.
+    Columns: frame, frame_gold, pitch, pitch_gold, energy, energy_gold, log_duration, duration_gold;
+    with ``frame_post``, the prediction after the post-net, its error is added to the frame error.
     """
 
     def mse(a: str, b: Column) -> Column:
         return F.avg(F.pow(F.col(a) - b, F.lit(2.0)))
 
+    l1 = F.avg(F.abs(F.col("frame") - F.col("frame_gold")))
+    if "frame_post" in pairs.columns:
+        l1 = l1 + F.avg(F.abs(F.col("frame_post") - F.col("frame_gold")))
     errors = pairs.groupBy(*by).agg(
-        F.avg(F.abs(F.col("frame") - F.col("frame_gold"))).alias("l1"),
+        l1.alias("l1"),
         mse("log_duration", F.log1p(F.col("duration_gold").cast("double"))).alias("dur"),
         mse("pitch", F.col("pitch_gold")).alias("pitch"),
         mse("energy", F.col("energy_gold")).alias("energy"),
@@ -148,18 +151,20 @@ def split_summary(df: DataFrame, split: str, length: Column, tokens: Column) ->
 
     Counts of the distinct tokens are taken per (split, token) first, so no split gathers its words.
     """
-    sizes = df.groupBy(split).agg(
+    group = F.struct(split).alias("_split")
+    sizes = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.sum(length).alias("n_frames"),
         F.min(length).alias("min_len"),
         F.avg(length).alias("mean_len"),
         F.max(length).alias("max_len"),
     )
-    per_token = df.select(split, F.explode(tokens).alias("token")).groupBy(split, "token").agg(
+    per_token = df.select(group, F.explode(tokens).alias("token")).groupBy("_split", "token").agg(
         F.count(F.lit(1)).alias("_c")
     )
-    vocab = per_token.groupBy(split).agg(F.sum("_c").alias("n_tokens"), F.count(F.lit(1)).alias("vocab_size"))
-    return sizes.join(vocab, split, "left").fillna(0, ["n_tokens", "vocab_size"])
+    vocab = per_token.groupBy("_split").agg(F.sum("_c").alias("n_tokens"), F.count(F.lit(1)).alias("vocab_size"))
+    joined = sizes.join(vocab, "_split", "left").fillna(0, ["n_tokens", "vocab_size"])
+    return joined.select("_split.*", *[c for c in joined.columns if c != "_split"])
 
 
 def size_ratios(sizes: DataFrame, alpha: float) -> DataFrame:

@@ -46,9 +46,8 @@ def trim_silence(
     )
     kept = ends.filter(at.between(F.col("_first"), F.col("_last")))
     kept = kept.running_sum(F.lit(1), position)
-    return kept.with_df(
-        kept.df.withColumn(position, (F.col(position) - 1).cast("bigint")).drop("_first", "_last"), t=position
-    )
+    numbered = kept.with_columns({position: (F.col(position) - 1).cast("bigint")}).drop("_first", "_last")
+    return numbered.with_df(numbered.raw, t=position)
 
 
 def trimmed_samples(samples: DataFrame, trimmed: Sequences, duration: str = "duration") -> DataFrame:
@@ -72,7 +71,7 @@ def offsets(durations: Sequences, duration: str = "duration") -> Sequences:
 
 
 def _covered(frames: Sequences, segments: DataFrame, seg: str) -> Sequences:
-    """Frames (``_frame`` true) and segments (false) in one sequence; ``frames.bounded`` speaks for both.
+    """Frames (``_frame`` true) and segments (false) in one sequence; ``frames.one_row`` speaks for both.
 
     ``_covering`` is the segment last opened before a frame; a segment row names itself there. A
     segment without frames opens nothing.
@@ -104,22 +103,29 @@ def frames_to_segments(frames: Sequences, segments: DataFrame, seg: str = "seg")
 
 
 def segment_mean(
-    frames: Sequences, segments: DataFrame, value: str, seg: str = "seg", log_scale: bool = False
+    frames: Sequences,
+    segments: DataFrame,
+    value: str,
+    seg: str = "seg",
+    log_scale: bool = False,
+    log_mean: str | None = None,
 ) -> DataFrame:
     """Mean of ``value`` over each segment's frames; a segment without frames gets 0.
 
-    The segments travel with the frames, so those without frames need no join to show up.
+    The segments travel with the frames, so those without frames need no join to show up. ``log_mean``
+    names a column for the mean in log beside the plain one, from the same pass.
     """
-    taken = F.ln(F.greatest(F.col(value), F.lit(LOG_FLOOR))) if log_scale else F.col(value)
-    slim = frames.with_df(frames.df.select(*frames.keys, frames.t, F.col(value)))
+    logged = F.ln(F.greatest(F.col(value), F.lit(LOG_FLOOR)))
+    slim = frames.with_df(frames.df.select(*frames.keys, frames.t, value))
     rows = _covered(slim, segments, seg).df.filter(
         ~F.col("_frame") | (F.col(frames.t) < F.col("_covering.end"))
     )
-    measured = F.when(F.col("_frame") & F.col(value).isNotNull(), taken)
-    return (
-        rows.select(*frames.keys, F.col("_covering.seg").alias(seg), measured.alias("_v"))
-        .groupBy(*frames.keys, seg)
-        .agg(F.coalesce(F.avg("_v"), F.lit(0.0)).alias("mean"), F.count("_v").alias("n_frames"))
+    measured = F.col("_frame") & F.col(value).isNotNull()
+    mean = lambda taken, name: F.coalesce(F.avg(F.when(measured, taken)), F.lit(0.0)).alias(name)
+    return rows.groupBy(*frames.keys, F.col("_covering.seg").alias(seg)).agg(
+        mean(logged if log_scale else F.col(value), "mean"),
+        *([mean(logged, log_mean)] if log_mean else []),
+        F.count(F.when(measured, 1)).alias("n_frames"),
     )
 
 

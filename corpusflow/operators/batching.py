@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions.arrays import pad_to
 from corpusflow.functions.hashing import bucket_hash, digest
-from corpusflow.operators.sequences import WINDOW_ROWS, with_position
+from corpusflow.operators.sequences import with_position
 
 # Contract of the budget sampler: samples of one length bucket share batches.
 BUCKET_WIDTH = 256
@@ -24,20 +24,19 @@ def length_order(
     shuffle: bool = False,
     seed: int = 1,
     epoch: int = 1,
-    name: str = "pos",
-    window_rows: int = WINDOW_ROWS,
+    name: str = "pos"
 ) -> DataFrame:
     """Number the samples by falling length; ties in original order, or permuted for training."""
     tie = [digest(F.col(idx), seed, epoch), F.col(idx)] if shuffle else [F.col(idx)]
-    return with_position(df, [], [F.col(length).desc(), *tie], name, window_rows=window_rows)
+    return with_position(df, [], [F.col(length).desc(), *tie], name)
 
 
 def epoch_shuffle(
-    df: DataFrame, key: Sequence[str], seed: int, epoch: int, name: str = "pos", window_rows: int = WINDOW_ROWS
+    df: DataFrame, key: Sequence[str], seed: int, epoch: int, name: str = "pos"
 ) -> DataFrame:
     """Number the rows by a permutation that (seed, epoch) fixes; ``key`` is unique."""
     columns = [F.col(k) for k in key]
-    return with_position(df, [], [digest(*columns, seed, epoch), *columns], name, window_rows=window_rows)
+    return with_position(df, [], [digest(*columns, seed, epoch), *columns], name)
 
 
 def token_batches(

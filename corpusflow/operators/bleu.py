@@ -1,4 +1,4 @@
-"""Corpus BLEU as one aggregation over n-grams.
+"""Corpus BLEU: n-grams are counted inside each sentence pair, then summed.
 
 Contract: orders 1 to 4, one reference, matches clipped per sentence, exponential smoothing of
 orders without a match, brevity penalty, 0 to 100. If no order has a match, or the corpus is too
@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusflow.functions.text import tokenize_13a
 
@@ -31,40 +34,62 @@ def with_ngrams(df: DataFrame, tokens: str, order: int = MAX_ORDER) -> DataFrame
     return df
 
 
-def ngram_counts(tokens: DataFrame, hyp: str, ref: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, matches, hyp_ngrams, ref_ngrams), summed over the sentences of each group.
-
-    ``tokens`` is laid out by ``_lay`` (a function of ``key``, which is unique per sentence) already,
-    so the many n-gram rows are counted where they arise and never travel.
+def _sentence_matches(hyp: pa.ListArray, ref: pa.ListArray) -> np.ndarray:
+    """Clipped matches of each order, for each pair of token lists: rows x orders."""
+    sides = [hyp, ref]
+    coded = pa.concat_arrays([pc.list_flatten(s) for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.concatenate([pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False) for s in sides])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(hyp), MAX_ORDER), np.int64)
+    words, grams, start = coded, coded, np.arange(len(coded))
+    for order in range(1, MAX_ORDER + 1):
+        if order > 1:
+            # A gram goes on by the next word, as long as the sentence does.
+            inside = start[start + order - 1 < len(row)]
+            inside = inside[row[inside + order - 1] == row[inside]]
+            grams = grams[np.searchsorted(start, inside)] * (words.max(initial=0) + 1) + words[inside + order - 1]
+            start = inside
+        grams = np.unique(grams, return_inverse=True)[1]
+        owner, width = row[start], grams.max(initial=0) + 1
+        ours = owner < len(hyp)
+        (a, n), (b, m) = (np.unique(k, return_counts=True) for k in (owner[ours] * width + grams[ours], (owner[~ours] - len(hyp)) * width + grams[~ours]))
+        both, at, other = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        out[:, order - 1] = np.bincount(both // width, weights=np.minimum(n[at], m[other]), minlength=len(hyp))
+    return out
+
+
+#: Sentence pairs whose n-grams are counted at a time.
+PAIRS_AT_ONCE = 256
+
+
+def sentence_counts(tokens: DataFrame, hyp: str, ref: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, m1..m4, hyp_len, ref_len...) for each sentence pair: matches and n-gram numbers of each order.
+
+    The n-grams of a pair are counted where its tokens are, so no key is needed and none can be wrong.
     """
-    key = ["_lay", key]
-    grams = with_ngrams(with_ngrams(tokens, hyp), ref)
-    sided = [
-        F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.col(column if n == 1 else f"{column}_{n}").alias("grams"))
-        for side, column in ((0, hyp), (1, ref))
-        for n in range(1, MAX_ORDER + 1)
-    ]
-    rows = grams.select(*by, *key, F.explode(F.array(*sided)).alias("_s"))
-    rows = rows.select(*by, *key, "_s.side", "_s.n", F.explode("_s.grams").alias("gram"))
-    is_hyp = F.when(F.col("side") == 0, 1).otherwise(0)
-    counted = rows.groupBy(*by, *key, "n", "gram").agg(F.sum(is_hyp).alias("h"), F.sum(1 - is_hyp).alias("r"))
-    return counted.groupBy(*by, "n").agg(
-        F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp_ngrams"), F.sum("r").alias("ref_ngrams")
-    )
+    orders = range(1, MAX_ORDER + 1)
+    schema = T.StructType([*tokens.select(*by).schema.fields] + [T.StructField(f"{c}{n}", T.LongType()) for c in "mtr" for n in orders])
 
+    def task(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                sides = [part.column(c) for c in (hyp, ref)]
+                matches = _sentence_matches(*sides)
+                columns = {b: part.column(b) for b in by} | {f"m{n}": pa.array(matches[:, n - 1]) for n in orders}
+                for name, side in zip("tr", sides, strict=True):
+                    length = side.value_lengths().to_numpy(zero_copy_only=False)
+                    columns |= {f"{name}{n}": pa.array(np.maximum(length - (n - 1), 0).astype(np.int64)) for n in orders}
+                yield pa.RecordBatch.from_pydict(columns)
 
-def score_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The score of each group from its n-gram counts (at most one row per order)."""
+    return tokens.select(*by, hyp, ref).mapInArrow(task, schema)
 
-    def of(column: str, n: int) -> Column:
-        return F.coalesce(F.max(F.when(F.col("n") == n, F.col(column))), F.lit(0)).cast("double")
 
+def score_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The score of each group from the counts of its sentences."""
     orders = range(1, MAX_ORDER + 1)
-    wide = counts.groupBy(*by).agg(
-        *[of("matches", n).alias(f"m{n}") for n in orders],
-        *[of("hyp_ngrams", n).alias(f"t{n}") for n in orders],
-        of("ref_ngrams", 1).alias("_ref_len"),
-    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c)
+    wide = counts.groupBy(*by).agg(*[total(f"{c}{n}") for c in "mt" for n in orders], total("r1"))
     misses = F.lit(0)
     logs = F.lit(0.0)
     for n in orders:
@@ -74,7 +99,7 @@ def score_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         precision = F.when(t == 0, F.lit(None)).when(missed, 100.0 / (F.pow(F.lit(2.0), misses) * t)).otherwise(100.0 * m / t)
         wide = wide.withColumn(f"p{n}", precision)
         logs = logs + F.ln(F.col(f"p{n}"))
-    hyp_len, ref_len = F.col("t1"), F.col("_ref_len")
+    hyp_len, ref_len = F.col("t1"), F.col("r1")
     penalty = F.when(hyp_len == 0, 0.0).when(hyp_len >= ref_len, 1.0).otherwise(F.exp(1 - ref_len / hyp_len))
     any_match = F.col("m1") + F.col("m2") + F.col("m3") + F.col("m4") > 0
     score = F.when(any_match, F.coalesce(F.col("_bp") * F.exp(logs / MAX_ORDER), F.lit(0.0))).otherwise(F.lit(0.0))
@@ -95,20 +120,18 @@ def corpus_bleu(
     key: str = "idx",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """BLEU of the corpus, or of each group of it, from raw sentences. ``key`` is unique per pair.
+    """BLEU of the corpus, or of each group of it, from raw sentences.
 
-    Raw sentences are what is shuffled, once; tokens and n-grams come after. They are spread by a
-    hash of the key, not by the key: a layout by key left over from a join of few bytes would be
-    kept otherwise, with too few tasks for the n-grams.
+    Raw sentences are what is shuffled, once, to spread them evenly: by a hash of the whole pair, for
+    a layout left over from a join of few bytes would have too few tasks. ``key`` only adds to that
+    hash; it need not be unique.
     """
-    laid = pairs.select(*by, key, prediction, reference, F.xxhash64(key).alias("_lay")).repartition("_lay")
+    laid = pairs.select(*by, prediction, reference, F.xxhash64(key, prediction, reference).alias("_lay")).repartition("_lay")
     tokens = laid.select(
         *by,
-        "_lay",
-        key,
         *[
             tokenize_13a(F.coalesce(F.col(column), F.lit(""))).alias(side)
             for side, column in (("_hyp", prediction), ("_ref", reference))
         ],
     )
-    return score_counts(ngram_counts(tokens, "_hyp", "_ref", key, by), by)
+    return score_counts(sentence_counts(tokens, "_hyp", "_ref", by), by)

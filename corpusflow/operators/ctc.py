@@ -17,7 +17,7 @@ def _numbered_runs(frames: Sequences, symbol: str, blank) -> Sequences:
     sym = F.col(symbol)
     seen = frames.previous(sym, "_prev")
     opens = (sym != F.lit(blank)) & (F.col("_prev").isNull() | (F.col("_prev") != sym))
-    opened = seen.with_df(seen.df.withColumn("_opens", opens).drop("_prev"))
+    opened = seen.with_columns({"_opens": opens}).drop("_prev")
     return opened.running_sum(F.when(F.col("_opens"), 1).otherwise(0), "_runs")
 
 
@@ -25,7 +25,7 @@ def ctc_index(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID, name: s
     """1-based number of the label run each frame belongs to, 0 for blank frames."""
     counted = _numbered_runs(frames, symbol, blank)
     run = F.when(F.col(symbol) != F.lit(blank), F.col("_runs")).otherwise(0).cast("bigint")
-    return counted.with_df(counted.df.withColumn(name, run).drop("_opens", "_runs"))
+    return counted.with_columns({name: run}).drop("_opens", "_runs")
 
 
 def ctc_collapse(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID) -> Sequences:
@@ -38,7 +38,7 @@ def ctc_collapse(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID) -> S
     labels = opening.select(
         *frames.keys, (F.col("_runs") - 1).cast("bigint").alias("pos"), symbol, F.col(frames.t).alias("start_frame")
     )
-    return Sequences(labels, frames.keys, "pos", frames.bounded, frames.span)
+    return Sequences(labels, frames.keys, "pos", frames.one_row, frames.span)
 
 
 def ctc_lengths(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID) -> DataFrame:
@@ -104,7 +104,7 @@ def uniform_upsample(
     first, last = first.cast("bigint"), last.cast("bigint")
     outputs = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     df = seen.df.withColumn("_out", F.explode(outputs)).withColumn("src", F.col(t)).withColumn(t, F.col("_out"))
-    return sequences.with_df(df.drop("_out", "_m", "_n"), bounded=False)
+    return sequences.with_df(df.drop("_out", "_m", "_n"), one_row=False)
 
 
 def length_regulate(tokens: Sequences, duration: str = "duration", frame: str = "frame") -> Sequences:
@@ -115,7 +115,7 @@ def length_regulate(tokens: Sequences, duration: str = "duration", frame: str =
         F.array().cast("array<bigint>")
     )
     df = summed.df.withColumn(frame, F.explode(frames)).drop("_end")
-    return tokens.with_df(df, t=frame, bounded=False)
+    return tokens.with_df(df, t=frame, one_row=False)
 
 
 def shift_right(frames: Sequences, value: str, name: str = "prev", zero: Column | None = None) -> Sequences:

@@ -6,16 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusflow.operators.lookups import join_small
-
 # Directions of the corpus, by release.
 TO_ENGLISH = {
-    1: "fr de nl ru es it tr fa sv-SE mn zh-CN".split(),
-    2: "fr de es ca it ru zh-CN pt fa et mn nl tr ar sv-SE lv sl ta ja id cy".split(),
+    1: ("fr", "de", "nl", "ru", "es", "it", "tr", "fa", "sv-SE", "mn", "zh-CN"),
+    2: (
+        "fr", "de", "es", "ca", "it", "ru", "zh-CN", "pt", "fa", "et", "mn", "nl", "tr", "ar", "sv-SE", "lv", "sl", "ta", "ja",
+        "id", "cy",
+    ),
 }
 FROM_ENGLISH = {
-    1: [],
-    2: "de tr fa sv-SE mn zh-CN cy ca sl et id ar ta lv ja".split(),
+    1: (),
+    2: ("de", "tr", "fa", "sv-SE", "mn", "zh-CN", "cy", "ca", "sl", "et", "id", "ar", "ta", "lv", "ja"),
 }
 VERSIONS = (2,)
 
@@ -70,10 +71,10 @@ def with_optional(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 def all_or_nothing(df: DataFrame, columns: Sequence[str], by: str = "split") -> DataFrame:
     """An optional column counts only if every row of its split has it; else it is null there."""
-    flags = df.groupBy(by).agg(*[F.bool_and(F.col(c).isNotNull()).alias(f"_has_{c}") for c in columns])
-    joined = join_small(df, flags, [by])
+    flags = df.groupBy(F.col(by).alias("_by")).agg(*[F.bool_and(F.col(c).isNotNull()).alias(f"_has_{c}") for c in columns])
+    joined = df.join(flags, F.col(by).eqNullSafe(F.col("_by")), "left")
     kept = joined.withColumns({c: F.when(F.col(f"_has_{c}"), F.col(c)) for c in columns})
-    return kept.drop(*[f"_has_{c}" for c in columns])
+    return kept.drop("_by", *[f"_has_{c}" for c in columns])
 
 
 def resolve_path(root: str, col: Column) -> Column:

@@ -42,5 +42,7 @@ def no_repeat_ngram(hyps: DataFrame, tokens: Column, n: int) -> DataFrame:
 
 def one_best(hyps: DataFrame, item: list[str], hyp: str, tokens: str, score: Column) -> DataFrame:
     """Cleaned text of the best hypothesis of each item, the first one among equals."""
-    best = hyps.groupBy(*item).agg(F.max_by(F.struct(hyp, tokens), F.struct(score, -F.col(hyp))).alias("_b"))
-    return best.select(*item, F.col("_b")[hyp].alias(hyp), detokenize(F.col("_b")[tokens]).alias("text"))
+    order = Window.partitionBy(*item).orderBy(F.desc("_score"), hyp)
+    ranked = hyps.withColumn("_score", score).withColumn("_rank", F.row_number().over(order))
+    # The rank limit acts before the shuffle: an item sends one row per task, not all its tokens.
+    return ranked.filter(F.col("_rank") == 1).select(*item, hyp, detokenize(F.col(tokens)).alias("text"))

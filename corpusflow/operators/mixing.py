@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.functions.hashing import HASH_RANGE, bucket_hash, keep_fraction
 from corpusflow.operators.filters import POSITION_LIMITS, max_positions_filter
-from corpusflow.operators.lookups import join_small
-from corpusflow.operators.sequences import WINDOW_ROWS, largest_group, with_position
+from corpusflow.operators.sequences import with_position
 from corpusflow.operators.unions import stack_rows
 
 
@@ -38,17 +37,18 @@ def mix_modalities(
     limits: Mapping[str, tuple[int, int]] = POSITION_LIMITS,
     seed: int = 1,
     epoch: int = 1,
-) -> DataFrame:
-    """The training mix: every modality under its own limits and sample ratio, tagged.
+) -> tuple[DataFrame, DataFrame | None]:
+    """(mix, rejected): every modality under its own limits and sample ratio, tagged, and what the limits reject.
 
-    An evaluation set is the mix of a single modality.
+    Without ``lengths`` nothing is rejected. An evaluation set is the mix of a single modality.
     """
-    parts = []
+    parts, rejected = [], []
     for name, df in sets.items():
         if lengths is not None:
-            df, _ = max_positions_filter(df, *lengths, task=F.lit(name), limits=limits)
+            df, long = max_positions_filter(df, *lengths, task=F.lit(name), limits=limits)
+            rejected.append(long.withColumn("modality", F.lit(name)))
         parts.append(sample_copies(df, key, ratios.get(name, 1.0), seed, epoch).withColumn("modality", F.lit(name)))
-    return stack_rows(*parts)
+    return stack_rows(*parts), stack_rows(*rejected) if rejected else None
 
 
 def resample(
@@ -58,7 +58,6 @@ def resample(
     ratios: DataFrame,
     seed: int = 1,
     epoch: int = 1,
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """``ceil(n * size_ratio)`` draws from each dataset, numbered in ``draw``.
 
@@ -68,10 +67,10 @@ def resample(
     equi-join on (dataset, number).
     """
     columns = [F.col(k) for k in key]
-    largest = largest_group(df, [dataset])
     order = [bucket_hash(*columns, seed, epoch), *columns]
-    placed = with_position(df, [dataset], order, "_pos", largest, window_rows)
-    placed = join_small(placed, ratios.select(dataset, F.col("n").alias("_n"), F.col("size_ratio").alias("_r")), [dataset], "inner")
+    placed = with_position(df, [dataset], order, "_pos")
+    sizes = ratios.select(F.col(dataset).alias("_dataset"), F.col("n").alias("_n"), F.col("size_ratio").alias("_r"))
+    placed = placed.join(sizes, F.col(dataset).eqNullSafe(F.col("_dataset"))).drop("_dataset")
     placed = placed.withColumn("_size", F.ceil(F.round(F.col("_n") * F.col("_r"), 9)).cast("bigint"))
     once = placed.filter((F.col("_r") < 1) & (F.col("_pos") < F.col("_size"))).withColumn("draw", F.col("_pos"))
 
@@ -80,7 +79,9 @@ def resample(
     last = F.ceil((F.col("_pos") + 1) * F.col("_size") / F.col("_n")).cast("bigint") - 1
     draws = again.select(dataset, "_n", F.explode(F.sequence(first, last)).alias("draw"))
     target = F.floor(bucket_hash(F.col(dataset), F.col("draw"), seed, epoch) * F.col("_n") / HASH_RANGE).cast("bigint")
-    picked = draws.select(dataset, "draw", target.alias("_pos")).join(again, [dataset, "_pos"])
+    draws = draws.select(F.col(dataset).alias("_dataset"), "draw", target.alias("_at"))
+    same = F.col(dataset).eqNullSafe(F.col("_dataset")) & (F.col("_pos") == F.col("_at"))
+    picked = draws.join(again, same).drop("_dataset", "_at")
     return stack_rows(once, picked).drop("_pos", "_n", "_r", "_size")
 
 

@@ -1,10 +1,14 @@
 """Ordered sequences in long form: one row per (key, position).
 
 A sequence may be far larger than a task (one key can hold a third of a table), so nothing here
-relies on all rows of a key meeting in one place. A sequence that is not known to be short is cut
-into spans of ``span`` positions; windows run inside (key, span), each span is reduced to one row,
-and what a span needs from the spans before it is worked out on those rows and joined back on
-(key, span). A sequence known to be short (``bounded``) takes the plain window plan.
+relies on all rows of a key meeting in one place, at any size. A sequence is cut into spans that
+follow its order; windows run inside (key, span), each span is reduced to one row, and what a span
+needs from the spans before it is worked out on those rows and joined back on (key, span). Key and
+span stay with the rows as hidden columns, so a chain of steps shuffles its full rows once. A key is
+compared as a struct, where nulls are equal: rows with a null key are a sequence like others.
+
+Only a sequence exploded from the arrays of one row (``one_row``) takes plain windows: it fitted a
+row before.
 """
 
 from __future__ import annotations
@@ -14,123 +18,133 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusflow.session import materialize
+from corpusflow.session import scratch_path
 
 SPAN = 1 << 16
-WINDOW_ROWS = 1 << 18
-_SPAN, _LOCAL, _CARRY = "_span", "_local", "_carry"
+_KEY, _SPAN, _LOCAL, _CARRY = "_key", "_span", "_local", "_carry"
+
+
+def _key_of(keys: Sequence[str]) -> Column:
+    return F.struct(*keys) if keys else F.lit(0)
 
 
 @dataclass(frozen=True)
 class Sequences:
-    """Rows of ``df`` are ordered by ``t`` (a bigint), then ``ties``, within ``keys``.
+    """Rows of ``raw`` are ordered by ``t`` (a bigint), then ``ties``, within ``keys``.
 
-    Keys hold no nulls. ``bounded`` states that each sequence fits a task: it was measured, or it
-    came out of one row.
+    ``raw`` may hold the hidden key and span; ``df`` is the table without them. ``one_row`` states
+    that each sequence came out of one row.
     """
 
-    df: DataFrame
+    raw: DataFrame
     keys: tuple[str, ...]
     t: str = "t"
-    bounded: bool = False
+    one_row: bool = False
     span: int = SPAN
     ties: tuple[str, ...] = ()
 
+    @property
+    def df(self) -> DataFrame:
+        return self.raw.drop(_KEY, _SPAN)
+
     def with_df(self, df: DataFrame, **changes) -> Sequences:
-        return replace(self, df=df, **changes)
+        return replace(self, raw=df, **changes)
 
     def filter(self, condition: Column) -> Sequences:
-        return self.with_df(self.df.filter(condition))
+        return self.with_df(self.raw.filter(condition))
 
     def with_columns(self, columns: dict[str, Column]) -> Sequences:
-        return self.with_df(self.df.withColumns(columns))
+        return self.with_df(self.raw.withColumns(columns))
+
+    def drop(self, *columns: str) -> Sequences:
+        return self.with_df(self.raw.drop(*columns))
+
+    def select(self, *columns: str | Column) -> Sequences:
+        """Keys, position and these columns; rows stay where they lie."""
+        hidden = [c for c in (_KEY, _SPAN) if c in self.raw.columns]
+        return self.with_df(self.raw.select(*hidden, *self.keys, self.t, *columns))
 
     @property
     def _order(self) -> list[str]:
         return [self.t, *self.ties]
 
     def _spanned(self) -> DataFrame:
-        if self.bounded:
-            return self.df
-        return self.df.withColumn(_SPAN, F.floor(F.col(self.t) / F.lit(self.span)).cast("bigint"))
+        if self.one_row or _SPAN in self.raw.columns:
+            return self.raw
+        span = F.floor(F.col(self.t) / F.lit(self.span)).cast("bigint")
+        return self.raw.withColumns({_KEY: _key_of(self.keys), _SPAN: span})
 
     @property
     def _groups(self) -> list[str]:
-        return [*self.keys] if self.bounded else [*self.keys, _SPAN]
+        return [*self.keys] if self.one_row else [_KEY, _SPAN]
 
     def _with_carry(self, df: DataFrame, summary: Column, carry: Column) -> DataFrame:
         """Reduce every span with ``summary`` (as ``_sum``), then give each span its ``carry``."""
-        spans = df.groupBy(*self._groups).agg(summary.alias("_sum"))
-        spans = spans.select(*self._groups, carry.alias(_CARRY))
-        return df.join(spans, self._groups)
+        spans = df.groupBy(_KEY, _SPAN).agg(summary.alias("_sum"))
+        spans = spans.select(_KEY, _SPAN, carry.alias(_CARRY))
+        return df.join(spans, [_KEY, _SPAN])
 
     def _spans_before(self):
-        return Window.partitionBy(*self.keys).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(_KEY).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
 
     def running_sum(self, value: Column, name: str) -> Sequences:
         """Sum of ``value`` up to and including each row."""
         window = Window.partitionBy(*self._groups).orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)
-        if self.bounded:
+        if self.one_row:
             return self.with_columns({name: F.sum(value).over(window)})
         df = self._spanned().withColumn("_value", value).withColumn(_LOCAL, F.sum("_value").over(window))
         carry = F.coalesce(F.sum("_sum").over(self._spans_before()), F.lit(0))
         df = self._with_carry(df, F.sum("_value"), carry)
-        return self.with_df(df.withColumn(name, F.col(_LOCAL) + F.col(_CARRY)).drop(_SPAN, _LOCAL, _CARRY, "_value"))
+        return self.with_df(df.withColumn(name, F.col(_LOCAL) + F.col(_CARRY)).drop(_LOCAL, _CARRY, "_value"))
 
     def previous(self, value: Column, name: str, default: Column | None = None) -> Sequences:
         """``value`` of the row before, ``default`` (or null) at the start of a sequence."""
         default = F.lit(None) if default is None else default
         window = Window.partitionBy(*self._groups).orderBy(*self._order)
         boxed = F.struct(value.alias("v"))
-        if self.bounded:
-            df = self.df.withColumn(_LOCAL, F.lag(boxed).over(window))
+        if self.one_row:
+            df = self.raw.withColumn(_LOCAL, F.lag(boxed).over(window))
             before = F.col(_LOCAL)
         else:
             df = self._spanned().withColumn("_boxed", boxed).withColumn(_LOCAL, F.lag("_boxed").over(window))
-            chain = Window.partitionBy(*self.keys).orderBy(_SPAN)
+            chain = Window.partitionBy(_KEY).orderBy(_SPAN)
             df = self._with_carry(
                 df, F.max_by("_boxed", F.struct(*self._order)), F.lag("_sum").over(chain)
             )
             before = F.coalesce(_LOCAL, _CARRY)
         result = F.when(before.isNull(), default).otherwise(before["v"])
-        return self.with_df(df.withColumn(name, result).drop(_SPAN, _LOCAL, _CARRY, "_boxed"))
+        return self.with_df(df.withColumn(name, result).drop(_LOCAL, _CARRY, "_boxed"))
 
     def last_seen(self, value: Column, name: str) -> Sequences:
         """The latest non-null ``value`` up to and including each row."""
         window = Window.partitionBy(*self._groups).orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)
-        if self.bounded:
+        if self.one_row:
             return self.with_columns({name: F.last(value, ignorenulls=True).over(window)})
         df = self._spanned().withColumn("_value", value)
         df = df.withColumn(_LOCAL, F.last("_value", ignorenulls=True).over(window))
         latest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*self._order)))
         carry = F.last("_sum", ignorenulls=True).over(self._spans_before())
         df = self._with_carry(df, latest, carry)
-        return self.with_df(df.withColumn(name, F.coalesce(_LOCAL, _CARRY)).drop(_SPAN, _LOCAL, _CARRY, "_value"))
+        return self.with_df(df.withColumn(name, F.coalesce(_LOCAL, _CARRY)).drop(_LOCAL, _CARRY, "_value"))
 
     def attach(self, **stats: tuple[str, Column]) -> Sequences:
         """Give every row facts about its whole sequence: ``name=("min" | "max" | "sum", column)``."""
         fold = {"min": F.min, "max": F.max, "sum": F.sum}
-        whole = Window.partitionBy(*self.keys)
-        if self.bounded:
+        if self.one_row:
+            whole = Window.partitionBy(*self.keys)
             return self.with_columns({name: fold[how](col).over(whole) for name, (how, col) in stats.items()})
-        df = self._spanned()
-        spans = df.groupBy(*self._groups).agg(*[fold[how](col).alias(name) for name, (how, col) in stats.items()])
-        spans = spans.select(
-            *self._groups, *[fold[how](name).over(whole).alias(name) for name, (how, _) in stats.items()]
-        )
-        return self.with_df(df.join(spans, self._groups).drop(_SPAN))
+        df, whole = self._spanned(), Window.partitionBy(_KEY)
+        spans = df.groupBy(_KEY, _SPAN).agg(*[fold[how](col).alias(name) for name, (how, col) in stats.items()])
+        spans = spans.select(_KEY, _SPAN, *[fold[how](name).over(whole).alias(name) for name, (how, _) in stats.items()])
+        return self.with_df(df.join(spans, [_KEY, _SPAN]))
 
     def lengths(self, name: str = "n") -> DataFrame:
         """Rows per sequence (partial counts are made before the shuffle)."""
         return self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias(name))
 
-    def collect(self, limit: int, *columns: str) -> DataFrame:
-        """One row per sequence of at most ``limit`` rows: its columns as ordered arrays.
-
-        Longer sequences are left out; :meth:`longer_than` lists them. Their rows never meet.
-        """
-        held = self.attach(_n=("sum", F.lit(1))).df.filter(F.col("_n") <= limit)
-        packed = held.groupBy(*self.keys).agg(
+    def arrays(self, *columns: str) -> DataFrame:
+        """One row per sequence: its columns as ordered arrays. For sequences that are a row by nature."""
+        packed = self.df.groupBy(*self.keys).agg(
             F.array_sort(F.collect_list(F.struct(*self._order, *columns))).alias("_rows")
         )
         return packed.select(*self.keys, *[F.col("_rows")[c].alias(c) for c in columns])
@@ -142,7 +156,7 @@ class Sequences:
 def exploded(
     df: DataFrame, keys: Sequence[str], t: str = "t", n: str | None = None, **arrays: Column
 ) -> Sequences:
-    """Sequences from array columns of one row each: every key is one row, so it is bounded.
+    """Sequences from array columns of one row each.
 
     ``n`` names a column for the length. Lay ``df`` out by ``keys`` first if windows follow: then
     whole rows are shuffled instead of their elements.
@@ -154,54 +168,35 @@ def exploded(
     rows = rows.select(
         *keys, *([n] if n else []), F.col(t).cast("bigint").alias(t), *[F.col("_item")[name].alias(name) for name in arrays]
     )
-    return Sequences(rows, tuple(keys), t, bounded=True)
+    return Sequences(rows, tuple(keys), t, one_row=True)
 
 
-def with_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str = "t",
-    largest: int | None = None,
-    window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
-    """Number the rows of each key 0, 1, ... in ``order`` (which must be unique within the key).
+def from_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], t: str = "t") -> Sequences:
+    """Sequences from rows that carry an order (unique within the key) but no position.
 
-    ``keys`` may be empty: then the whole table is one sequence. ``largest`` is the size of the
-    largest sequence; it is counted when not given. Sequences within ``window_rows`` are numbered
-    by a window. Beyond that the table is range-partitioned on (keys, order), so a hot key spreads
-    over as many partitions as it needs, and each partition learns how many rows precede it.
+    The table is range-partitioned on (keys, order), so a hot key spreads over as many partitions as
+    it needs, and each partition learns how many rows of its keys precede it. The range bounds are
+    sampled, so the layout is written to the shared folder before it is read twice. The parts of the
+    layout serve as spans.
     """
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= window_rows:
-        window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        return df.withColumn(name, (F.row_number().over(window.orderBy(*order)) - 1).cast("bigint"))
-
-    # The range bounds are sampled, so the layout is written down before it is read twice.
+    spark = df.sparkSession
     by_key = [F.col(k).asc() for k in keys]
     laid = df.repartitionByRange(*by_key, *order).sortWithinPartitions(*by_key, *order)
-    laid = materialize(laid.withColumn("_row", F.monotonically_increasing_id()))
-    laid = laid.withColumn("_part", F.shiftright("_row", 33))
-    pieces = laid.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    path = scratch_path(spark, "sequences")
+    laid.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    laid = spark.read.schema(laid.withColumn("_row", F.lit(0).cast("bigint")).schema).parquet(path)
+    laid = laid.withColumns({_KEY: _key_of(keys), _SPAN: F.shiftright("_row", 33)})
+    pieces = laid.groupBy(_KEY, _SPAN).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # At most one row per partition and key.
-    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part")
-    before = F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = pieces.select(*keys, "_part", "_first", before.alias("_before"))
-    numbered = laid.join(pieces, [*keys, "_part"])
-    position = (F.col("_before") + F.col("_row") - F.col("_first")).cast("bigint")
-    return numbered.withColumn(name, position).drop("_row", "_part", "_first", "_before")
-
+    earlier = Window.partitionBy(_KEY).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(_KEY, _SPAN, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = laid.join(pieces, [_KEY, _SPAN])
+    return Sequences(numbered.withColumn(t, F.col("_row") + F.col("_shift")).drop("_row", "_shift"), tuple(keys), t)
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
 
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "t") -> DataFrame:
+    """Number the rows of each key 0, 1, ... in ``order`` (which must be unique within the key).
 
-def from_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], t: str = "t", window_rows: int = WINDOW_ROWS
-) -> Sequences:
-    """Sequences from rows that carry an order but no position; the key sizes are counted first."""
-    largest = largest_group(df, keys)
-    numbered = with_position(df, keys, order, t, largest, window_rows)
-    return Sequences(numbered, tuple(keys), t, bounded=largest <= window_rows)
+    ``keys`` may be empty: then the whole table is one sequence.
+    """
+    return from_rows(df, keys, order, name).df

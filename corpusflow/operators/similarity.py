@@ -17,27 +17,34 @@ METRICS = {
 
 
 def _batched(df: DataFrame, batch_rows: int, side: str) -> DataFrame:
-    """(batch, position in it, vector); ``pos`` is unique, which bounds a batch by ``batch_rows``."""
+    """(batch, rows): the (position, vector) pairs of a batch, at most ``batch_rows`` of them.
+
+    ``pos`` is unique; a position that comes twice fails the job, for batches would not be bounded.
+    """
     pos = F.col("pos").cast("bigint")
-    repeated = df.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).collect()
-    if repeated:
-        raise ValueError(f"position {repeated[0]['pos']} occurs {repeated[0]['n']} times: batches would not be bounded")
-    return df.select(
-        F.floor(pos / batch_rows).cast("bigint").alias("batch"),
-        F.pmod(pos, F.lit(batch_rows)).cast("bigint").alias(side),
-        F.col("vec").alias(f"_{side}"),
+    row = F.struct(F.pmod(pos, F.lit(batch_rows)).cast("bigint").alias(side), F.col("vec").alias(f"_{side}"))
+    rows = df.groupBy(F.floor(pos / batch_rows).cast("bigint").alias("batch")).agg(
+        F.collect_list(row).alias(side), F.count(F.lit(1)).alias("_rows")
+    )
+    message = F.concat(F.lit("a position repeats: batches would not be bounded, in batch "), F.col("batch").cast("string"))
+    ok = F.when(F.col("_rows") > batch_rows, F.raise_error(message).cast("boolean")).when(
+        F.size(F.array_distinct(F.col(side)[side])) < F.col("_rows"), F.raise_error(message).cast("boolean")
     )
+    return rows.filter(ok.otherwise(F.lit(True))).drop("_rows")
 
 
-def pair_similarity(x1: DataFrame, x2: DataFrame, metric: str = "cosine", batch_rows: int = 32) -> DataFrame:
-    """Similarity of every row i of ``x1`` with every row j of ``x2`` in the same batch.
+def pair_similarity(x1: DataFrame, x2: DataFrame, *metrics: str, batch_rows: int = 32) -> DataFrame:
+    """Similarity of every row i of ``x1`` with every row j of ``x2`` in the same batch, by each metric.
 
     Both sides hold (pos, vec). A batch is a run of ``batch_rows`` positions, so each row meets at
-    most that many others however the table grows.
+    most that many others however the table grows. With one metric (cosine if none is named) the
+    column is ``similarity``, with several each has the metric's name.
     """
-    score = METRICS[metric](F.col("_i"), F.col("_j"))
+    metrics = metrics or ("cosine",)
     joined = _batched(x1, batch_rows, "i").join(_batched(x2, batch_rows, "j"), "batch")
-    return joined.select("batch", "i", "j", score.alias("similarity"))
+    pairs = joined.select("batch", F.explode("i").alias("i"), "j").select("batch", "i", F.explode("j").alias("j"))
+    scores = [METRICS[m](F.col("i._i"), F.col("j._j")).alias("similarity" if len(metrics) == 1 else m) for m in metrics]
+    return pairs.select("batch", F.col("i.i").alias("i"), F.col("j.j").alias("j"), *scores)
 
 
 def contrastive_score(similarities: DataFrame, temperature: float = 1.0, whole: bool = True) -> DataFrame:

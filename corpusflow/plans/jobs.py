@@ -10,10 +10,38 @@ from pyspark.sql import DataFrame, functions as F
 from corpusflow.functions.arrays import array_sum, format_durations
 from corpusflow.functions.text import asr_postprocess, merge_syllables, normalize_id, normalize_line
 from corpusflow.operators import alignment, batching, bleu, joins, mixing
-from corpusflow.operators.filters import MAX_TARGET, POSITION_LIMITS, select_split
+from corpusflow.operators.aggregates import token_vocab
+from corpusflow.operators.filters import POSITION_LIMITS, select_split
 from corpusflow.operators.sequences import Sequences
 from corpusflow.operators.unions import stack_rows
+from corpusflow.session import written
 from corpusflow.sources.evaluation import list_predictions
+from corpusflow.sources.manifests import write_manifest
+from corpusflow.sources.vocab import write_speakers, write_vocab
+
+
+def tts_phones(
+    intervals: Sequences,
+    pitch: Sequences,
+    energy: Sequences,
+    rate: float,
+    hop: int,
+    silence: tuple[str, ...] = alignment.SILENCE_PHONES,
+) -> Sequences:
+    """Trimmed phones of each sample in long form: duration, and pitch and energy averaged over it (in log)."""
+    keys = list(intervals.keys)
+    trimmed = alignment.trim_silence(alignment.frame_durations(intervals, rate, hop), silence=silence)
+    placed = alignment.offsets(trimmed)
+    # Written once: the segments go to both series and the phones to the result.
+    phones = written(placed.df.select(*keys, "pos", "phone", "duration", "start_sec", "end_sec", "start_frame", "end_frame"), "phones")
+    segments = phones.select(*keys, F.col("pos").alias("seg"), "start_frame", "end_frame")
+    sample = F.struct(*keys)
+    rows = phones.withColumn("_sample", sample)
+    for name, series in (("pitch", pitch), ("energy", energy)):
+        means = alignment.segment_mean(series, segments, "value", log_scale=True)
+        means = means.select(sample.alias("_sample"), F.col("seg").alias("pos"), F.col("mean").alias(name))
+        rows = rows.join(means, ["_sample", "pos"])
+    return Sequences(rows.drop("_sample"), tuple(keys), "pos")
 
 
 def tts_manifest(
@@ -24,36 +52,52 @@ def tts_manifest(
     rate: float,
     hop: int,
     silence: tuple[str, ...] = alignment.SILENCE_PHONES,
-    max_phones: int = MAX_TARGET,
+    features: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Manifest of the target side from aligned samples and frame-level pitch and energy.
 
-    Per sample: trimmed phones, their frames, and pitch and energy averaged over each phone (in
-    log). Samples without an alignment, or with more phones than a target may have, are left out;
-    :func:`~corpusflow.operators.joins.missing_alignment` and ``longer_than`` list them. All
-    joins are on (sample, phone), so a long sample is spread like any other.
+    ``samples`` holds the keys and what the manifest carries on (audio, speaker, source text); each
+    of ``features`` (one key, its columns) narrows them to the samples it has. A sample without an
+    alignment is left out; :func:`~corpusflow.operators.joins.missing_alignment` lists them. A sample
+    that is silent throughout stays, with empty arrays and ``all_silent``. No limit on phones: limits
+    belong to training. A manifest holds a sample in a row; :func:`tts_phones` is the long form.
     """
     keys = list(intervals.keys)
-    trimmed = alignment.trim_silence(alignment.frame_durations(intervals, rate, hop), silence=silence)
-    placed = alignment.offsets(trimmed)
-    segments = placed.df.select(*keys, F.col("pos").alias("seg"), "start_frame", "end_frame")
-    phones = placed.df.select(*keys, "pos", "phone", "duration", "start_sec", "end_sec")
-    for name, series in (("pitch", pitch), ("energy", energy)):
-        means = alignment.segment_mean(series, segments, "value", log_scale=True)
-        phones = phones.join(means.select(*keys, F.col("seg").alias("pos"), F.col("mean").alias(name)), [*keys, "pos"])
-    rows = placed.with_df(phones)
-    arrays = rows.collect(max_phones, "phone", "duration", "pitch", "energy", "start_sec", "end_sec")
-    manifest = arrays.select(
-        *keys,
-        array_sum(F.col("duration")).alias("n_frames"),
-        F.array_join("phone", " ").alias("tgt_text"),
-        format_durations(F.col("duration")).alias("duration"),
-        "pitch",
-        "energy",
-        F.get("start_sec", F.lit(0)).alias("start_sec"),
-        F.get("end_sec", F.lit(0)).alias("end_sec"),
+    sample = F.struct(*keys).alias("_sample")
+    arrays = tts_phones(intervals, pitch, energy, rate, hop, silence).arrays("phone", "duration", "pitch", "energy", "start_sec", "end_sec")
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    aligned = intervals.df.select(sample).distinct().join(arrays.withColumn("_sample", sample).drop(*keys), "_sample", "left")
+    manifest = aligned.select(
+        F.col("_sample"),
+        F.coalesce(array_sum(F.col("duration")), F.lit(0)).cast("bigint").alias("n_frames"),
+        F.coalesce(F.array_join("phone", " "), F.lit("")).alias("tgt_text"),
+        F.coalesce(format_durations(F.col("duration")), F.lit("")).alias("duration"),
+        F.coalesce("pitch", empty("double")).alias("pitch"),
+        F.coalesce("energy", empty("double")).alias("energy"),
+        F.coalesce(F.get("start_sec", F.lit(0)), F.lit(0.0)).alias("start_sec"),
+        F.coalesce(F.get("end_sec", F.lit(0)), F.lit(0.0)).alias("end_sec"),
+        F.col("phone").isNull().alias("all_silent"),
     )
-    return samples.join(manifest, keys)
+    if features:
+        samples = joins.complete_features(samples, features, keys[0])
+    return samples.withColumn("_sample", sample).join(manifest, "_sample").drop("_sample")
+
+
+#: Columns of the target manifest as it is written.
+TTS_COLUMNS = ("id", "audio", "n_frames", "tgt_text", "speaker", "src_text", "duration")
+
+
+def write_tts_corpus(manifest: DataFrame, folder: str) -> None:
+    """The target side on disk: one manifest per split, the phone vocabulary and the speaker list.
+
+    ``manifest`` is that of :func:`tts_manifest` with id, audio, speaker, src_text and split. Silent
+    samples are not written. Pitch and energy stay in the table; a manifest names their locations.
+    """
+    spoken = manifest.filter(~F.col("all_silent"))
+    columns = [c for c in (*TTS_COLUMNS, "pitch_location", "energy_location") if c in manifest.columns]
+    write_manifest(spoken, f"{folder}/manifest", columns)
+    write_vocab(token_vocab(spoken, F.split("tgt_text", " ")), f"{folder}/vocab")
+    write_speakers(spoken, f"{folder}/speakers")
 
 
 def s2s_manifest(
@@ -76,19 +120,16 @@ def score_predictions(
 ) -> DataFrame:
     """BLEU of the recognised predictions (path, tokens) against the reference lines (idx, text).
 
-    A prediction without a transcript scores as the empty string. Unequal sides fail the job;
-    ``unpaired_positions`` and ``prediction_problems`` name the culprits.
+    A prediction without a transcript scores as the empty string. A bad listing and unequal sides
+    fail the job; ``prediction_problems`` and ``unpaired_positions`` name the culprits.
     """
-    predictions = list_predictions(paths)
-    if joins.unpaired_positions(predictions, references).limit(1).count():
-        raise ValueError("predictions and references do not pair up by position")
-    heard = predictions.join(transcripts, "path", "left").select(
+    heard = list_predictions(paths).join(transcripts, "path", "left").select(
         "idx", asr_postprocess(F.col("tokens"), mode, silence).alias("prediction")
     )
     if language == "hok":
         heard = heard.withColumn("prediction", merge_syllables(F.col("prediction")))
     lines = references.select("idx", normalize_line(F.col("text")).alias("reference"))
-    return bleu.corpus_bleu(joins.align_by_position(heard, lines))
+    return bleu.corpus_bleu(joins.paired_by_position(heard, lines))
 
 
 @dataclass(frozen=True)
@@ -104,26 +145,25 @@ def training_batches(
     sets: Mapping[str, DataFrame],
     plan: Mapping[str, Modality],
     n_shards: int,
-    shard: int,
     limits: Mapping[str, tuple[int, int]] = POSITION_LIMITS,
     width: int = batching.BUCKET_WIDTH,
     seed: int = 1,
     epoch: int = 1,
-) -> DataFrame:
-    """One worker's share of an epoch: samples of every modality with their batch.
+) -> tuple[DataFrame, DataFrame]:
+    """(batches, rejected) of an epoch: samples of every modality with their batch and ``shard``.
 
-    Each set has (id, source_len, target_len). Batches stay within a modality and its budget.
+    Each set has (id, source_len, target_len). Batches stay within a modality and its budget. The
+    epoch is planned once; a worker reads the rows of its shard.
     """
-    parts = []
+    parts, rejected = [], []
     for name, df in sets.items():
-        mixed = mixing.mix_modalities(
+        mixed, long = mixing.mix_modalities(
             {name: df}, {name: plan[name].ratio}, lengths=("source_len", "target_len"), limits=limits, seed=seed, epoch=epoch
         )
         mixed = mixed.withColumn("sample", F.concat_ws("#", F.col("id").cast("string"), F.col("copy").cast("string")))
-        batched = batching.token_batches(
-            mixed, "source_len", "sample", plan[name].max_tokens, plan[name].max_rows, width=width
+        parts.append(
+            batching.token_batches(mixed, "source_len", "sample", plan[name].max_tokens, plan[name].max_rows, width=width)
         )
-        parts.append(batched)
-    together = stack_rows(*parts)
+        rejected.append(long)
     number = batching.batch_number(("modality", *batching.BATCH_KEY))
-    return batching.shard(together, n_shards, shard, number)
+    return stack_rows(*parts).withColumn("shard", F.pmod(number, F.lit(n_shards))), stack_rows(*rejected)

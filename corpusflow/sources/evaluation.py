@@ -31,9 +31,21 @@ def _per_index(paths: DataFrame) -> DataFrame:
 
 
 def list_predictions(paths: DataFrame) -> DataFrame:
-    """(idx, path): the file named by its index alone, else its single speaker variant."""
-    found = _per_index(paths).filter((F.col("n_exact") > 0) | (F.col("n_spoken") == 1))
-    return found.select("idx", F.coalesce("exact", "spoken").alias("path"))
+    """(idx, path): the file named by its index alone, else its single speaker variant.
+
+    Several files for an index, or indices that do not run from 0 without a gap, fail the job;
+    :func:`prediction_problems` names them all.
+    """
+    found = _per_index(paths)
+    ends = found.groupBy().agg(F.struct(F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))).scalar()
+    several = F.col("n_exact") + F.col("n_spoken") > 1
+    gap = F.col("_ends.last") + 1 != F.col("_ends.n")
+    broken = F.concat(F.lit("several predictions of index "), F.col("idx").cast("string"))
+    ok = F.when(several, F.raise_error(broken).cast("boolean")).when(
+        gap, F.raise_error(F.lit("prediction indices have a gap")).cast("boolean")
+    )
+    checked = found.withColumn("_ends", ends).filter(ok.otherwise(F.lit(True)))
+    return checked.select("idx", F.coalesce("exact", "spoken").alias("path"))
 
 
 def prediction_problems(paths: DataFrame) -> DataFrame:

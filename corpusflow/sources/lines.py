@@ -34,6 +34,17 @@ def read_reference_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("line_no", strip(F.col("value")).alias("text"))
 
 
+def read_reference_tsv(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(line_no, text) of a named column of one reference file in TSV form; positions count from the first data line."""
+    lines = numbered_lines(spark, path)
+    header = lines.filter("line_no = 0").select(F.split("value", "\t").alias("h"))
+    at = header.groupBy().agg(F.max(F.array_position("h", column))).scalar()
+    fields = F.split("value", "\t")
+    missing = F.raise_error(F.lit(f"{path} has no column {column}")).cast("boolean")
+    rows = lines.withColumn("_at", at.cast("int")).filter(F.when(F.col("_at") == 0, missing).otherwise(F.col("line_no") > 0))
+    return rows.select((F.col("line_no") - 1).alias("line_no"), strip(F.coalesce(F.get(fields, F.col("_at") - 1), F.lit(""))).alias("text"))
+
+
 def read_token_list(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, token): the first field of each line of a vocabulary or speaker file."""
     return numbered_lines(spark, path).select("line_no", F.get(words(F.col("value")), F.lit(0)).alias("token"))

@@ -8,7 +8,9 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-_READ = {"sep": "\t", "header": True, "quote": "", "escape": "\0", "mode": "FAILFAST", "maxCharsPerColumn": -1, "columnPruning": False}
+from corpusflow.operators.unions import stack_rows
+
+_READ = {"sep": "\t", "header": True, "quote": "", "escape": "\0", "mode": "FAILFAST", "enforceSchema": False, "maxCharsPerColumn": -1, "columnPruning": False}
 _WRITE = {
     "sep": "\t",
     "header": True,
@@ -18,6 +20,8 @@ _WRITE = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+#: The file a row was read from, inside this module.
+FILE = "_file"
 _UNSAFE = r"[\t\n\r\x{0}]"
 
 
@@ -25,12 +29,40 @@ def _text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_manifest_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
-    """Read manifests with a header; a line of the wrong width fails the read.
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """The field names of one manifest: the first line of the folder's or file's first file."""
+    first = spark.read.text(path).limit(1).collect()
+    return first[0]["value"].split("\t") if first else []
+
+
+def read_manifest_tsv(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], optional: Mapping[str, str | None] | None = None
+) -> DataFrame:
+    """Read manifests by header name; a line of the wrong width fails the read.
 
-    The format cannot tell an empty field from a missing one; both come back null.
+    Each path has one header, in its own order, and may hold more columns than are asked for. A
+    column of ``columns`` that a header lacks fails the read; one of ``optional`` takes its default
+    there. Partition folders give columns as usual. The format cannot tell an empty field from a
+    missing one; both come back null. One line of each path is read to learn its header, paths that
+    share a header are one scan.
     """
-    return spark.read.schema(_text_schema(columns)).options(**_READ).csv(path)
+    return _read(spark, [path] if isinstance(path, str) else path, columns, optional or {}).drop(FILE)
+
+
+def _read(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], optional: Mapping[str, str | None]) -> DataFrame:
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for one in paths:
+        by_header.setdefault(tuple(_header(spark, one)), []).append(one)
+    parts = []
+    for header, same in by_header.items():
+        raw = spark.read.schema(_text_schema(header)).options(**_READ).csv(same if len(same) > 1 else same[0])
+        lacking = [c for c in columns if c not in raw.columns]
+        if header and lacking:
+            raise ValueError(f"{same[0]} has no column {', '.join(lacking)}")
+        fields = [F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        fields += [F.coalesce(c, F.lit(v)).alias(c) if c in raw.columns else F.lit(v).cast("string").alias(c) for c, v in optional.items()]
+        parts.append(raw.select(*fields, F.col("_metadata.file_path").alias(FILE)))
+    return stack_rows(*parts) if len(parts) > 1 else parts[0]
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -47,14 +79,14 @@ def scan_manifest_grid(
 ) -> DataFrame:
     """Read one manifest per (language, split) cell and tag rows with both.
 
-    ``pattern`` is a path with ``{lang}`` and ``{split}``. One scan; a cell without a manifest is an
-    error. A full grid is ``itertools.product(langs, splits)``.
+    ``pattern`` is a path with ``{lang}`` and ``{split}``. One scan for each distinct header; a cell
+    without a manifest is an error. A full grid is ``itertools.product(langs, splits)``.
     """
     paths = [pattern.format(lang=lang, split=split) for lang, split in cells]
-    raw = read_manifest_tsv(spark, paths, columns)
+    raw = _read(spark, paths, columns, {})
     cell = re.escape(pattern).replace(re.escape("{lang}"), "([^/]+)").replace(re.escape("{split}"), "([^/]+)")
     lang_at, split_at = (1, 2) if pattern.index("{lang}") < pattern.index("{split}") else (2, 1)
-    file = F.col("_metadata.file_path")
+    file = F.col(FILE)
     return raw.select(
         *columns,
         F.regexp_extract(file, cell, lang_at).alias("lang"),
@@ -102,6 +134,9 @@ def replace_manifest(df: DataFrame, path: str, columns: Sequence[str], by: Seque
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not (fs.rename(target, hadoop.Path(kept)) and fs.rename(hadoop.Path(staged), target)):
-        raise OSError(f"could not swap {staged} into {path}")
+    if not fs.rename(target, hadoop.Path(kept)):
+        raise OSError(f"could not set {path} aside")
+    if not fs.rename(hadoop.Path(staged), target):
+        back = fs.rename(hadoop.Path(kept), target)
+        raise OSError(f"could not move {staged} to {path}; the old version is {'back in place' if back else f'at {kept}'}")
     return kept

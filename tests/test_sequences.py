@@ -26,7 +26,7 @@ def frames(spark):
 
 
 def plans(df):
-    yield Sequences(df, ("id",), bounded=True)
+    yield Sequences(df, ("id",), one_row=True)
     for span in (1, 7, 64, 10_000):
         yield Sequences(df, ("id",), span=span)
 
@@ -76,15 +76,15 @@ def test_last_seen(frames):
         assert rows_of(got.df.fillna(0, ["m"]), "id", "t", "m") == sorted(wanted)
 
 
-def test_attach_and_collect(frames):
+def test_attach_and_arrays(frames):
     df, rows = frames
     groups = by_key(rows)
     for plan in plans(df):
         got = plan.attach(n=("sum", F.lit(1)), last=("max", F.col("t")), first=("min", F.col("t")))
         facts = {r["id"]: (r["n"], r["first"], r["last"]) for r in got.df.collect()}
         assert facts == {k: (len(g), g[0][1], g[-1][1]) for k, g in groups.items()}
-        short = {r["id"]: r["symbol"] for r in plan.collect(40, "symbol").collect()}
-        assert short == {k: [r[2] for r in g] for k, g in groups.items() if len(g) <= 40}
+        packed = {r["id"]: r["symbol"] for r in plan.arrays("symbol").collect()}
+        assert packed == {k: [r[2] for r in g] for k, g in groups.items()}
         assert [r["id"] for r in plan.longer_than(40).collect()] == ["hot"]
 
 
@@ -92,19 +92,28 @@ def test_with_position_range_plan(spark, frames):
     df, rows = frames
     shuffled = df.select("id", "t", "symbol")
     wanted = sorted((k, r[1], i) for k, g in by_key(rows).items() for i, r in enumerate(g))
-    for limit in (10_000, 50, 1):
-        numbered = with_position(shuffled, ["id"], [F.col("t")], "pos", window_rows=limit)
-        assert rows_of(numbered, "id", "t", "pos") == wanted
-        assert numbered.columns == ["id", "t", "symbol", "pos"]
-    down = with_position(shuffled, [], [F.col("t").desc(), F.col("id")], "pos", window_rows=1)
+    numbered = with_position(shuffled, ["id"], [F.col("t")], "pos")
+    assert rows_of(numbered, "id", "t", "pos") == wanted
+    assert numbered.columns == ["id", "t", "symbol", "pos"]
+    down = with_position(shuffled, [], [F.col("t").desc(), F.col("id")], "pos")
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert rows_of(down, "pos", "id", "t") == [(i, r[0], r[1]) for i, r in enumerate(order)]
 
 
-def test_from_rows_knows_its_bound(frames):
-    df, _ = frames
-    assert from_rows(df.drop("t"), ["id"], [F.col("value")]).bounded
-    assert not from_rows(df.drop("t"), ["id"], [F.col("value")], window_rows=100).bounded
+def test_null_keys_are_a_sequence(spark):
+    rows = [(None, 3.0), (None, 1.0), ("a", 5.0), (None, 2.0), ("a", 4.0), (None, 9.0), (None, 7.0), ("b", 1.0)]
+    df = spark.createDataFrame(rows, "id string, value double")
+    numbered = from_rows(df, ["id"], [F.col("value")])
+    key = lambda r: tuple(map(str, r))
+    want = sorted([(None, i, v) for i, v in enumerate([1.0, 2.0, 3.0, 7.0, 9.0])] + [("a", 0, 4.0), ("a", 1, 5.0), ("b", 0, 1.0)], key=key)
+    assert sorted(map(tuple, numbered.df.select("id", "t", "value").collect()), key=key) == want
+    for plan in (numbered, Sequences(numbered.df, ("id",), span=2), Sequences(numbered.df, ("id",), one_row=True)):
+        chain = plan.running_sum(F.col("value"), "s").previous(F.col("value"), "p").last_seen(F.when(F.col("t") % 2 == 0, F.col("t")), "e")
+        chain = chain.attach(n=("sum", F.lit(1)))
+        got = sorted((tuple(r) for r in chain.df.select("id", "t", "s", "p", "e", "n").collect()), key=key)
+        assert got == sorted(
+            [(None, 0, 1.0, None, 0, 5), (None, 1, 3.0, 1.0, 0, 5), (None, 2, 6.0, 2.0, 2, 5), (None, 3, 13.0, 3.0, 2, 5), (None, 4, 22.0, 7.0, 4, 5),
+             ("a", 0, 4.0, None, 0, 2), ("a", 1, 9.0, 4.0, 0, 2), ("b", 0, 1.0, None, 0, 1)], key=key)
 
 
 def test_ctc_against_loop(frames):

@@ -41,6 +41,30 @@ def test_manifest_by_hand(spark, tmp_path):
         manifests.read_manifest_tsv(spark, wide, ["id", "audio"]).select("id").collect()
 
 
+def test_manifest_by_header_name(spark, tmp_path):
+    one, two = write(tmp_path / "a.tsv", "n_frames\tid\tmore\n7\tx\t1\n"), write(tmp_path / "b.tsv", "id\tn_frames\ny\t8\n")
+    read = manifests.read_manifest_tsv(spark, [one, two], ["id", "n_frames"], {"speaker": "none", "more": None})
+    assert rows_of(read, "id", "n_frames", "speaker", "more") == [("x", "7", "none", "1"), ("y", "8", "none", None)]
+    assert read.columns == ["id", "n_frames", "speaker", "more"]
+    with pytest.raises(ValueError, match="no column text"):
+        manifests.read_manifest_tsv(spark, one, ["id", "text"])
+
+
+def test_grid_of_permuted_headers(spark, tmp_path):
+    for lang, header, row in (("fr", "id\tn", "a\t1"), ("de", "n\tid", "2\tb")):
+        os.makedirs(tmp_path / lang)
+        write(tmp_path / lang / "dev.tsv", f"{header}\n{row}\n")
+    grid = manifests.scan_manifest_grid(spark, str(tmp_path) + "/{lang}/{split}.tsv", [("fr", "dev"), ("de", "dev")], ["id", "n"])
+    assert rows_of(grid, "lang", "split", "id", "n") == [("de", "dev", "b", "2"), ("fr", "dev", "a", "1")]
+
+
+def test_reference_column_of_a_tsv(spark, tmp_path):
+    path = write(tmp_path / "ref.tsv", "id\ttgt_text\n1\t one \n2\t\n3\tthree\n")
+    assert rows_of(lines.read_reference_tsv(spark, path, "tgt_text"), "line_no", "text") == [(0, "one"), (1, ""), (2, "three")]
+    with pytest.raises(Exception, match="no column"):
+        lines.read_reference_tsv(spark, path, "nope").collect()
+
+
 def test_unsafe_text_is_set_aside(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\tb"), (2, "a\nb"), (3, "ab"), (4, None)], "id int, text string")
     good, bad = manifests.split_tsv_safe(df)
@@ -114,7 +138,8 @@ def test_prediction_problems(spark):
     assert rows_of(evaluation.prediction_problems(paths), "idx", "problem") == [
         (2, "gap before this index"), (3, "several speaker variants"), (4, "speaker variant beside the plain file")
     ]
-    assert rows_of(evaluation.list_predictions(paths), "idx") == [(0,), (2,), (4,)]
+    with pytest.raises(Exception, match="several predictions|gap"):
+        evaluation.list_predictions(paths).collect()
 
 
 def test_prediction_listing(spark, tmp_path):
