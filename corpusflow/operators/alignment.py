@@ -52,14 +52,15 @@ def trim_silence(
 
 def trimmed_samples(samples: DataFrame, trimmed: Sequences, duration: str = "duration") -> DataFrame:
     """One row per sample: tokens left, frames, seconds; an all-silent sample reports zeros and a flag."""
-    keys = list(trimmed.keys)
-    stats = trimmed.df.groupBy(*keys).agg(
+    key = F.struct(*trimmed.keys).alias("_sample")
+    stats = trimmed.df.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum(duration).alias("n_frames"),
         F.min("start_sec").alias("start_sec"),
         F.max("end_sec").alias("end_sec"),
     )
-    joined = samples.select(*keys).distinct().join(stats, keys, "left")
+    joined = samples.select(key).distinct().join(stats, "_sample", "left")
+    joined = joined.select("_sample.*", *stats.columns[1:])
     zero = {"n_tokens": 0, "n_frames": 0, "start_sec": 0.0, "end_sec": 0.0}
     return joined.withColumn("all_silent", F.col("n_tokens").isNull()).fillna(zero)
 

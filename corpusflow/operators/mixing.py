@@ -11,6 +11,7 @@ from corpusflow.functions.hashing import HASH_RANGE, bucket_hash, keep_fraction
 from corpusflow.operators.filters import POSITION_LIMITS, max_positions_filter
 from corpusflow.operators.sequences import with_position
 from corpusflow.operators.unions import stack_rows
+from corpusflow.session import written
 
 
 def concat_splits(tables: Mapping[str, DataFrame], splits: str, column: str = "split") -> DataFrame:
@@ -68,7 +69,7 @@ def resample(
     """
     columns = [F.col(k) for k in key]
     order = [bucket_hash(*columns, seed, epoch), *columns]
-    placed = with_position(df, [dataset], order, "_pos")
+    placed = written(with_position(df, [dataset], order, "_pos"), "placed")
     sizes = ratios.select(F.col(dataset).alias("_dataset"), F.col("n").alias("_n"), F.col("size_ratio").alias("_r"))
     placed = placed.join(sizes, F.col(dataset).eqNullSafe(F.col("_dataset"))).drop("_dataset")
     placed = placed.withColumn("_size", F.ceil(F.round(F.col("_n") * F.col("_r"), 9)).cast("bigint"))
