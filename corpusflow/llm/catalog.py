@@ -19,8 +19,7 @@ from corpusflow.llm import (
     shard_packing,
     warc_store,
 )
-from corpusflow.llm.tables import written
-from corpusflow.session import scratch_path
+from corpusflow.session import scratch_path, written
 
 catalog = Catalog()
 SHARDS = 24

@@ -18,13 +18,13 @@ the text. Null ids are ids like others. Further columns pass through ``clean`` a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.native_words import gram_hashes, let, word_hashes, words
-from corpusflow.llm.tables import drop_rows, row_id, text_of, written
+from corpusflow.llm.tables import drop_rows, row_id, text_of
+from corpusflow.operators.unions import stack_rows
+from corpusflow.session import written
 
 SPAN = 10
 GRAM = 5
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, broadcast_grams: int = BROADCAST
     """(doc_id, text_key, n_words, n_hit, items) for each row of ``docs``; ``items`` are sorted strings."""
     lengths = benchmark.select(F.size(words("text")).alias("n")).filter(F.col("n").between(1, SPAN - 1)).distinct().collect()
     spans = [SPAN, *sorted(row["n"] for row in lengths)]
-    found = reduce(DataFrame.unionByName, [_hits(docs, benchmark, n, broadcast_grams) for n in spans])
+    found = stack_rows(*[_hits(docs, benchmark, n, broadcast_grams) for n in spans])
     spans = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(
         F.collect_set(F.struct("start", "span")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items")
     )

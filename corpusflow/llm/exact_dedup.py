@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.tables import keep_rows, row_id, text_of, written
+from corpusflow.llm.tables import keep_rows, row_id, text_of
+from corpusflow.operators.unions import stack_rows
+from corpusflow.session import written
 
 DIGEST_BYTES = 32
 #: Digests in a shard of the archive, on average: about 4 MB in a task.
@@ -157,8 +159,8 @@ def group_rows(history: DataFrame, incoming: DataFrame) -> DataFrame:
         "digest", F.coalesce("keep_id", "own_id").alias("keep_id"), (F.col("n_rows") + F.coalesce("more", F.lit(0))).alias("group_size")
     )
     new = added.filter(~F.col("archived")).select("digest", "keep_id", F.col("n_rows").alias("group_size"))
-    groups = written(old.unionByName(new), "groups")
-    rows = history.select("doc_id", "digest").unionByName(incoming.select("doc_id", "digest"))
+    groups = written(stack_rows(old, new), "groups")
+    rows = stack_rows(history.select("doc_id", "digest"), incoming.select("doc_id", "digest"))
     return rows.join(groups, "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
 
 

@@ -17,13 +17,14 @@ texts are one; equal ids with other texts are told apart. Null ids are ids like
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.native_words import gram_hashes, let, words
-from corpusflow.llm.tables import text_of, written
+from corpusflow.llm.tables import text_of
+from corpusflow.operators.unions import stack_rows
+from corpusflow.session import written
 
 SHINGLE = 5
 BANDS = 32
@@ -107,7 +108,7 @@ def scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
     holders = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.explode_outer(F.array(let(words("text"), whole))).alias("s"))
     holders = written(holders.filter("s IS NOT NULL").select("doc_id", "text_key", "s.*"), "license-holders")
 
-    windows = reduce(DataFrame.unionByName, [_windows(holders, n, sorted(h)) for n, h in sorted(known.items())])
+    windows = stack_rows(*[_windows(holders, n, sorted(h)) for n, h in sorted(known.items())])
     banded = windows.select("*", F.posexplode(_bands(F.col("hashes"))).alias("band", "value"))
     of_templates = templates.select("template", "license", "n_words", "shingles", F.posexplode(_bands(F.col("hashes"))).alias("band", "value"))
     retrieved = banded.join(F.broadcast(of_templates), ["n_words", "band", "value"]).dropDuplicates(["doc_id", "text_key", "template", "start"])
