@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.tables import written
+from corpusflow.session import written
+
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is a table in the shared folder. Edges of a node with very many neighbours lie on the side of a
     join that adaptive execution can split, and labels are reduced before they are shuffled.
     """
-    both = written(edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "edges")
+    pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Each node hands its lower neighbours on to the lowest of them: edges that say the same fall together.
+    lowest = pairs.groupBy("b").agg(F.min("a").alias("low"))
+    ends = F.explode(F.array("a", "b")).alias("end")
+    star = written(pairs.join(lowest, "b").select("low", ends).filter("low <> end").distinct(), "star")
+    ways = F.array(F.struct(F.col("low").alias("a"), F.col("end").alias("b")), F.struct(F.col("end").alias("a"), F.col("low").alias("b")))
+    both = star.select(F.explode(ways).alias("e")).select("e.a", "e.b")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("at")).agg(F.min("label").alias("near"))

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.components import components
-from corpusflow.llm.tables import NO_ID, by_run, keep_rows, row_id, slices, text_of, written
+from corpusflow.llm.tables import NO_ID, by_run, keep_rows, row_id, slices, text_of
+from corpusflow.session import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -124,7 +125,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _forest(nodes: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    """(root, node) for each node that is connected with an earlier one, over a symmetric matrix of links."""
+    """(root, node) for each node that is connected with an earlier one, over a symmetric matrix of links.
+
+    Nodes are in order, so a root is the least of its component: groups that overlap name the same roots.
+    """
     open_, out = np.ones(len(nodes), bool), []
     for root in range(len(nodes)):
         if not open_[root]:
@@ -214,7 +218,7 @@ def _verified(table: pa.Table) -> pa.RecordBatch:
 
 
 def _grouped(rows: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    return by_run(rows, [key, "first", "second"], fn, schema)
+    return by_run(rows, [key, "first", "second"], "node", fn, schema)
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:

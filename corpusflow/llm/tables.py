@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and tasks that walk over runs of equal keys."""
+"""Tasks that walk over runs of equal keys, and rows kept or dropped by key."""
 
 from __future__ import annotations
 
@@ -9,19 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.session import scratch_path
+from corpusflow.operators.unions import stack_rows
 
 #: Rows that a task hands back to Spark at a time.
 CHUNK = 256
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, read by all executors, lineage cut."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: Column | str) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -54,13 +47,13 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def by_run(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over the rows of each key. The caller bounds the size of a key."""
+def by_run(df: DataFrame, keys: list[str], order: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` over the rows of each key, in order. The caller bounds the size of a key."""
     def task(batches):
         for table in runs(batches, keys):
             yield fn(table)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(task, schema)
 
 
 #: Stands for a null id in row keys; sorts last.
@@ -87,7 +80,7 @@ def keep_rows(docs: DataFrame, key: list[Column], kept: DataFrame) -> DataFrame:
     keyed, names = _keyed(docs, key)
     hit = keyed.join(kept.hint("shuffle_hash"), names)
     one = hit.filter("once").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return hit.filter("NOT once").select("row.*").unionByName(one.select("row.*"))
+    return stack_rows(hit.filter("NOT once").select("row.*"), one.select("row.*"))
 
 
 def drop_rows(docs: DataFrame, key: list[Column], dropped: DataFrame) -> DataFrame:
