@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusflow.functions.numeric import interval_frames
-from corpusflow.operators.sequences import Sequences
+from corpusflow.operators.sequences import Sequences, spans_before, whole_sequence
 from corpusflow.operators.unions import stack_rows
 
 # Phones the aligner writes for silence.
@@ -37,16 +37,39 @@ def trim_silence(
     """
     at = F.col(intervals.t)
     spoken = ~F.col(phone).isin(*silence)
-    # A tier is in time order, so the ends of the spoken stretch are a minimum and a maximum too.
-    ends = intervals.attach(
-        _first=("min", F.when(spoken, at)),
-        _last=("max", F.when(spoken, at)),
-        start_sec=("min", F.when(spoken, F.col(start))),
-        end_sec=("max", F.when(spoken, F.col(end))),
-    )
+    if intervals.one_row:
+        counted, before = intervals.running_sum(F.lit(1), "_rank"), F.lit(0)
+        ends = counted.attach(
+            _first=("min", F.when(spoken, at)),
+            _last=("max", F.when(spoken, at)),
+            _least=("min", F.when(spoken, F.col("_rank"))),
+            start_sec=("min", F.when(spoken, F.col(start))),
+            end_sec=("max", F.when(spoken, F.col(end))),
+        )
+    else:
+        # A tier is in time order, so the ends of the spoken stretch are a minimum and a maximum too.
+        rank = F.row_number().over(intervals.local())
+        whole, before = whole_sequence(), F.col("_before")
+        ends = intervals.step(
+            [{"_rank": rank.cast("bigint")}],
+            {
+                "_n": F.count(F.lit(1)),
+                "_first": F.min(F.when(spoken, at)),
+                "_last": F.max(F.when(spoken, at)),
+                "_least": F.min(F.when(spoken, F.col("_rank"))),
+                "start_sec": F.min(F.when(spoken, F.col(start))),
+                "end_sec": F.max(F.when(spoken, F.col(end))),
+            },
+            [
+                {"_before": F.coalesce(F.sum("_n").over(spans_before()), F.lit(0))},
+                {"_least": F.min(F.col("_before") + F.col("_least")).over(whole)},
+                {"_first": F.min("_first").over(whole), "_last": F.max("_last").over(whole)},
+                {"start_sec": F.min("start_sec").over(whole), "end_sec": F.max("end_sec").over(whole)},
+            ],
+        )
     kept = ends.filter(at.between(F.col("_first"), F.col("_last")))
-    kept = kept.running_sum(F.lit(1), position)
-    numbered = kept.with_columns({position: (F.col(position) - 1).cast("bigint")}).drop("_first", "_last")
+    place = (before + F.col("_rank") - F.col("_least")).cast("bigint")
+    numbered = kept.with_columns({position: place}).drop("_first", "_last", "_rank", "_least", "_before")
     return numbered.with_df(numbered.raw, t=position)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusflow.operators.sequences import Sequences
+from corpusflow.operators.sequences import Sequences, span_order, spans_before
 
 # Fixed values of the model's symbol table.
 BLANK_ID, PAD_ID = 0, 1
@@ -15,10 +15,38 @@ MERGE_KINDS = ("softmax", "meanpool", "maxpool", "weighted")
 def _numbered_runs(frames: Sequences, symbol: str, blank) -> Sequences:
     """Frames with ``_opens`` (starts a label run) and ``_runs`` (runs opened so far)."""
     sym = F.col(symbol)
-    seen = frames.previous(sym, "_prev")
-    opens = (sym != F.lit(blank)) & (F.col("_prev").isNull() | (F.col("_prev") != sym))
-    opened = seen.with_columns({"_opens": opens}).drop("_prev")
-    return opened.running_sum(F.when(F.col("_opens"), 1).otherwise(0), "_runs")
+
+    def opens(now: Column, before: Column) -> Column:
+        """Whether a label run opens at ``now``; ``before`` is the symbol ahead of it, boxed, null at the start."""
+        fresh = F.coalesce(before["v"] != now, F.lit(True))
+        return F.coalesce(now != F.lit(blank), F.lit(False)) & (before.isNull() | fresh)
+
+    order = F.struct(frames.t, *frames.ties)
+    window = frames.local()
+    boxed = F.struct(sym.alias("v"))
+    local = [
+        {"_boxed": boxed},
+        {"_prev": F.lag("_boxed").over(window)},
+        # The first row of a span is settled when the span before it is known.
+        {"_opens": F.when(F.col("_prev").isNotNull() | F.lit(frames.one_row), opens(sym, F.col("_prev")))},
+        {"_runs": F.sum(F.when(F.col("_opens"), 1).otherwise(0)).over(window.rowsBetween(Window.unboundedPreceding, 0))},
+    ]
+    if frames.one_row:
+        for columns in local:
+            frames = frames.with_columns(columns)
+        return frames.drop("_boxed", "_prev")
+    summary = {
+        "_first": F.min_by("_boxed", order),
+        "_last": F.max_by("_boxed", order),
+        "_n": F.sum(F.when(F.col("_opens"), 1).otherwise(0)),
+    }
+    carry = [
+        {"_head": opens(F.col("_first.v"), F.lag("_last").over(span_order()))},
+        {"_carry": F.coalesce(F.sum(F.col("_n") + F.col("_head").cast("int")).over(spans_before()), F.lit(0)) + F.col("_head").cast("int")},
+    ]
+    stepped = frames.step(local, summary, carry)
+    settled = {"_opens": F.coalesce("_opens", "_head"), "_runs": F.col("_runs") + F.col("_carry")}
+    return stepped.with_columns(settled).drop("_boxed", "_prev", "_head", "_carry")
 
 
 def ctc_index(frames: Sequences, symbol: str = "symbol", blank=BLANK_ID, name: str = "run") -> Sequences:

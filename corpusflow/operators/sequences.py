@@ -18,12 +18,27 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusflow.session import scratch_path
+from corpusflow.session import written
 
 SPAN = 1 << 16
 _KEY, _SPAN, _LOCAL, _CARRY = "_key", "_span", "_local", "_carry"
 
 
+def span_order():
+    """The spans of a sequence in order."""
+    return Window.partitionBy(_KEY).orderBy(_SPAN)
+
+
+def spans_before():
+    """The spans before each one."""
+    return span_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def whole_sequence():
+    """All spans of a sequence."""
+    return Window.partitionBy(_KEY)
+
+
 def _key_of(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.lit(0)
 
@@ -78,54 +93,57 @@ class Sequences:
     def _groups(self) -> list[str]:
         return [*self.keys] if self.one_row else [_KEY, _SPAN]
 
-    def _with_carry(self, df: DataFrame, summary: Column, carry: Column) -> DataFrame:
-        """Reduce every span with ``summary`` (as ``_sum``), then give each span its ``carry``."""
-        spans = df.groupBy(_KEY, _SPAN).agg(summary.alias("_sum"))
-        spans = spans.select(_KEY, _SPAN, carry.alias(_CARRY))
-        return df.join(spans, [_KEY, _SPAN])
-
-    def _spans_before(self):
-        return Window.partitionBy(_KEY).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
+    def local(self):
+        """The window over a row's span, or its whole sequence where that came out of one row."""
+        return Window.partitionBy(*self._groups).orderBy(*self._order)
+
+    def step(self, local: Sequence[dict[str, Column]], summary: dict[str, Column], carry: Sequence[dict[str, Column]]) -> Sequences:
+        """One pass over the rows: columns of each row by windows inside its span, one summary row for each
+        span, and what the spans of a sequence tell each other joined back.
+
+        ``local`` and ``carry`` are evaluated in turn, so later ones see the earlier; ``carry`` sees
+        the summaries and may use :func:`span_order` windows. Full rows are shuffled once, and not again by
+        a further step.
+        """
+        df = self._spanned()
+        for columns in local:
+            df = df.withColumns(columns)
+        spans = df.groupBy(_KEY, _SPAN).agg(*[column.alias(name) for name, column in summary.items()])
+        for columns in carry:
+            spans = spans.withColumns(columns)
+        wanted = dict.fromkeys(name for columns in carry for name in columns)
+        return self.with_df(df.join(spans.select(_KEY, _SPAN, *wanted), [_KEY, _SPAN]))
 
     def running_sum(self, value: Column, name: str) -> Sequences:
         """Sum of ``value`` up to and including each row."""
-        window = Window.partitionBy(*self._groups).orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)
+        window = self.local().rowsBetween(Window.unboundedPreceding, 0)
         if self.one_row:
             return self.with_columns({name: F.sum(value).over(window)})
-        df = self._spanned().withColumn("_value", value).withColumn(_LOCAL, F.sum("_value").over(window))
-        carry = F.coalesce(F.sum("_sum").over(self._spans_before()), F.lit(0))
-        df = self._with_carry(df, F.sum("_value"), carry)
-        return self.with_df(df.withColumn(name, F.col(_LOCAL) + F.col(_CARRY)).drop(_LOCAL, _CARRY, "_value"))
+        local = [{"_value": value}, {_LOCAL: F.sum("_value").over(window)}]
+        stepped = self.step(local, {"_sum": F.sum("_value")}, [{_CARRY: F.coalesce(F.sum("_sum").over(spans_before()), F.lit(0))}])
+        return stepped.with_columns({name: F.col(_LOCAL) + F.col(_CARRY)}).drop(_LOCAL, _CARRY, "_value")
 
     def previous(self, value: Column, name: str, default: Column | None = None) -> Sequences:
         """``value`` of the row before, ``default`` (or null) at the start of a sequence."""
         default = F.lit(None) if default is None else default
-        window = Window.partitionBy(*self._groups).orderBy(*self._order)
-        boxed = F.struct(value.alias("v"))
+        local = [{"_boxed": F.struct(value.alias("v"))}, {_LOCAL: F.lag("_boxed").over(self.local())}]
         if self.one_row:
-            df = self.raw.withColumn(_LOCAL, F.lag(boxed).over(window))
-            before = F.col(_LOCAL)
+            stepped, before = self.with_columns(local[0]).with_columns(local[1]), F.col(_LOCAL)
         else:
-            df = self._spanned().withColumn("_boxed", boxed).withColumn(_LOCAL, F.lag("_boxed").over(window))
-            chain = Window.partitionBy(_KEY).orderBy(_SPAN)
-            df = self._with_carry(
-                df, F.max_by("_boxed", F.struct(*self._order)), F.lag("_sum").over(chain)
-            )
-            before = F.coalesce(_LOCAL, _CARRY)
+            last = {"_last": F.max_by("_boxed", F.struct(*self._order))}
+            stepped, before = self.step(local, last, [{_CARRY: F.lag("_last").over(span_order())}]), F.coalesce(_LOCAL, _CARRY)
         result = F.when(before.isNull(), default).otherwise(before["v"])
-        return self.with_df(df.withColumn(name, result).drop(_LOCAL, _CARRY, "_boxed"))
+        return stepped.with_columns({name: result}).drop(_LOCAL, _CARRY, "_boxed")
 
     def last_seen(self, value: Column, name: str) -> Sequences:
         """The latest non-null ``value`` up to and including each row."""
-        window = Window.partitionBy(*self._groups).orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)
+        window = self.local().rowsBetween(Window.unboundedPreceding, 0)
         if self.one_row:
             return self.with_columns({name: F.last(value, ignorenulls=True).over(window)})
-        df = self._spanned().withColumn("_value", value)
-        df = df.withColumn(_LOCAL, F.last("_value", ignorenulls=True).over(window))
-        latest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*self._order)))
-        carry = F.last("_sum", ignorenulls=True).over(self._spans_before())
-        df = self._with_carry(df, latest, carry)
-        return self.with_df(df.withColumn(name, F.coalesce(_LOCAL, _CARRY)).drop(_LOCAL, _CARRY, "_value"))
+        local = [{"_value": value}, {_LOCAL: F.last("_value", ignorenulls=True).over(window)}]
+        latest = {"_last": F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*self._order)))}
+        stepped = self.step(local, latest, [{_CARRY: F.last("_last", ignorenulls=True).over(spans_before())}])
+        return stepped.with_columns({name: F.coalesce(_LOCAL, _CARRY)}).drop(_LOCAL, _CARRY, "_value")
 
     def attach(self, **stats: tuple[str, Column]) -> Sequences:
         """Give every row facts about its whole sequence: ``name=("min" | "max" | "sum", column)``."""
@@ -133,10 +151,10 @@ class Sequences:
         if self.one_row:
             whole = Window.partitionBy(*self.keys)
             return self.with_columns({name: fold[how](col).over(whole) for name, (how, col) in stats.items()})
-        df, whole = self._spanned(), Window.partitionBy(_KEY)
-        spans = df.groupBy(_KEY, _SPAN).agg(*[fold[how](col).alias(name) for name, (how, col) in stats.items()])
-        spans = spans.select(_KEY, _SPAN, *[fold[how](name).over(whole).alias(name) for name, (how, _) in stats.items()])
-        return self.with_df(df.join(spans, [_KEY, _SPAN]))
+        whole = whole_sequence()
+        return self.step(
+            [], {name: fold[how](col) for name, (how, col) in stats.items()}, [{name: fold[how](name).over(whole) for name, (how, _) in stats.items()}]
+        )
 
     def lengths(self, name: str = "n") -> DataFrame:
         """Rows per sequence (partial counts are made before the shuffle)."""
@@ -176,22 +194,19 @@ def from_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], t: st
 
     The table is range-partitioned on (keys, order), so a hot key spreads over as many partitions as
     it needs, and each partition learns how many rows of its keys precede it. The range bounds are
-    sampled, so the layout is written to the shared folder before it is read twice. The parts of the
-    layout serve as spans.
+    sampled, so the layout is written to the shared folder before it is read twice; the numbered rows are
+    written too, and what is built on them starts from one scan. The parts of the layout serve as spans.
     """
-    spark = df.sparkSession
     by_key = [F.col(k).asc() for k in keys]
     laid = df.repartitionByRange(*by_key, *order).sortWithinPartitions(*by_key, *order)
-    path = scratch_path(spark, "sequences")
-    laid.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    laid = spark.read.schema(laid.withColumn("_row", F.lit(0).cast("bigint")).schema).parquet(path)
+    laid = written(laid.withColumn("_row", F.monotonically_increasing_id()), "laid-out")
     laid = laid.withColumns({_KEY: _key_of(keys), _SPAN: F.shiftright("_row", 33)})
     pieces = laid.groupBy(_KEY, _SPAN).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # At most one row per partition and key.
-    earlier = Window.partitionBy(_KEY).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(_KEY, _SPAN, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    numbered = laid.join(pieces, [_KEY, _SPAN])
-    return Sequences(numbered.withColumn(t, F.col("_row") + F.col("_shift")).drop("_row", "_shift"), tuple(keys), t)
+    shift = F.coalesce(F.sum("_n").over(spans_before()), F.lit(0)) - F.col("_first")
+    numbered = laid.join(pieces.select(_KEY, _SPAN, shift.alias("_shift")), [_KEY, _SPAN])
+    numbered = numbered.withColumn(t, F.col("_row") + F.col("_shift")).drop("_row", "_shift")
+    return Sequences(written(numbered, "sequences"), tuple(keys), t)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "t") -> DataFrame:

@@ -116,6 +116,20 @@ def test_null_keys_are_a_sequence(spark):
              ("a", 0, 4.0, None, 0, 2), ("a", 1, 9.0, 4.0, 0, 2), ("b", 0, 1.0, None, 0, 1)], key=key)
 
 
+def test_full_rows_move_once(spark, tmp_path):
+    """Planned exchanges: the rows, the rows again for the summary of their spans (pruned), the summaries."""
+    rows = [(k, t, "ab_"[t % 3], float(t), t + 1.0, "wide" * 9) for k in "xyz" for t in range(50)]
+    spark.createDataFrame(rows, "id string, t bigint, symbol string, start double, end double, extra string").write.parquet(f"{tmp_path}/f")
+    plan = Sequences(spark.read.parquet(f"{tmp_path}/f"), ("id",), span=8)
+    timed = plan.with_columns({"phone": F.col("symbol"), "duration": F.lit(1)})
+    for df in (ctc.ctc_index(plan, blank="_").df, alignment.trim_silence(timed, silence=("_",)).df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 3 and text.count("Join ") == 1
+        # The analysis writes columns of an exchange's child; only one child carries the wide column.
+        scans = [line for line in text.splitlines() if "FileScan" in line]
+        assert len(scans) == 2 and sum("extra" in line for line in scans) == 1
+
+
 def test_ctc_against_loop(frames):
     df, rows = frames
     runs, labels = [], []
