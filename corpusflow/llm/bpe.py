@@ -8,7 +8,8 @@ with the same merges. Results of words are remembered in a task, at most ``REMEM
 Text goes through the steps the file asks for: special tokens are cut out, then NFC, white space to one
 space, lower case by character, split into words, bytes as symbols. Ids are little-endian unsigned 32-bit
 integers in a binary column. Decoding joins the tokens with spaces, as the library does for a file without
-a decoder.
+a decoder. Letters and lower case are those of the Unicode version at hand: characters that Unicode 15.1 does
+not assign may be split otherwise than by the library.
 
 A null text is empty: no tokens, decoded to an empty text. Columns besides the text pass through; ``ids``,
 ``n_tokens`` and ``decoded`` replace columns of these names. Tasks are independent of each other: nothing is
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from corpusflow.llm.tables import slices
 
 LONG_WORD = 200
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _NEVER = 1 << 60
 #: Separators that Python counts as white space and the vocabulary file does not.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")

@@ -33,7 +33,7 @@ ORDERS = (1, 2, 3)
 REPEAT_ORDER = 4
 FEATURES = 1 << 18
 SMOOTHING = 1.0
-PENALTY = 1.0
+PENALTY = 4.0
 EPOCHS = 12
 #: One row in so many of the sample is kept for the sigmoid.
 CALIBRATION = 4

@@ -41,7 +41,7 @@ ROWS = 5
 AGREEMENT = 55
 BLOCK_NODES = 512
 BLOCK_BYTES = 8 * 1024 * 1024
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 

@@ -134,13 +134,22 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for each row of ``docs``."""
+    """(doc_id, size, text_crc32, shard, slot) for each row of ``docs``: near equal shares of the bytes."""
+    return _packed(docs, shards, None)
+
+
+def shard_by_capacity(docs: DataFrame, capacity: int) -> DataFrame:
+    """The same with shards of a fixed capacity in bytes, as few as best fit needs; a larger group has a shard alone."""
+    return _packed(docs, None, capacity)
+
+
+def _packed(docs: DataFrame, shards: int | None, shard_bytes: int | None) -> DataFrame:
     spark = docs.sparkSession
     rows = written(_rows(docs), "shard-rows")
     groups = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_rows"), F.sum("size").alias("group_bytes")), "shard-groups")
     n_groups, total = groups.agg(F.count(F.lit(1)), F.sum("group_bytes")).first()
     cells = max(1, -(-n_groups // CELL_GROUPS))
-    capacity = max(1, -(-(total or 0) // (shards * CRATES)))
+    capacity = max(1, -(-(total or 0) // (shards * CRATES)) if shards else shard_bytes // CRATES)
     celled = groups.withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int"))
     packed = written(
         celled.groupBy("cell").applyInPandas(
@@ -150,7 +159,8 @@ def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
     )
     crates = packed.groupBy("cell", "crate").agg(F.sum("group_rows").alias("rows"), F.sum("group_bytes").alias("bytes")).toPandas()
     crates = crates.sort_values(["cell", "crate"], ignore_index=True)
-    crates["shard"] = fewest_bytes(crates["bytes"].to_numpy(np.int64), shards).astype(np.int32)
+    sizes = crates["bytes"].to_numpy(np.int64)
+    crates["shard"] = (fewest_bytes(sizes, shards) if shards else best_fit(sizes, shard_bytes)).astype(np.int32)
     crates["shard_offset"] = crates.groupby("shard")["rows"].cumsum() - crates["rows"]
     placed = spark.createDataFrame(crates[["cell", "crate", "shard", "shard_offset"]], "cell int, crate long, shard int, shard_offset long")
     starts = packed.join(placed, ["cell", "crate"]).select("digest", "group_rows", "shard", (F.col("shard_offset") + F.col("crate_offset")).alias("start"))

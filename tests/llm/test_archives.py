@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from edge_cases import ROWS, documents, prose  # noqa: E402
+from edge_cases import LONG, ROWS, documents, prose  # noqa: E402
 
 from corpusflow.llm import sequence_packing, shard_packing, warc_store  # noqa: E402
 
@@ -108,6 +108,16 @@ def test_shards_are_even_whole_and_gapless(spark, monkeypatch, cells, piece):
     assert shard_packing.shard_by_bytes(documents(spark, []), 4).count() == 0
 
 
+def test_shards_of_a_fixed_capacity(spark):
+    draw = random.Random(8)
+    rows = [(i, prose(draw.randint(1, 60), draw), "", 0, "") for i in range(300)] + [(999, LONG, "", 0, "")]
+    found = shard_packing.shard_by_capacity(documents(spark, rows), 5000).toPandas()
+    held = found.groupby("shard")["size"].sum()
+    alone = found.groupby("shard").size()
+    assert ((held <= 5000) | (alone == 1)).all() and len(held) <= -(-(held.sum() - held.max()) // 5000) + 2
+    assert all(sorted(s["slot"]) == list(range(len(s))) for _, s in found.groupby("shard"))
+
+
 @pytest.mark.parametrize("buffer", [10**6, 50])
 def test_packed_rows_give_every_document_back(spark, buffer):
     path, pattern, length = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 32
