@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import functions as F, types as T
 
@@ -126,15 +127,16 @@ def split_transforms(t: Tables):
 
 
 def _title(html: str) -> str:
+    """A title without accents, which needs Unicode decomposition: no built-in function has it."""
     title = re.search(r"<title>([^<]*)</title>", html).group(1)
     if "&" in title:
         raise ValueError("entity in title")
-    return title
+    return "".join(c for c in unicodedata.normalize("NFD", title) if not unicodedata.combining(c))
 
 
 @catalog.add(
     r"""WITH p AS (SELECT page_id, regexp_matches(html, '<title>[^<]*</title>') AS found, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
-    SELECT page_id, CASE WHEN found AND title NOT LIKE '%&%' THEN title END AS value,
+    SELECT page_id, CASE WHEN found AND title NOT LIKE '%&%' THEN strip_accents(title) END AS value,
       CASE WHEN NOT found THEN 'AttributeError' WHEN title LIKE '%&%' THEN 'ValueError' END AS error FROM p"""
 )
 def quarantined_map(t: Tables):
