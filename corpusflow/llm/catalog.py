@@ -131,7 +131,23 @@ def op10_sequence_packing(t) -> DataFrame:
     )
 
 
-@catalog.add()
+@catalog.add(
+    rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[j : j + 4], ' ') AS gram
+          FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS j FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+    r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+    k AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+    l AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT y.w) FILTER (WHERE x.w <> y.w) AS n_text_links
+          FROM e JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b GROUP BY a)
+    SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links,
+           CASE WHEN len(w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY w) END AS n_copies
+    FROM d JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)
+    """,
+)
 def op1_ngram_join(t) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word n-grams."""
     return ngram_join.join(t.documents).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
@@ -164,9 +180,37 @@ def op2_license_scan(t) -> DataFrame:
     return license_scan.scan(t.documents).drop("text_key")
 
 
-@catalog.add()
+_SQL_MODEL = """
+    {m}3 AS (SELECT a, b, c, count(*) AS n FROM {of} GROUP BY a, b, c),
+    {m}2 AS (SELECT b, c, sum(n) AS n FROM {m}3 GROUP BY b, c),
+    {m}1 AS (SELECT c, sum(n) AS n FROM {m}3 GROUP BY c),
+    {m}ab AS (SELECT a, b, sum(n) AS n FROM {m}3 GROUP BY a, b),
+    {m}b AS (SELECT b, sum(n) AS n FROM {m}3 GROUP BY b),
+    {m}p1 AS (SELECT c, (coalesce(n, 0) + 1) / (coalesce((SELECT sum(n) FROM {m}1), 0) + 128) AS p FROM (SELECT DISTINCT c FROM g) LEFT JOIN {m}1 USING (c)),
+    {m}p2 AS (SELECT b, c, (coalesce({m}2.n, 0) + 10 * p) / (coalesce({m}b.n, 0) + 10) AS p
+              FROM (SELECT DISTINCT b, c FROM g) JOIN {m}p1 USING (c) LEFT JOIN {m}2 USING (b, c) LEFT JOIN {m}b USING (b)),
+    {m} AS (SELECT a, b, c, -ln((coalesce({m}3.n, 0) + 10 * p) / (coalesce({m}ab.n, 0) + 10)) AS loss
+            FROM (SELECT DISTINCT a, b, c FROM g) JOIN {m}p2 USING (b, c) LEFT JOIN {m}3 USING (a, b, c) LEFT JOIN {m}ab USING (a, b))"""
+
+
+@catalog.add(
+    f"""
+    WITH ch AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c FROM documents WHERE coalesce(text, '') <> ''),
+    v AS (SELECT list(c) AS known FROM (SELECT c, count(*) AS n FROM ch GROUP BY c ORDER BY n DESC, unicode(c) LIMIT 126)),
+    t AS (SELECT doc_id, list_concat(['', ''], CASE WHEN coalesce(text, '') = '' THEN [] ELSE
+            list_transform(string_split(text, ''), lambda c: CASE WHEN list_contains(known, c) THEN c ELSE 'unknown' END) END, ['']) AS w
+          FROM documents, v),
+    g AS MATERIALIZED (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t)),
+    good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+    chosen AS (SELECT g.* FROM g JOIN good USING (doc_id)),{_SQL_MODEL.format(m="ours", of="chosen")},{_SQL_MODEL.format(m="theirs", of="g")}
+    SELECT doc_id, count(*) AS n_tokens, round(avg(ours.loss), 6) AS target_loss, round(avg(theirs.loss), 6) AS background_loss,
+           round(avg(ours.loss) - avg(theirs.loss), 6) AS score
+    FROM g JOIN ours USING (a, b, c) JOIN theirs USING (a, b, c) GROUP BY doc_id
+    """,
+)
 def op6_lm_score(t) -> DataFrame:
     """Every document between a model of the documents labelled good and a model of all documents."""
     good = t.labels.filter("quality = 1").select("doc_id").distinct()
     model = lm_score.fit(t.documents, good)
-    return lm_score.score(t.documents.select("doc_id", "text"), *model).drop("text")
+    scored = lm_score.score(t.documents.select("doc_id", "text"), *model).drop("text")
+    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
