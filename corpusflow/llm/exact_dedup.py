@@ -146,8 +146,8 @@ def look_up(archive: DataFrame, digests: DataFrame, shards: int) -> DataFrame:
     return archive.groupBy("shard").cogroup(asked).applyInPandas(_look_up, "digest binary, archived boolean, archive_keep_id long")
 
 
-def group_rows(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size, kept) for each row of both tables of (doc_id, digest)."""
+def groups_of(history: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) for each digest in either table of (doc_id, digest)."""
     archived, fresh = written(distinct_digests(history), "archive-digests"), written(distinct_digests(incoming), "incoming-digests")
     shards = shard_count(archived, fresh)
     archive = written(build_archive(archived, shards), "archive")
@@ -159,7 +159,12 @@ def group_rows(history: DataFrame, incoming: DataFrame) -> DataFrame:
         "digest", F.coalesce("keep_id", "own_id").alias("keep_id"), (F.col("n_rows") + F.coalesce("more", F.lit(0))).alias("group_size")
     )
     new = added.filter(~F.col("archived")).select("digest", "keep_id", F.col("n_rows").alias("group_size"))
-    groups = written(stack_rows(old, new), "groups")
+    return written(stack_rows(old, new), "groups")
+
+
+def group_rows(history: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size, kept) for each row of both tables of (doc_id, digest)."""
+    groups = groups_of(history, incoming)
     rows = stack_rows(history.select("doc_id", "digest"), incoming.select("doc_id", "digest"))
     return rows.join(groups, "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
 
@@ -177,6 +182,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows that tie for a text (same id, or no id at all) are settled by the hash of the whole row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest("text").alias("digest"))
-    keepers = group_rows(*by_age(rows)).filter(F.col("kept") | F.col("keep_id").isNull())
-    keepers = keepers.groupBy(row_id().alias("k0"), F.col("digest").alias("k1")).agg((F.count(F.lit(1)) > 1).alias("once"))
-    return keep_rows(docs, [row_id(), text_digest("text")], written(keepers, "keepers"))
+    winners = groups_of(*by_age(rows)).select(row_id("keep_id").alias("k0"), F.col("digest").alias("k1"))
+    # By id and digest, so that the rows of a hot digest lie apart.
+    counted = rows.groupBy(row_id().alias("k0"), F.col("digest").alias("k1")).agg((F.count(F.lit(1)) > 1).alias("once"))
+    return keep_rows(docs, [row_id(), text_digest("text")], written(counted.join(winners, ["k0", "k1"]), "keepers"))
