@@ -40,8 +40,8 @@ STEP = 1.0005
 
 
 class Rooms:
-    """Bins by remaining capacity: blocks of a sorted list under one level of block maxima, so that finding,
-    taking and putting back a bin costs about the square root of their number at worst and stays balanced."""
+    """Bins by remaining capacity in a balanced tree of two levels: leaves of up to ``2 * WIDTH`` sorted bins, split in
+    halves when they are full, under one node of their maxima. Finding the tightest bin is two bisections."""
 
     WIDTH = 512
 
