@@ -3,8 +3,8 @@
 A word is encoded on a contiguous array of ranks: part boundaries and the merge rank of each adjacent pair
 lie side by side; the least rank (leftmost on ties) is found by a scan, its boundary is deleted and the two
 neighbouring ranks are looked up anew. Words above ``LONG_WORD`` parts take their least rank from a heap,
-with the same merges. Results of words are remembered in a task, at most ``REMEMBERED`` at a time, and forgotten at its end: the
-worker goes on to other work.
+with the same merges. Results of words are remembered in a task, at most ``REMEMBERED`` at a time, and
+forgotten at its end, for the worker goes on to other work.
 
 Text goes through the steps the file asks for: special tokens are cut out, then NFC, white space to one
 space, lower case by character, split into words, bytes as symbols. Ids are little-endian unsigned 32-bit
