@@ -154,3 +154,30 @@ def test_language_model_of_nothing(spark):
     vocabulary, target, _ = lm_score.fit(docs, ids)
     assert np.allclose(target, np.log(lm_score.VOCABULARY))
     assert lm_score.score(docs, *lm_score.fit(docs, ids)).count() == len(ROWS)
+
+
+def test_language_model_knows_every_character(spark):
+    draw = random.Random(8)
+    rare = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i, "".join(draw.choice(rare) for _ in range(40)), "", 0, "") for i in range(20)]
+    rows += [(30, "\U0010ffff\x00" * 3, "", 0, ""), (31, None, "", 0, ""), *[(40 + i, "a plain text " * 20, "", 0, "") for i in range(3)]]
+    docs, ids = documents(spark, rows), spark.createDataFrame([(0,), (1,), (2,)], "doc_id long")
+    found = {r.doc_id: r for r in lm_score.score(docs, *lm_score.fit(docs, ids)).collect()}
+    size = len({c for r in rows for c in r[1] or ""}) + 2
+    assert size > lm_score.VOCABULARY
+    ours, theirs = brute_scores(rows, rows[:3], size)
+    assert np.allclose([found[r[0]].target_loss for r in rows], ours) and np.allclose([found[r[0]].background_loss for r in rows], theirs)
+    assert len({round(found[i].score, 9) for i in range(20)}) == 20
+    other = documents(spark, [(1, rows[0][1][:20] + "\u0416\u0416", "", 0, "")])
+    assert lm_score.score(other, *lm_score.fit(docs, ids)).first().target_loss > 0
+
+
+def test_language_model_in_small_blocks(spark, monkeypatch):
+    docs, ids = documents(spark), spark.createDataFrame([(8,), (12,)], "doc_id long")
+    key = lambda r: repr((r.doc_id, r.text, r.k0, r.score))
+    want = sorted(lm_score.score(docs, *lm_score.fit(docs, ids)).collect(), key=key)
+    monkeypatch.setattr(lm_score, "BLOCK", 300)
+    monkeypatch.setattr(lm_score, "HELD", 50)
+    found = sorted(lm_score.score(docs, *lm_score.fit(docs, ids)).collect(), key=key)
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in want])
