@@ -176,8 +176,8 @@ _NOTICE_WORDS = ", ".join(
     """,
 )
 def op2_license_scan(t) -> DataFrame:
-    """The licence notices that each document holds."""
-    return license_scan.scan(t.documents).drop("text_key")
+    """The licences that each document names or holds: notices, whole texts and standard headers."""
+    return license_scan.identify(t.documents).drop("text_key")
 
 
 _SQL_MODEL = """

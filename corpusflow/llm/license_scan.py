@@ -1,14 +1,16 @@
-"""Licence notices in documents: MinHash bands over overlapping windows retrieve templates, exact containment decides.
+"""Licences in documents: a join with the table of all template shingles finds them, exact containment decides.
 
 A template of L words is looked for in windows of L + s words that begin at each multiple of s = max(1, L / 4),
-so that each run of L words lies whole in a window. The MinHash of a window under each of ``BANDS`` hashes is
-a band of one row. A window that holds the share ``CONTAINED`` of a template's five-word shingles has a Jaccard
-similarity of 0.4 or more with it, so it shares a band with probability 1 - 0.6^32, above 0.9999999. A window
-can share a band only if it holds a shingle of the template; bands are therefore made for the windows around
-such shingles and for no others, which leaves the retrieved pairs as they are. Retrieved pairs are verified on
-the shingles themselves: the share of the template's distinct shingles that the window holds.
+so that each run of L words lies whole in a window. The five-word shingles of every document are joined with the
+shingles of all templates by hash, compared as strings, and counted in the windows that they lie in. A window
+holds a template if it has the share ``CONTAINED`` of the template's distinct shingles. No pair is left to
+chance: this takes the place of MinHash bands.
 
-Only DataFrame functions run. The band table is a constant of ``BANDS`` rows for each template.
+``scan`` reports each template held. ``identify`` looks for ``TEMPLATES``, the notices, whole texts and standard
+headers. It asks of a window each telling phrase of its template (name and version where texts share their
+opening), and of windows that share a shingle of the document it keeps the licence with most shingles held.
+
+Only DataFrame functions run. The shingle table is fixed by the templates and is broadcast.
 
 Words are read with A-Z in lower case. Null, empty and wordless texts hold no template. Rows with equal ids and
 texts are one; equal ids with other texts are told apart. Null ids are ids like others. Only id and text are read.
@@ -18,17 +20,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusflow.llm import license_texts
 from corpusflow.llm.native_words import gram_hashes, let, words
 from corpusflow.llm.tables import text_of
-from corpusflow.operators.unions import stack_rows
-from corpusflow.session import written
 
 SHINGLE = 5
-BANDS = 32
 CONTAINED = 0.8
+#: Shingles of a document that travel with their words in one row until they are joined.
+PIECE = 16
 
 #: Notices by which works name their licence.
 NOTICES = (
@@ -44,13 +46,28 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Phrases that a text must have to be one of the notices, by position.
+TELLING = {
+    0: ("apache license version 2 0",),
+    1: ("apache license version 2 0",),
+    2: ("gnu general public license", "version 3"),
+    3: ("gnu general public license",),
+    7: ("mozilla public license v 2",),
+    8: ("commons attribution 4 0",),
+    9: ("cc by nc 4 0",),
+}
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def stride_of(n_words: int) -> int:
-    return max(1, n_words // 4)
+_NOTICED = [template_words(text) for _, text in NOTICES]
+#: What ``identify`` looks for; the notices keep their numbers and are not repeated.
+TEMPLATES = (
+    *((*n, TELLING.get(i, ())) for i, n in enumerate(NOTICES)),
+    *(x for x in license_texts.texts() if template_words(x[1]) not in _NOTICED),
+)
 
 
 def _hashed(w: Column) -> Column:
@@ -59,60 +76,69 @@ def _hashed(w: Column) -> Column:
 
 
 def template_table(spark: SparkSession, notices) -> DataFrame:
-    """(template, license, n_words, shingles, hashes): distinct shingles as strings and as hashes."""
-    rows = [(i, name, template_words(text)) for i, (name, text) in enumerate(notices)]
-    if any(len(w) < SHINGLE for _, _, w in rows):
-        raise ValueError(f"a template has at least {SHINGLE} words")
-    df = spark.createDataFrame(rows, "template int, license string, w array<string>")
-    grams = _hashed(F.col("w"))
-    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda j: F.concat_ws(" ", F.slice("w", j, SHINGLE)))
-    return df.select("template", "license", F.size("w").alias("n_words"), F.array_distinct(shingles).alias("shingles"), F.array_distinct(grams).alias("hashes"))
-
-
-def _bands(hashes: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
-
-
-def _windows(holders: DataFrame, n_words: int, known: list[int]) -> DataFrame:
-    """(doc_id, text_key, n_words, start, hashes, window): the windows that hold a known shingle of templates of this length."""
-    stride = stride_of(n_words)
-    width = n_words + stride - SHINGLE + 1
-    known_hashes = F.array(*[F.lit(h) for h in known])
-    last = F.size("grams") - 1
-    at = F.filter(F.sequence(F.lit(0), last), lambda p: F.array_contains(known_hashes, F.col("grams")[p]))
-    first = lambda p: F.greatest(F.lit(0), F.ceil((p - width + 1) / stride).cast("int"))
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(first(p), F.floor(p / stride).cast("int")))))
-    rows = holders.select("doc_id", "text_key", "grams", "w", F.explode_outer(starts).alias("step")).filter("step IS NOT NULL")
-    start = F.col("step") * stride
-    return rows.select(
-        "doc_id", "text_key", F.lit(n_words).alias("n_words"), start.alias("start"),
-        F.slice("grams", start + 1, width).alias("hashes"), F.slice("w", start + 1, width + SHINGLE - 1).alias("window"),
+    """(hash, shingle, template, license, n_words, n_shingles, tells, wanted): the distinct shingles of each template.
+
+    ``tells`` has a bit for each telling phrase that the shingle holds, ``wanted`` the bits of all phrases.
+    """
+    rows = []
+    for i, (name, text, *telling) in enumerate(notices):
+        w, phrases = template_words(text), [f" {' '.join(template_words(x))} " for x in (telling[0] if telling else ())]
+        if len(w) < SHINGLE:
+            raise ValueError(f"a template has at least {SHINGLE} words")
+        shingles = dict.fromkeys(" ".join(w[j : j + SHINGLE]) for j in range(len(w) - SHINGLE + 1))
+        if any(all(x not in f" {g} " for g in shingles) for x in phrases):
+            raise ValueError("a shingle of its template holds each telling phrase")
+        held = [(g, sum(1 << b for b, x in enumerate(phrases) if x in f" {g} ")) for g in shingles]
+        rows.append((i, name, len(w), len(held), (1 << len(phrases)) - 1, held))
+    df = spark.createDataFrame(rows, "template int, license string, n_words int, n_shingles int, wanted long, held array<struct<shingle: string, tells: long>>")
+    df = df.select("template", "license", "n_words", "n_shingles", "wanted", F.inline("held"))
+    return df.withColumn("hash", let(F.split("shingle", " "), _hashed)[0])
+
+
+def _pieces(w: Column) -> Column:
+    """A word array in pieces of ``PIECE`` shingles: (at, part)."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(w) - SHINGLE) / PIECE).cast("int"))
+    piece = lambda i: F.struct((i * PIECE).alias("at"), F.slice(w, i * PIECE + 1, PIECE + SHINGLE - 1).alias("part"))
+    return F.when(F.size(w) >= SHINGLE, F.transform(starts, piece))
+
+
+def _held(docs: DataFrame, notices) -> DataFrame:
+    """(doc_id, text_key, template, license, start, n_held, containment, told, at): the windows that hold a template, and
+    the places of its shingles in the document."""
+    keyed = docs.select("doc_id", F.xxhash64(text_of("text")).alias("text_key"), let(words("text"), _pieces).alias("pieces"))
+    pieces = keyed.select("doc_id", "text_key", F.inline("pieces"))
+    grams = pieces.select("doc_id", "text_key", "at", "part", F.posexplode(_hashed(F.col("part"))).alias("j", "hash"))
+    same = F.concat_ws(" ", F.slice("part", F.col("j") + 1, SHINGLE)) == F.col("shingle")
+    hits = grams.join(F.broadcast(template_table(docs.sparkSession, notices)), "hash").filter(same).withColumn("p", F.col("at") + F.col("j"))
+    stride = F.greatest(F.lit(1), F.floor(F.col("n_words") / 4).cast("int"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("p") - (F.col("n_words") + stride - SHINGLE)) / stride).cast("int"))
+    steps = F.sequence(first, F.floor(F.col("p") / stride).cast("int"))
+    starts = F.transform(steps, lambda k: k * stride)
+    found = hits.select("doc_id", "text_key", "template", "license", "n_shingles", "wanted", "tells", "shingle", "p", F.explode(starts).alias("start"))
+    counted = found.groupBy("doc_id", "text_key", "template", "license", "n_shingles", "wanted", "start").agg(
+        F.size(F.collect_set("shingle")).alias("n_held"), F.bit_or("tells").alias("told"), F.collect_set("p").alias("at")
     )
+    share = F.col("n_held") / F.col("n_shingles")
+    return counted.select(
+        "doc_id", "text_key", "template", "license", "start", "n_held", share.alias("containment"), (F.col("told") == F.col("wanted")).alias("told"), "at"
+    ).filter(F.col("containment") >= CONTAINED)
+
+
+def _reported(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("doc_id", "text_key", "template", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("start"))
 
 
 def scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
     """(doc_id, text_key, template, license, containment, start): each template that a document holds, with the
     largest containment in a window and the first word of the first window that verifies."""
-    spark = docs.sparkSession
-    templates = template_table(spark, notices)
-    known: dict[int, set[int]] = {}
-    for row in templates.select("n_words", "hashes").collect():
-        known.setdefault(row["n_words"], set()).update(row["hashes"])
-    every = F.array(*[F.lit(h) for h in sorted(set().union(*known.values()))])
-
-    text = text_of("text")
-    whole = lambda w: F.when(
-        F.size(w) >= SHINGLE, let(_hashed(w), lambda g: F.when(F.arrays_overlap(g, every), F.struct(w.alias("w"), g.alias("grams"))))
-    )
-    # Documents that share no shingle with any template end here; what is written is a small part of the table.
-    holders = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.explode_outer(F.array(let(words("text"), whole))).alias("s"))
-    holders = written(holders.filter("s IS NOT NULL").select("doc_id", "text_key", "s.*"), "license-holders")
-
-    windows = stack_rows(*[_windows(holders, n, sorted(h)) for n, h in sorted(known.items())])
-    banded = windows.select("*", F.posexplode(_bands(F.col("hashes"))).alias("band", "value"))
-    of_templates = templates.select("template", "license", "n_words", "shingles", F.posexplode(_bands(F.col("hashes"))).alias("band", "value"))
-    retrieved = banded.join(F.broadcast(of_templates), ["n_words", "band", "value"]).dropDuplicates(["doc_id", "text_key", "template", "start"])
-    shingles = F.transform(F.sequence(F.lit(1), F.size("window") - (SHINGLE - 1)), lambda j: F.concat_ws(" ", F.slice("window", j, SHINGLE)))
-    share = F.size(F.array_intersect(shingles, F.col("shingles"))) / F.size("shingles")
-    verified = retrieved.select("doc_id", "text_key", "template", "license", "start", share.alias("containment")).filter(F.col("containment") >= CONTAINED)
-    return verified.groupBy("doc_id", "text_key", "template", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("start"))
+    return _reported(_held(docs, notices))
+
+
+def identify(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """As ``scan``, of windows with all telling phrases, and of licences that lay claim to the same words the best only."""
+    rank = F.struct("n_held", "containment", (-F.col("template")).alias("order"), "license")
+    claims = _held(docs, templates).filter("told").withColumn("rank", rank).withColumn("p", F.explode("at"))
+    best = F.max("rank").over(Window.partitionBy("doc_id", "text_key", "p"))
+    judged = claims.select("doc_id", "text_key", "template", "license", "start", "containment", (best["license"] != F.col("license")).alias("lost"))
+    windows = judged.groupBy("doc_id", "text_key", "template", "license", "start", "containment").agg(F.max("lost").alias("lost"))
+    return _reported(windows.filter("NOT lost"))

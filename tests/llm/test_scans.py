@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from edge_cases import LONG, ROWS, documents, prose  # noqa: E402
 
-from corpusflow.llm import decontaminate, license_scan  # noqa: E402
+from corpusflow.llm import decontaminate, license_scan, license_texts  # noqa: E402
 
 
 def words(text):
@@ -101,3 +101,24 @@ def test_scans_run_no_python_on_executors(spark):
     docs, items = documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     for df in (decontaminate.scan(docs, items), license_scan.scan(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_licences_are_told_apart(spark):
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = {name: text for name, text, _ in license_texts.texts() if len(text) > 1200}
+    cases = [
+        (header.format("Lesser General Public License", "3"), {"LGPL-3.0"}),
+        (header.format("Affero General Public License", "3"), {"AGPL-3.0"}),
+        (header.format("General Public License", "2"), {"GPL-2.0"}),
+        (header.format("General Public License", "3"), {"GPL-3.0"}),
+        (header.format("Curious General Public License", "3"), set()),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 7.", set()),
+        (license_scan.NOTICES[5][1], {"MIT"}),
+        *[(text, {name}) for name, text in texts.items()],
+    ]
+    docs = documents(spark, [(i, f"{prose(7)} {text} {prose(9)}", "", 0, "") for i, (text, _) in enumerate(cases)])
+    found = {i: set() for i in range(len(cases))}
+    for r in license_scan.identify(docs).collect():
+        found[r.doc_id].add(r.license)
+    assert [found[i] for i in range(len(cases))] == [names for _, names in cases]
