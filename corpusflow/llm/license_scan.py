@@ -135,10 +135,15 @@ def scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
 
 
 def identify(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """As ``scan``, of windows with all telling phrases, and of licences that lay claim to the same words the best only."""
-    rank = F.struct("n_held", "containment", (-F.col("template")).alias("order"), "license")
-    claims = _held(docs, templates).filter("told").withColumn("rank", rank).withColumn("p", F.explode("at"))
-    best = F.max("rank").over(Window.partitionBy("doc_id", "text_key", "p"))
-    judged = claims.select("doc_id", "text_key", "template", "license", "start", "containment", (best["license"] != F.col("license")).alias("lost"))
-    windows = judged.groupBy("doc_id", "text_key", "template", "license", "start", "containment").agg(F.max("lost").alias("lost"))
-    return _reported(windows.filter("NOT lost"))
+    """As ``scan``, of occurrences with all telling phrases, and of licences that lay claim to the same words the best only.
+
+    A window without the phrases counts where it shares a shingle with a window of the template that has them.
+    """
+    rank = F.when(F.col("told"), F.struct("n_held", "containment", (-F.col("template")).alias("order"), "license"))
+    claims = _held(docs, templates).withColumn("rank", rank).withColumn("p", F.explode("at"))
+    place = ["doc_id", "text_key", "p"]
+    best = F.max("rank").over(Window.partitionBy(*place))["license"]
+    told = F.max("told").over(Window.partitionBy(*place, "template"))
+    judged = claims.select("doc_id", "text_key", "template", "license", "start", "containment", told.alias("told"), (best != F.col("license")).alias("lost"))
+    windows = judged.groupBy("doc_id", "text_key", "template", "license", "start", "containment").agg(F.max("told").alias("told"), F.max("lost").alias("lost"))
+    return _reported(windows.filter("told AND NOT lost"))
