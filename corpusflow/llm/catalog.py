@@ -11,13 +11,16 @@ from corpusflow.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     license_scan,
     lm_score,
     nbsvm,
     ngram_join,
+    quality_rules,
     sequence_packing,
     shard_packing,
     warc_store,
+    whitening,
 )
 from corpusflow.session import scratch_path, written
 
@@ -214,3 +217,76 @@ def op6_lm_score(t) -> DataFrame:
     model = lm_score.fit(t.documents, good)
     scored = lm_score.score(t.documents.select("doc_id", "text"), *model).drop("text")
     return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
+
+
+_SQL_VECTORS = """
+    v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)"""
+
+
+@catalog.add(
+    f"""
+    WITH {_SQL_VECTORS},
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, rank::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score FROM (
+      SELECT *, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+    WHERE rank <= 5
+    """,
+)
+def op11_hard_negatives(t) -> DataFrame:
+    """The hard negatives of every anchor: rows whose id is divisible by 100 against all rows."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(t.embeddings, moved, F.col("vec_id") % 100 == 0)
+
+
+@catalog.add(
+    r"""
+    WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+    w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM d),
+    g AS (SELECT doc_id, j, w[j : j + 7] AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS j FROM w WHERE len(w) >= 8)),
+    r AS (SELECT doc_id, j FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(generate_series(j, j + 7)) AS p FROM r) GROUP BY doc_id),
+    l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
+    m AS MATERIALIZED (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+            len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
+          FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),
+    v AS (SELECT doc_id, lang, source, unnest([{'m': 'word_length', 'v': 100 * word_chars // n_words}, {'m': 'symbols', 'v': 10000 * n_symbols // n_words},
+            {'m': 'dup_lines', 'v': 10000 * n_dup_lines // n_lines}, {'m': 'repeats', 'v': 10000 * n_repeat_words // n_words}], recursive := true) FROM m WHERE NOT base_failed),
+    s AS (SELECT lang, source, m, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS low, count(*) AS n FROM v GROUP BY ALL),
+    s3 AS (SELECT 3 AS level, lang, source, m, low, n FROM s
+           UNION ALL SELECT 2, lang, NULL, m, low, sum(n) FROM s GROUP BY lang, m, low UNION ALL SELECT 1, NULL, NULL, m, low, sum(n) FROM s GROUP BY m, low),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM s3),
+    q AS (SELECT level, lang, source, m, any_value(total) AS total, min(low) FILTER (4 * upto >= total) AS q1, min(low) FILTER (4 * upto >= 3 * total) AS q3
+          FROM c GROUP BY level, lang, source, m),
+    f AS (SELECT k.lang, k.source, k.m, q1, q3, CASE m WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 500 WHEN 'dup_lines' THEN 1500 ELSE 1000 END AS slack
+          FROM (SELECT DISTINCT lang, source, m FROM s) k JOIN q USING (m)
+          WHERE (level = 1 OR total >= 200) AND (level < 2 OR q.lang IS NOT DISTINCT FROM k.lang) AND (level < 3 OR q.source IS NOT DISTINCT FROM k.source)
+          QUALIFY row_number() OVER (PARTITION BY k.lang, k.source, k.m ORDER BY level DESC) = 1),
+    b AS (SELECT v.doc_id, bool_and(v <= q3 + 3 * (q3 - q1 + slack) AND (v.m <> 'word_length' OR v >= q1 - 3 * (q3 - q1 + slack))) AS ok
+          FROM v JOIN f ON v.m = f.m AND v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source GROUP BY v.doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, FALSE) AS kept
+    FROM m LEFT JOIN b USING (doc_id)
+    """,
+)
+def op12_quality_rules(t) -> DataFrame:
+    """Every document under the fixed rules and under the limits of its language and source."""
+    scored = quality_rules.score(t.documents.select("doc_id", "lang", "source", "text"))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return scored.select("doc_id", *[F.col(f"measures.{c}").alias(c) for c in columns])
+
+
+@catalog.add()
+def op13_embedding_whitening(t) -> DataFrame:
+    """Whitened coordinates of every embedding along the first 32 components."""
+    return whitening.whiten(t.embeddings, whitening.fit(t.embeddings))
