@@ -84,6 +84,12 @@ def encode(x: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray,
     return np.stack(codes, axis=1), np.stack(steps, axis=1), np.stack(rests, axis=1)
 
 
+def _matrix(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """A column of equally long binary values as rows of numbers."""
+    raw = table.column(name).to_pylist()
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), len(raw[0]) // np.dtype(kind).itemsize if raw else 0)
+
+
 class Query:
     """One anchor, rotated and cut into bit planes."""
 
@@ -109,7 +115,7 @@ class Block:
     """The coded rows of one cell."""
 
     def __init__(self, table: pa.Table) -> None:
-        column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(table.num_rows, -1)
+        column = lambda name, kind: _matrix(table, name, kind)
         self.row, self.vec_id, self.label = (table.column(c).to_numpy() for c in ("row", "vec_id", "label"))
         self.x, self.steps, self.rests = column("x", np.int32).astype(np.int64), column("steps", float), column("rests", float)
         self.codes = column("codes", np.uint64).reshape(table.num_rows, self.steps.shape[1], -1)
@@ -157,7 +163,7 @@ def _first(vec_id: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
 
 
 def _queries(anchors: pa.Table) -> Iterator[tuple[int, int, Query]]:
-    block = np.frombuffer(b"".join(anchors.column("x").to_pylist()), np.int32).reshape(anchors.num_rows, -1).astype(np.int64)
+    block = _matrix(anchors, "x", np.int32).astype(np.int64)
     rotated = block.astype(float) @ _rotation(block.shape[1])
     for i, (row, label) in enumerate(zip(anchors.column("row").to_pylist(), anchors.column("label").to_pylist(), strict=True)):
         yield row, label, Query(block[i], rotated[i])
@@ -165,6 +171,8 @@ def _queries(anchors: pa.Table) -> Iterator[tuple[int, int, Query]]:
 
 def _positives(anchors: pa.Table, rows: pa.Table, most: int) -> pa.Table:
     """The best rows of the anchor's own label in one cell."""
+    if not anchors.num_rows or not rows.num_rows:
+        return _columns([], ["anchor", "other_id", "score"])
     block = Block(rows)
     order = np.argsort(block.label, kind="stable")
     sorted_label = block.label[order]
@@ -180,6 +188,8 @@ def _positives(anchors: pa.Table, rows: pa.Table, most: int) -> pa.Table:
 
 def _negatives(anchors: pa.Table, rows: pa.Table, most: int, least: int) -> pa.Table:
     """For each positive score of an anchor the best rows of another label in its range, in one cell."""
+    if not anchors.num_rows or not rows.num_rows:
+        return _columns([], ["anchor", "positive_score", "other_id", "score"])
     block = Block(rows)
     out: list[tuple[np.ndarray, ...]] = []
     scores = anchors.column("positive_scores").to_pylist()
