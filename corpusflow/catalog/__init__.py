@@ -44,10 +44,10 @@ class Catalog:
 
 
 def load() -> Catalog:
-    from corpusflow.catalog import aggregations, batches, forms, io, jobs, joins, rows, sequences, text
+    from corpusflow.catalog import aggregations, batches, forms, io, jobs, joins, mechanisms, rows, sequences, text
 
     merged = Catalog()
-    for module in (io, rows, joins, aggregations, sequences, batches, text, jobs, forms):
+    for module in (io, rows, joins, aggregations, sequences, batches, text, jobs, forms, mechanisms):
         merged.queries |= module.catalog.queries
         merged.sql |= module.catalog.sql
     return merged

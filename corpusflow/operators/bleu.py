@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusflow.functions.text import tokenize_13a
 
@@ -85,11 +85,29 @@ def sentence_counts(tokens: DataFrame, hyp: str, ref: str, by: Sequence[str] = (
     return tokens.select(*by, hyp, ref).mapInArrow(task, schema)
 
 
+def _totals() -> list[Column]:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c)
+    return [*[total(f"{c}{n}") for c in "mt" for n in range(1, MAX_ORDER + 1)], total("r1")]
+
+
 def score_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The score of each group from the counts of its sentences."""
+    return _scored(counts.groupBy(*by).agg(*_totals()), by)
+
+
+def score_grouping_sets(counts: DataFrame, by: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """The scores of several groupings at once, from one pass over the counts of sentences.
+
+    A column that a grouping leaves out is null; ``level`` tells that null from a key that is null: it is the number of
+    the columns left out read as bits, the first column's the highest (0 for the finest grouping).
+    """
+    wide = counts.groupingSets([[F.col(c) for c in one] for one in sets], *by).agg(F.grouping_id().alias("level"), *_totals())
+    return _scored(wide.withColumn("level", F.col("level").cast("int")), [*by, "level"])
+
+
+def _scored(wide: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Scores from added-up counts."""
     orders = range(1, MAX_ORDER + 1)
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c)
-    wide = counts.groupBy(*by).agg(*[total(f"{c}{n}") for c in "mt" for n in orders], total("r1"))
     misses = F.lit(0)
     logs = F.lit(0.0)
     for n in orders:
@@ -126,6 +144,22 @@ def corpus_bleu(
     a layout left over from a join of few bytes would have too few tasks. ``key`` only adds to that
     hash; it need not be unique.
     """
+    return score_counts(_pair_counts(pairs, prediction, reference, key, by), by)
+
+
+def bleu_grouping_sets(
+    pairs: DataFrame,
+    by: Sequence[str],
+    sets: Sequence[Sequence[str]],
+    prediction: str = "prediction",
+    reference: str = "reference",
+    key: str = "idx",
+) -> DataFrame:
+    """:func:`corpus_bleu` for several groupings: sentences are shuffled and counted once for all of them."""
+    return score_grouping_sets(_pair_counts(pairs, prediction, reference, key, by), by, sets)
+
+
+def _pair_counts(pairs: DataFrame, prediction: str, reference: str, key: str, by: Sequence[str]) -> DataFrame:
     laid = pairs.select(*by, prediction, reference, F.xxhash64(key, prediction, reference).alias("_lay")).repartition("_lay")
     tokens = laid.select(
         *by,
@@ -134,4 +168,4 @@ def corpus_bleu(
             for side, column in (("_hyp", prediction), ("_ref", reference))
         ],
     )
-    return score_counts(sentence_counts(tokens, "_hyp", "_ref", by), by)
+    return sentence_counts(tokens, "_hyp", "_ref", by)
