@@ -7,7 +7,7 @@ words for phones.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +20,8 @@ class Tables:
 
     spark: SparkSession
     folder: str
+    #: What several parts of one query build on.
+    shared: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

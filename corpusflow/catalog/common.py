@@ -43,7 +43,9 @@ def split_of(key: Column) -> Column:
 
 
 def user_frames(t: Tables) -> Sequences:
-    """Events of a user in time order: position, symbol, value, and the seconds since the event before."""
+    """Events of a user in time order: position, symbol, value, and the seconds since the event before. Laid out once a query."""
+    if "user_frames" in t.shared:
+        return t.shared["user_frames"]
     events = t.events.select(
         "user_id",
         "event_id",
@@ -52,7 +54,8 @@ def user_frames(t: Tables) -> Sequences:
         "value",
         (F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)") / 1e6).alias("sec"),
     )
-    return from_rows(events, ["user_id"], [F.col("ts"), F.col("event_id")])
+    t.shared["user_frames"] = from_rows(events, ["user_id"], [F.col("ts"), F.col("event_id")])
+    return t.shared["user_frames"]
 
 
 def user_intervals(t: Tables) -> Sequences:

@@ -126,14 +126,31 @@ def segment_mean_in_spans(t: Tables):
     return alignment.segment_mean(frames, segments, "value").withColumn("mean", F.round("mean", 6))
 
 
+SQL_TRUE_LENGTHS = f"""{SQL_SPANNED},
+cut AS (SELECT user_id, t, CASE WHEN t < n * (coalesce(user_id, 1) % 4) // 4 THEN value ELSE 0 END AS value, n * (coalesce(user_id, 1) % 4) // 4 AS length
+  FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM frames) WHERE t < greatest(n * (coalesce(user_id, 1) % 4) // 4, 1))"""
+
+
+def unpadded(t: Tables) -> Sequences:
+    """Frames up to a share of each user's own number of them; a share of none leaves a zero frame."""
+    whole = spanned(t).attach(n=("sum", F.lit(1)))
+    length = F.floor(F.col("n") * (F.coalesce("user_id", F.lit(1)) % 4) / 4)
+    return ctc.unpad(whole, length, "value").drop("n")
+
+
+@catalog.add(f"WITH {SQL_TRUE_LENGTHS} SELECT user_id, t, round(value, 6) AS value FROM cut")
+def unpad_long_frames(t: Tables):
+    return unpadded(t).df.select("user_id", "t", F.round("value", 6).alias("value"))
+
+
 @catalog.add(
-    f"""WITH {SQL_SPANNED}
-    SELECT user_id, t // 3 AS frame, string_agg(round(value, 4)::VARCHAR, ' ' ORDER BY t) AS packed FROM frames WHERE t < 10
+    f"""WITH {SQL_TRUE_LENGTHS}
+    SELECT user_id, t // 3 AS frame, string_agg(round(value, 4)::VARCHAR, ' ' ORDER BY t) AS packed FROM cut
     GROUP BY user_id, t // 3 HAVING count(*) = 3"""
 )
 def pack_long_frames(t: Tables):
-    """Padded sequences cut to ten frames, then stacked three by three."""
-    packed = ctc.pack_long_frames(ctc.unpad(spanned(t), F.lit(10)).with_columns({"value": F.round("value", 4)}), "value", 3)
+    """Padded sequences cut to their true lengths, then stacked three by three."""
+    packed = ctc.pack_long_frames(unpadded(t).with_columns({"value": F.round("value", 4)}), "value", 3)
     return packed.select("user_id", "frame", C.joined(F.col("value")).alias("packed"))
 
 
@@ -226,9 +243,9 @@ def rows_set_aside(t: Tables):
 
 @catalog.add(f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, {C.sql_strip(C.sql_one_line('text'))} AS text FROM benchmark")
 def read_reference_tsv(t: Tables):
-    """A named column of one reference file, by line."""
+    """A named column of a reference in TSV form, by line over all its part files."""
     path = scratch_path(t.spark, "reference")
-    rows = t.benchmark.select("item_id", C.one_line(F.col("text")).alias("tgt_text")).orderBy("item_id").coalesce(1)
+    rows = t.benchmark.select("item_id", C.one_line(F.col("text")).alias("tgt_text")).repartitionByRange("item_id").sortWithinPartitions("item_id")
     manifests.write_manifest(rows, path, ["item_id", "tgt_text"], by=())
     return lines.read_reference_tsv(t.spark, path, "tgt_text").withColumn("text", strip(F.col("text")))
 
@@ -237,7 +254,5 @@ def read_reference_tsv(t: Tables):
 def speaker_list(t: Tables):
     """Written in order, read back with its position over all part files."""
     path = scratch_path(t.spark, "speakers")
-    vocab.write_speakers(t.documents.select(F.col("source").alias("speaker")).coalesce(1), path)
-    read = lines.read_token_list(t.spark, path).join(lines.numbered_lines(t.spark, path).select("file", "line_no", F.col("value").alias("token")), ["line_no", "token"])
-    first = read.select("token", F.struct("file", "line_no").alias("at"))
-    return from_rows(first, [], [F.col("at")], "line_no").df.select("line_no", "token")
+    vocab.write_speakers(t.documents.select(F.col("source").alias("speaker")), path)
+    return lines.read_token_list(t.spark, path)

@@ -151,9 +151,19 @@ def shift_right(frames: Sequences, value: str, name: str = "prev", zero: Column
     return frames.previous(F.col(value), name, F.lit(0.0) if zero is None else zero)
 
 
-def unpad(frames: Sequences, length: Column) -> Sequences:
-    """Cut a padded sequence in long form to its true length."""
-    return frames.filter(F.col(frames.t) < length)
+def unpad(frames: Sequences, length: Column, value: str | None = None, zero: Column | None = None) -> Sequences:
+    """Cut a padded sequence in long form to its true length; with ``value``, length 0 gives one zero frame.
+
+    ``length`` is constant within a sequence. The zero frame is the first of the padded ones, its ``value`` 0 (or ``zero``); without
+    ``value`` a sequence of length 0 has no frame left.
+    """
+    inside, at = F.col(frames.t) < length, F.col(frames.t)
+    if value is None:
+        return frames.filter(inside)
+    zero = F.lit(0.0) if zero is None else zero
+    return frames.with_columns({"_inside": inside}).filter(F.col("_inside") | ((length <= 0) & (at == 0))).with_columns(
+        {value: F.when(F.col("_inside"), F.col(value)).otherwise(zero)}
+    ).drop("_inside")
 
 
 def pack_long_frames(frames: Sequences, value: str, n: int, frame: str = "frame") -> DataFrame:

@@ -19,9 +19,9 @@ def join_translations(transcripts: DataFrame, translations: DataFrame) -> DataFr
 def override_target(df: DataFrame, target: DataFrame, key: str = "path", line: str = "line_no") -> DataFrame:
     """Replace ``translation`` by the text of ``target`` (key, text, line); the last line of a key wins.
 
-    Rows without a target text go.
+    Of equal line numbers (several files) the greatest text wins. Rows without a target text go.
     """
-    last = target.groupBy(key).agg(F.max_by("text", line).alias("translation"))
+    last = target.groupBy(key).agg(F.max(F.struct(line, "text"))["text"].alias("translation"))
     return df.drop("translation").join(last, key, "inner")
 
 
@@ -59,7 +59,8 @@ def merge_registry(
 ) -> DataFrame:
     """One row per sample id from both sides; within a side the highest priority wins.
 
-    ``priority`` stands for the order in which manifests would have been read. Each side is down
+    ``priority`` stands for the order in which manifests would have been read; of equal priorities the greatest
+    claim wins, compared column by column. Each side is down
     to one row per id before the join, so no id is hot in it. ``n_source``/``n_target`` report how
     many rows claimed the id.
     """
@@ -67,7 +68,7 @@ def merge_registry(
     def one_per_id(df: DataFrame, columns: Sequence[str], count: str) -> DataFrame:
         keyed = df.withColumn(key, normalize_id(F.col(key).cast("string")))
         picked = keyed.groupBy(key).agg(
-            F.max_by(F.struct(*columns), priority).alias("_row"), F.count(F.lit(1)).alias(count)
+            F.max(F.struct(F.col(priority).alias("_priority"), *columns)).alias("_row"), F.count(F.lit(1)).alias(count)
         )
         return picked.select(key, count, *[F.col("_row")[c].alias(c) for c in columns])
 

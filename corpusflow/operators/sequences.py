@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.session import written
 
 SPAN = 1 << 16
+#: Bytes of a range of the layout, and the most ranges there are (estimates of joined tables can be far too high).
+RANGE_BYTES, MOST_RANGES = 128 << 20, 100_000
 _KEY, _SPAN, _LOCAL, _CARRY = "_key", "_span", "_local", "_carry"
 
 
@@ -193,12 +195,13 @@ def from_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], t: st
     """Sequences from rows that carry an order (unique within the key) but no position.
 
     The table is range-partitioned on (keys, order), so a hot key spreads over as many partitions as
-    it needs, and each partition learns how many rows of its keys precede it. The range bounds are
-    sampled, so the layout is written to the shared folder before it is read twice; the numbered rows are
-    written too, and what is built on them starts from one scan. The parts of the layout serve as spans.
+    it needs. The range bounds are sampled, so the layout is written to the shared folder before it is read. Its parts
+    are the spans: a row's number inside its part is written with it, and what turns that into a position is
+    one row for each part and key, joined when the sequence is used.
     """
     by_key = [F.col(k).asc() for k in keys]
-    laid = df.repartitionByRange(*by_key, *order).sortWithinPartitions(*by_key, *order)
+    ranges = _ranges(df)
+    laid = df.repartitionByRange(*([ranges] if ranges else []), *by_key, *order).sortWithinPartitions(*by_key, *order)
     laid = written(laid.withColumn("_row", F.monotonically_increasing_id()), "laid-out")
     laid = laid.withColumns({_KEY: _key_of(keys), _SPAN: F.shiftright("_row", 33)})
     pieces = laid.groupBy(_KEY, _SPAN).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -206,7 +209,15 @@ def from_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], t: st
     shift = F.coalesce(F.sum("_n").over(spans_before()), F.lit(0)) - F.col("_first")
     numbered = laid.join(pieces.select(_KEY, _SPAN, shift.alias("_shift")), [_KEY, _SPAN])
     numbered = numbered.withColumn(t, F.col("_row") + F.col("_shift")).drop("_row", "_shift")
-    return Sequences(written(numbered, "sequences"), tuple(keys), t)
+    return Sequences(numbered, tuple(keys), t)
+
+
+def _ranges(df: DataFrame) -> int | None:
+    """How many ranges a table wants by the planner's estimate of its size; None leaves a small one to the session."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(estimate // RANGE_BYTES, MOST_RANGES)
+    return wanted if wanted > usual else None
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "t") -> DataFrame:

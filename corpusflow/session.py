@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def build_session(app_name: str = "corpusflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,7 +56,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark), *_scopes[-1:], f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def run_scope(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Intermediate tables of a run in a folder of their own, removed at the end, whether the run worked or not.
+
+    Write the run's result elsewhere before the scope ends. Scopes nest; one driver thread at a time.
+    """
+    folder = os.path.join(*_scopes[-1:], f"{name}-{uuid.uuid4().hex}")
+    _scopes.append(folder)
+    try:
+        yield os.path.join(shared_dir(spark), folder)
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

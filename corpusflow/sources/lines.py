@@ -30,24 +30,39 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reference_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text) of one reference file, stripped; blank lines keep their position."""
-    return numbered_lines(spark, path).select("line_no", strip(F.col("value")).alias("text"))
+    """(line_no, text) of a reference, stripped; blank lines keep their position."""
+    return _over_files(numbered_lines(spark, path)).select("line_no", strip(F.col("value")).alias("text"))
+
+
+def _over_files(lines: DataFrame) -> DataFrame:
+    """Lines numbered over all files of a folder, in the order of their names.
+
+    What is counted and ordered in one place is one row for each file.
+    """
+    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(starts, "file").withColumn("line_no", (F.col("line_no") + F.col("_before")).cast("bigint")).drop("_before")
 
 
 def read_reference_tsv(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(line_no, text) of a named column of one reference file in TSV form; positions count from the first data line."""
+    """(line_no, text) of a named column of a reference in TSV form; positions count data lines, over all files of a folder.
+
+    Every file has the header, as its writer leaves it.
+    """
     lines = numbered_lines(spark, path)
     header = lines.filter("line_no = 0").select(F.split("value", "\t").alias("h"))
     at = header.groupBy().agg(F.max(F.array_position("h", column))).scalar()
     fields = F.split("value", "\t")
     missing = F.raise_error(F.lit(f"{path} has no column {column}")).cast("boolean")
     rows = lines.withColumn("_at", at.cast("int")).filter(F.when(F.col("_at") == 0, missing).otherwise(F.col("line_no") > 0))
-    return rows.select((F.col("line_no") - 1).alias("line_no"), strip(F.coalesce(F.get(fields, F.col("_at") - 1), F.lit(""))).alias("text"))
+    placed = _over_files(rows.withColumn("line_no", F.col("line_no") - 1))
+    return placed.select("line_no", strip(F.coalesce(F.get(fields, F.col("_at") - 1), F.lit(""))).alias("text"))
 
 
 def read_token_list(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, token): the first field of each line of a vocabulary or speaker file."""
-    return numbered_lines(spark, path).select("line_no", F.get(words(F.col("value")), F.lit(0)).alias("token"))
+    """(line_no, token): the first field of each line of a vocabulary or speaker list, over all files of a folder."""
+    return _over_files(numbered_lines(spark, path)).select("line_no", F.get(words(F.col("value")), F.lit(0)).alias("token"))
 
 
 def read_pairs_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
