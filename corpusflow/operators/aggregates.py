@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Contract for the per-dimension statistics: population deviation, kept above this floor.
@@ -20,10 +22,20 @@ def token_vocab(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def cmvn_stats(df: DataFrame, frame: Column) -> DataFrame:
-    """Mean and deviation of each feature dimension over all frames (one vector per row)."""
-    dims = df.select(F.posexplode(frame).alias("dim", "_v")).withColumn("_v", F.col("_v").cast("double"))
-    stats = dims.groupBy("dim").agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
-    return stats.withColumn("std", F.greatest("std", F.lit(STD_FLOOR)))
+    """Mean and deviation of each feature dimension over all frames (one vector per row).
+
+    Vectors are summarised whole: a task's moments are one pair of vectors, merged without loss of precision, and no frame is
+    spread into a row for each dimension. Frames are of one length, which the job checks; a frame that is null or has a null takes
+    no part.
+    """
+    vectors = df.select(frame.cast("array<double>").alias("_v"))
+    whole = vectors.filter(F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull()))
+    moments = whole.select(array_to_vector("_v").alias("_v")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("_m"))
+    flat = moments.select(vector_to_array("_m.mean").alias("mean"), vector_to_array("_m.variance").alias("var"), F.col("_m.count").alias("_n"))
+    dims = flat.filter("_n > 0").select("_n", F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "_s"))
+    # The summary's variance is that of a sample.
+    deviation = F.sqrt(F.col("_s.var") * (F.col("_n") - 1) / F.col("_n"))
+    return dims.select("dim", F.col("_s.mean").alias("mean"), F.greatest(deviation, F.lit(STD_FLOOR)).alias("std"))
 
 
 def _by_dimension(df: DataFrame, column: str, stats: DataFrame, term) -> DataFrame:

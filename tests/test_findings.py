@@ -2,11 +2,13 @@
 
 import gzip
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import ctc, joins
+from corpusflow.operators import aggregates, ctc, joins, similarity
 from corpusflow.operators.sequences import Sequences, from_rows
 from corpusflow.session import run_scope, scratch_path, shared_dir, written
 from corpusflow.sources import lines, manifests, vocab
@@ -96,3 +98,43 @@ def test_a_layout_is_one_table_and_a_run_leaves_nothing(spark):
         assert not os.path.exists(inner) and placed.df.filter("t = 0").count() == 3
     assert not os.path.exists(folder) and os.path.isdir(shared_dir(spark))
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
+
+
+def plain_scores(x, y):
+    d = [a - b for a, b in zip(x, y)]
+    norm = lambda v: max(sum(a * a for a in v) ** 0.5, 1e-8)
+    dot = sum(a * b for a, b in zip(x, y))
+    smooth = sum(0.5 * v * v if abs(v) < 1 else abs(v) - 0.5 for v in d)
+    return {"cosine": dot / (norm(x) * norm(y)), "l1": -sum(map(abs, d)), "l2": -sum(v * v for v in d), "smoothl1": -smooth, "dot": dot}
+
+
+def test_matrix_scores_are_those_of_single_pairs(spark):
+    draw = random.Random(6)
+    vector = lambda n: [draw.uniform(-2, 2) for _ in range(n)]
+    sides = [[(p, vector(4)) for p in range(21)] + [(21, None), (22, [1.0, None, 0.0, 2.0]), (23, vector(2)), (24, []), (25, [0.0] * 4)] for _ in range(2)]
+    frames = [spark.createDataFrame(s, "pos long, vec array<double>") for s in sides]
+    pairs = similarity.pair_similarity(*frames, *similarity.METRICS, batch_rows=9).collect()
+    known = [dict(s) for s in sides]
+    sizes = [len([p for p in known[0] if p // 9 == b]) for b in range(3)]
+    assert len(pairs) == sum(n * n for n in sizes)
+    for r in pairs:
+        x, y = known[0][r.batch * 9 + r.i], known[1][r.batch * 9 + r.j]
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            assert all(r[m] is None for m in similarity.METRICS)
+        else:
+            for m, want in plain_scores(x, y).items():
+                assert abs(r[m] - want) < 1e-9, (m, r)
+    assert similarity.pair_similarity(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_moments_far_from_zero_keep_their_precision(spark):
+    rows = np.random.default_rng(3).normal(size=(4_000, 3)) * [1e-3, 1.0, 0.0] + [1e9, -5.0, 7.0]
+    df = spark.createDataFrame([(r,) for r in rows.tolist()] + [(None,), ([1.0, None, 2.0],)], "frame array<double>").repartition(7)
+    stats = aggregates.cmvn_stats(df, F.col("frame"))
+    found = {r.dim: (r.mean, r.std) for r in stats.collect()}
+    centre = rows.mean(axis=0)
+    want = np.maximum(np.sqrt(((rows - centre) ** 2).mean(axis=0)), aggregates.STD_FLOOR)
+    assert all(abs(found[k][0] - centre[k]) < 1e-5 for k in range(3)) and abs(found[1][1] / want[1] - 1) < 1e-9 and found[2][1] == want[2]
+    assert aggregates.cmvn_stats(df.limit(0), F.col("frame")).count() == 0
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") <= 1 and plan.index("Generate") < plan.index("Exchange")  # of the one row of moments
