@@ -31,7 +31,7 @@ def cmvn_stats(df: DataFrame, frame: Column) -> DataFrame:
     vectors = df.select(frame.cast("array<double>").alias("_v"))
     whole = vectors.filter(F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull()))
     # By one key: without a frame there is then no row, where a summary of nothing would fail.
-    moments = whole.select(array_to_vector("_v").alias("_v")).groupBy(F.lit(0)).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("_m"))
+    moments = whole.select(array_to_vector("_v").alias("_v")).groupBy(F.lit(0).alias("_all")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("_m"))
     flat = moments.select(vector_to_array("_m.mean").alias("mean"), vector_to_array("_m.variance").alias("var"), F.col("_m.count").alias("_n"))
     dims = flat.select("_n", F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "_s"))
     # The summary's variance is that of a sample.
