@@ -40,10 +40,11 @@ SHARDS = 24
     """,
 )
 def op3_warc_store(t) -> DataFrame:
-    """Archive all pages, read the archive back, and report what its records say."""
+    """Archive all pages, write a WARC record for each, read the files back, and report what their records say."""
     folder = scratch_path(t.spark, "warc")
     warc_store.archive(t.pages, folder)
-    return warc_store.described(t.spark, folder)
+    warc_store.export_warc(t.spark, folder, f"{folder}/files")
+    return warc_store.described_files(t.spark, f"{folder}/files")
 
 
 @catalog.add()

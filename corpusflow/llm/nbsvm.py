@@ -6,7 +6,8 @@ log ratio of its smoothed counts in the two classes, vectors are scaled to lengt
 hinge-loss model is fitted by dual coordinate descent. A sigmoid fitted on a part that the fit has not seen
 turns margins into scores from 0 to 1.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id; it runs in one task. Scoring
+The fit uses at most ``SAMPLE_ROWS`` labelled rows, chosen by hashes of id and text, and of those at most as many as have
+``FEATURE_BYTES`` of features; rows that repeat id and text are one. It runs in one task. Scoring
 covers every row and the whole text, in independent tasks that hold only the model (2 MB).
 
 A null text is empty; an empty text has no feature and gets the score of the intercept. Null labels and
@@ -22,13 +23,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.tables import slices, text_of
 
 SAMPLE_ROWS = 16_384
+#: Bytes that the features of the sample may take, by an upper bound for each text.
+FEATURE_BYTES = 1 << 30
 ORDERS = (1, 2, 3)
 REPEAT_ORDER = 4
 FEATURES = 1 << 18
@@ -170,13 +173,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feature_bytes: int = FEATURE_BYTES) -> Model:
     """The model from labelled rows that are not held out."""
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         (F.min("quality") > 0).cast("int").alias("label")
     )
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "labelled_id")
-    sample = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    texts = docs.select("doc_id", text_of("text").alias("text"))
+    labelled = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).withColumn("text_key", F.xxhash64("text"))
+    # An id may come many times: what is taken of the labelled rows is settled on narrow rows, one for each id and text.
+    most = F.least(4 * 4 * F.octet_length("text").cast("long"), F.lit(4 * FEATURES))
+    narrow = labelled.select("doc_id", "text_key", most.alias("most")).dropDuplicates(["doc_id", "text_key"])
+    taken = narrow.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(sample_rows)
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    taken = taken.withColumn("upto", F.sum("most").over(upto)).filter(F.col("upto") <= feature_bytes)
+    keys = taken.select("doc_id", "text_key")
+    sample = labelled.join(F.broadcast(keys), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
 
     def features(batches):
         for batch in slices(batches):
@@ -191,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         rows, answers = [np.frombuffer(f, "<u4") for _, _, f in held], np.array([y for _, y, _ in held], np.int64)
         yield pa.RecordBatch.from_pylist([_fit(rows, answers)], schema=_MODEL_ARROW)
 
-    narrow = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(features, "doc_id long, label int, features binary")
-    row = narrow.repartition(1).mapInArrow(one_fit, _MODEL).first()
+    rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(features, "doc_id long, label int, features binary")
+    row = rows.repartition(1).mapInArrow(one_fit, _MODEL).first()
     if row is None:
         return Model(0, np.zeros(0), np.zeros(0), 0.0, 0.0, 0.0, 1.0)
     array = lambda raw: np.frombuffer(bytes(raw), "<f4").astype(np.float64)

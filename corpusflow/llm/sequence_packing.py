@@ -12,6 +12,10 @@ padded with the end token; ``cu_seqlens``, the cumulative lengths of its segment
 what the segments are; and ``resets``, the place of each segment's first token in its document, where
 positions begin anew at 0. ``unpack`` gives the documents back.
 
+The library's pattern fails on white space of a million characters in a row, so long runs are cut out before it sees
+the text: all of a run but its last character is always one piece of the pattern (all of it at the end of a text), and that piece
+is encoded as a whole. Ids are those of the pattern at any length.
+
 Null ids and repeated rows are documents like others, told apart by ``row_no`` inside a task. Columns besides
 id and text are not written.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,28 @@ def byte_vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space runs from this length are encoded apart. The characters are those that the library's ``\\s`` knows.
+LONG_RUN = 4096
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
+@functools.lru_cache(maxsize=4)
+def _one_piece(path: str) -> tiktoken.Encoding:
+    """The vocabulary with a pattern that takes any text as one piece."""
+    return byte_vocabulary(path, r"(?s:.)+")
+
+
+def encode_text(text: str, path: str, pattern: str) -> list[int]:
+    """Ids of a text of any shape."""
+    encoding, ids, at = byte_vocabulary(path, pattern), [], 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += _one_piece(path).encode_ordinary(text[run.start() : stop])
+        at = stop
+    return ids + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 class RoomTree:
     """How many rows have each amount of room: a segment tree over 0..length, descended to the least room that fits."""
 
@@ -134,10 +161,10 @@ class _Packer:
 def pack(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = LENGTH, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
     """The packed rows of all documents."""
     def task(batches):
-        encoding, packer = byte_vocabulary(path, pattern), _Packer(length, end_id)
+        packer = _Packer(length, end_id)
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, encoding.encode_ordinary(text.as_py() or ""))
+                packer.add(doc_id, encode_text(text.as_py() or "", path, pattern))
                 if packer.tokens >= buffer_tokens:
                     yield packer.rows()
         if packer.waiting:

@@ -12,22 +12,33 @@ revisit where some record has an id, else a response. Rows that repeat id and pa
 own, and responses alike if theirs is the smallest id. Columns besides id, address and payload are not
 archived.
 
-``export_warc`` writes the records as WARC/1.1 files and ``import_warc`` reads such files: revisit records
-have no block there, so the files hold a large payload once too.
+``export_warc`` writes the records as gzipped WARC/1.1 files, and ``import_warc`` splits such files again: revisit records
+have no block there, so the files hold a large payload once too. ``described_files`` reads an archive back from its files alone.
+
+Payloads are reduced to one of each digest before they are shuffled and are stored in buckets by digest, so a payload that a
+third of all pages share is one row a task, and the joins that rebuild the records shuffle headers only. Revisit records take no
+part in those joins. The bucket count follows from the bytes stored, so a bucket is about one file of ``FILE_BYTES``.
 """
 
 from __future__ import annotations
 
+import gzip
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators.unions import stack_rows
+from corpusflow.session import written
+
 MIN_REVISIT = 100
 CRLF = "\r\n"
 #: Bytes of records in an exported file, about; a reader holds one file in memory.
 FILE_BYTES = 32 * 1024 * 1024
+#: Bytes of payload that a reader hands on at a time.
+CHUNK_BYTES = 4 * 1024 * 1024
 
 
 def _record_uri(page: Column) -> Column:
@@ -75,26 +86,35 @@ def records(pages: DataFrame, date: str) -> DataFrame:
     )
 
 
+def _payloads(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select(payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+
+
 def archive(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write ``headers`` and ``payloads`` below ``folder``; a payload that many records share meets none of its copies in a task."""
+    """Write ``headers`` and ``payloads`` below ``folder``; copies of a payload go before the shuffle."""
     spark = pages.sparkSession
     records(pages, date).drop("payload").write.parquet(f"{folder}/headers")
-    headers = spark.read.parquet(f"{folder}/headers").filter(F.col("record_type") == "response")
-    keepers = headers.groupBy(F.col("digest").alias("held")).agg(F.min("page_id").alias("holder"))
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    content = pages.select(_source(F.col("page_id")), payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    keepers = keepers.select(_source(F.col("holder")), F.col("held").alias("digest"))
-    (
-        content.join(keepers.hint("shuffle_hash"), ["source", "digest"])
-        .dropDuplicates(["source", "digest"])
-        .select("digest", "payload")
-        .write.option("compression", "zstd")
-        .parquet(f"{folder}/payloads")
-    )
+    headers = spark.read.parquet(f"{folder}/headers")
+    held = headers.groupBy("digest").agg(F.max("payload_bytes").alias("n"))
+    size = held.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-size // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20))))
+    one = _payloads(pages).groupBy("digest").agg(F.first("payload").alias("payload"))
+    laid = one.repartition(int(buckets), "digest")
+    writer = laid.write.format("parquet").option("compression", "zstd").bucketBy(int(buckets), "digest")
+    writer.option("path", f"{folder}/payloads").saveAsTable(_table(folder))
+
 
+def _table(folder: str) -> str:
+    """A name in the session's catalogue, which knows the buckets."""
+    return f"payloads_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
 
-def _source(page: Column) -> Column:
-    return F.coalesce(page.cast("string"), F.lit("none")).alias("source")
+
+def _stored_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """The payloads, by bucket where this session has written them."""
+    if spark.catalog.tableExists(_table(folder)):
+        return spark.table(_table(folder))
+    return spark.read.parquet(f"{folder}/payloads")
 
 
 def reconstruct(spark: SparkSession, folder: str, *of_payload: Column) -> DataFrame:
@@ -103,9 +123,14 @@ def reconstruct(spark: SparkSession, folder: str, *of_payload: Column) -> DataFr
     Without ``of_payload`` that is the payload itself; else these expressions over it, which are then
     evaluated once for each stored payload and joined in its place.
     """
-    headers, payloads = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
-    stored = payloads.select("digest", *(of_payload or [F.col("payload")]))
-    return headers.select("page_id", "header", "digest").join(stored, "digest")
+    headers = spark.read.parquet(f"{folder}/headers").select("page_id", "header", "digest")
+    return _with_payload(spark, folder, headers, *of_payload)
+
+
+def _with_payload(spark: SparkSession, folder: str, headers: DataFrame, *of_payload: Column) -> DataFrame:
+    """Headers are gathered by digest and payloads stream past them where they lie."""
+    stored = _stored_payloads(spark, folder).select("digest", *(of_payload or [F.col("payload")]))
+    return headers.hint("shuffle_hash").join(stored, "digest")
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -133,13 +158,44 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def described_files(spark: SparkSession, source: str) -> DataFrame:
+    """What the records in WARC files say: type, what they refer to, length and digest of the payload bytes, computed anew.
+
+    A revisit record has the payload of the response that has its digest; without one the job fails.
+    """
+    header = F.col("header").cast("string")
+    page = lambda name: F.regexp_extract(header_field(header, name), r"<urn:page:(-?\d+)>", 1)
+    number = lambda text: F.when(text != "", text).cast("long")
+    read = written(
+        import_warc(spark, source).select(
+            number(page("WARC-Record-ID")).alias("page_id"),
+            header_field(header, "WARC-Type").alias("record_type"),
+            number(page("WARC-Refers-To")).alias("refers_to"),
+            header_field(header, "WARC-Payload-Digest").alias("declared"),
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            F.sha2("payload", 256).alias("payload_digest"),
+        ),
+        "records",
+    )
+    holds = F.col("declared") == F.concat(F.lit("sha256:"), F.col("payload_digest"))
+    checked = lambda fine, message: F.when(fine, F.col("payload_digest")).otherwise(F.raise_error(F.lit(message)))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    own = read.filter("record_type = 'response'").withColumn("payload_digest", checked(holds, "a payload does not have its digest"))
+    later = read.filter("record_type <> 'response'").drop("payload_bytes", "payload_digest")
+    held = own.groupBy("declared").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    found = later.join(held, "declared", "left")
+    found = found.withColumn("payload_digest", checked(F.col("payload_digest").isNotNull(), "a revisit record's payload is in no response"))
+    return stack_rows(own.select(*columns), found.select(*columns))
+
+
 def export_warc(spark: SparkSession, folder: str, target: str) -> None:
-    """The archive as uncompressed WARC/1.1 files of about ``FILE_BYTES``. The text writer ends each record with two line breaks."""
-    rows = reconstruct(spark, folder)
-    size = rows.agg(F.sum(F.octet_length("header") + F.octet_length("payload"))).first()[0] or 0
-    block = F.when(header_field(F.col("header").cast("string"), "WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    whole = rows.select(F.concat("header", block).cast("string").alias("value"))
-    whole.repartition(max(1, -(-size // FILE_BYTES))).write.option("lineSep", CRLF * 2).text(target)
+    """The archive as WARC/1.1 files, a bucket of payloads in each. The text writer ends each record with two line breaks."""
+    headers = spark.read.parquet(f"{folder}/headers")
+    whole = _with_payload(spark, folder, headers.filter("record_type = 'response'").select("header", "digest"))
+    whole = whole.select(F.concat("header", "payload").cast("string").alias("value"))
+    bare = headers.filter("record_type <> 'response'").select(F.col("header").cast("string").alias("value"))
+    for rows in (whole, bare):
+        rows.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").text(target)
 
 
 def _split_records(content: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -155,11 +211,23 @@ def _split_records(content: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def import_warc(spark: SparkSession, source: str) -> DataFrame:
-    """(header, payload) of each record in WARC files, read whole file by whole file."""
+    """(header, payload) of each record in WARC files, gzipped or not, read whole file by whole file."""
+    kind = pa.schema([("header", pa.binary()), ("payload", pa.binary())])
+
     def task(batches):
         for batch in batches:
             for content in batch.column(0):
-                for header, payload in _split_records(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([header], pa.binary()), pa.array([payload], pa.binary())], ["header", "payload"])
+                raw = content.as_py()
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                held: list[dict] = []
+                size = 0
+                for header, payload in _split_records(raw):
+                    held.append({"header": header, "payload": payload})
+                    size += len(header) + len(payload)
+                    if size >= CHUNK_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, kind)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, kind)
 
     return spark.read.format("binaryFile").load(source).select("content").mapInArrow(task, "header binary, payload binary")

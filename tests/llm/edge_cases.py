@@ -34,6 +34,12 @@ ROWS = [
     (12, prose(50), "h", 15, "z"),
     (-3, prose(40) + " été Ñandú 日本語", "h", 16, "z"),
 ]
+#: Runs of one class of characters that a page may be made of.
+RUNS = [
+    (13, "start" + " " * 1_000_000 + "end", "h", 15, "z"),
+    (14, "line" + "\r\n" * 600_000, "h", 15, "z"),
+    (15, "#" * 200_000 + "x" * 200_000 + "7" * 200_000, "h", 15, "z"),
+]
 SCHEMA = "doc_id long, text string, digest string, score int, k0 string"
 
 

@@ -1,3 +1,5 @@
+import glob
+import gzip
 import hashlib
 import os
 import random
@@ -6,6 +8,9 @@ import sys
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from edge_cases import LONG, ROWS, documents, prose  # noqa: E402
@@ -63,9 +68,49 @@ def test_warc_files_hold_the_exact_records(spark, tmp_path):
     assert all(h.startswith(b"WARC/1.1\r\n") and h.endswith(b"\r\n\r\n") and h.count(b"\r\nWARC-Type: ") == 1 for h, _ in read)
 
 
+def test_archive_read_back_from_its_files_alone(spark, tmp_path):
+    warc_store.archive(pages(spark), f"{tmp_path}/w")
+    warc_store.export_warc(spark, f"{tmp_path}/w", f"{tmp_path}/files")
+    found = warc_store.described_files(spark, f"{tmp_path}/files")
+    assert sorted(map(tuple, found.collect()), key=KEY) == sorted(expected(), key=KEY)
+    files = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/files/*.gz"))
+    assert files.count(HTML.encode()) == sum(h == HTML and i == 2 for i, _, h, _ in PAGES)
+
+
+def test_large_payloads_and_records_inside_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_store, "FILE_BYTES", 1 << 20)
+    record = "WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    large = "".join(chr(97 + i % 26) for i in range(1 << 20)) * 40
+    rows = [(1, "u", record * 5, ""), (2, "u", record * 5, ""), (3, "u", large, ""), (4, "u", large, ""), (5, "u", "\r\n\r\n" * 40, "")]
+    rows += [(100 + i, "u", "" if i % 3 else f"{i} " * 400, "") for i in range(60)]
+    warc_store.archive(pages(spark, rows), f"{tmp_path}/w")
+    warc_store.export_warc(spark, f"{tmp_path}/w", f"{tmp_path}/files")
+    found = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_store.described_files(spark, f"{tmp_path}/files").collect()}
+    first = {}
+    for page, _, html, _ in rows:
+        first.setdefault(html, page)
+    want = {}
+    for page, _, html, _ in rows:
+        later = len(html) >= 100 and first[html] != page
+        want[page] = (len(html), hashlib.sha256(html.encode()).hexdigest(), "revisit" if later else "response", first[html] if later else None)
+    assert found == want and len(glob.glob(f"{tmp_path}/files/*.gz")) > 3
+    plan = warc_store._with_payload(spark, f"{tmp_path}/w", spark.read.parquet(f"{tmp_path}/w/headers").select("header", "digest"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of the headers; payloads stay where they are
+
+
+def test_a_revisit_without_its_response_fails_the_job(spark, tmp_path):
+    warc_store.archive(pages(spark), f"{tmp_path}/w")
+    headers = spark.read.parquet(f"{tmp_path}/w/headers").filter("record_type = 'revisit'")
+    headers.select(F.col("header").cast("string")).write.option("lineSep", "\r\n\r\n").text(f"{tmp_path}/files")
+    with pytest.raises(Exception, match="in no response"):
+        warc_store.described_files(spark, f"{tmp_path}/files").collect()
+
+
 def test_empty_archive(spark, tmp_path):
     warc_store.archive(pages(spark, []), f"{tmp_path}/w")
     assert warc_store.described(spark, f"{tmp_path}/w").count() == 0
+    warc_store.export_warc(spark, f"{tmp_path}/w", f"{tmp_path}/files")
+    assert warc_store.described_files(spark, f"{tmp_path}/files").count() == 0
 
 
 @pytest.mark.parametrize("capacity", [5, 40, 1000])
@@ -149,3 +194,23 @@ def test_room_tree_takes_the_least_room_that_fits():
         found = sequence_packing.best_fit(sizes, length)
         assert len(found) == rows and sorted(i for r in found for i in r) == list(range(200))
         assert all(sum(sizes[i] for i in r) <= length for r in found)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\r\n\t ", "\u3000", "a", "#", "7", "é!"])
+def test_ids_of_long_runs_are_those_of_the_pattern(run):
+    """Against the pattern applied by another library and its pieces encoded one by one."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = sequence_packing.byte_vocabulary(path, public_tokenizers.PATTERN)
+    for text in (run * 9_000, "start" + run * 9_000 + "end", run * 5_000 + " x " + run * 5_000 + ".", "a" + run * 4_095 + "b", f"{run * 6_000}'s"):
+        pieces = regex.findall(public_tokenizers.PATTERN, text)
+        assert "".join(pieces) == text
+        whole = tiktoken.Encoding("whole", pat_str=r"(?s:.)+", mergeable_ranks=plain._mergeable_ranks, special_tokens={})
+        assert sequence_packing.encode_text(text, path, public_tokenizers.PATTERN) == [i for p in pieces for i in whole.encode_ordinary(p)]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "a", "#", "1"])
+def test_no_text_is_too_long_for_the_encoder(run):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    text = "start" + run * (2_000_000 // len(run)) + "end"
+    ids = sequence_packing.encode_text(text, path, public_tokenizers.PATTERN)
+    assert sequence_packing.byte_vocabulary(path, public_tokenizers.PATTERN).decode(ids) == text

@@ -1,6 +1,7 @@
 import os
 import random
 import sys
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +87,77 @@ def test_classifier_on_edge_rows(spark):
     assert nbsvm.fit(documents(spark, []), labels).n_rows == 0
 
 
+def test_the_fit_is_bounded_whatever_repeats(spark):
+    """One id with many texts and many copies; features of long texts."""
+    draw = random.Random(2)
+    text = lambda n: " ".join(draw.choice(("al", "ber", "con", "dra")) for _ in range(n))
+    rows = [(1, text(6), "", 0, "") for _ in range(400)] + [(2, "the same copy", "", 0, "") for _ in range(400)] + [(i, text(9), "", 0, "") for i in range(3, 60)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").filter(~nbsvm.held_out())
+    whole = nbsvm.fit(docs, labels)
+    assert whole.n_rows == len({r[:2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2})
+    for bound in (1, 10, 37):
+        assert nbsvm.fit(docs, labels, sample_rows=bound).n_rows <= bound
+    few = nbsvm.fit(docs, labels, feature_bytes=16 * 2_000)
+    assert 0 < few.n_rows < whole.n_rows
+    again = nbsvm.fit(docs.repartition(3), labels, sample_rows=37)
+    assert np.array_equal(again.weights, nbsvm.fit(docs.repartition(5), labels, sample_rows=37).weights)
+
+
+def plain_grams(text):
+    """The n-grams of a text as tuples, without hashing: bytes of orders 1 to 3 and runs of word repeats."""
+    raw, found = text.encode(), text.encode().split()
+    grams = {("bytes", raw[i : i + n]) for n in nbsvm.ORDERS for i in range(len(raw) - n + 1)}
+    same = [a == b for a, b in zip(found, found[1:])]
+    k = nbsvm.REPEAT_ORDER
+    return grams | {("repeats", tuple(same[i : i + k])) for i in range(len(same) - k + 1)}
+
+
+def test_scores_are_those_of_a_dense_plain_classifier(monkeypatch):
+    """Log-count ratios, scaling, hinge-loss model and sigmoid over a dense matrix of unhashed n-grams."""
+    monkeypatch.setattr(nbsvm, "EPOCHS", 400)
+    draw = random.Random(7)
+    word = lambda good: draw.choice(("alpha", "berry", "cedar") if good else ("zzz", "zz!", "zy?")) if draw.random() < 0.6 else draw.choice(("oak", "elm"))
+    texts = [" ".join(word(i % 2) for _ in range(draw.randint(2, 9))) for i in range(30)]
+    labels = np.array([i % 2 for i in range(30)])
+    places = [np.unique(nbsvm.grams(t)) for t in texts]
+    vocabulary = np.unique(np.concatenate(places))
+    # Few n-grams share a place here; features are what the places say.
+    assert 0.95 * len(set().union(*map(plain_grams, texts))) <= len(vocabulary) <= len(set().union(*map(plain_grams, texts)))
+    dense = np.array([np.isin(vocabulary, p) for p in places], float)
+
+    def ratios(x, y):
+        # Smoothing goes to every place there is, seen or not.
+        unseen = nbsvm.SMOOTHING * (nbsvm.FEATURES - len(vocabulary))
+        counts = [x[y == c].sum(axis=0) + nbsvm.SMOOTHING for c in (0, 1)]
+        return np.log(counts[1] / (counts[1].sum() + unseen)) - np.log(counts[0] / (counts[0].sum() + unseen))
+
+    def margins(x, y, of):
+        r = ratios(x, y)
+        unit = lambda m: (m * r) / np.maximum(np.linalg.norm(m * r, axis=1, keepdims=True), 1e-300)
+        a, sign = np.hstack([unit(x), np.ones((len(x), 1))]), np.where(y == 1, 1.0, -1.0)
+        dual, kernel = np.zeros(len(x)), (a * sign[:, None]) @ (a * sign[:, None]).T
+        for _ in range(4_000):  # the same problem by projected coordinate steps on its kernel
+            for i in range(len(x)):
+                dual[i] = min(max(dual[i] - (kernel[i] @ dual - 1) / kernel[i, i], 0), nbsvm.PENALTY)
+        w = (dual * sign) @ a
+        return np.hstack([unit(of), np.ones((len(of), 1))]) @ w
+
+    fitted = nbsvm._fit(places, labels)
+    array = lambda raw: np.frombuffer(raw, "<f4").astype(float)
+    model = nbsvm.Model(30, array(fitted["ratios"]), array(fitted["weights"]), fitted["intercept"], fitted["slope"], fitted["offset"], fitted["share"])
+    kept = np.arange(30) % nbsvm.CALIBRATION != 0
+    seen = margins(dense[kept], labels[kept], dense[~kept])
+    # The sigmoid by plain gradient steps on the smoothed targets.
+    good, bad = (labels[~kept] == 1).sum(), (labels[~kept] == 0).sum()
+    target, at = np.where(labels[~kept] == 1, (good + 1) / (good + 2), 1 / (bad + 2)), np.zeros(2)
+    x = np.stack([seen, np.ones_like(seen)], axis=1)
+    for _ in range(200_000):
+        at -= 0.05 * x.T @ (1 / (1 + np.exp(-(x @ at))) - target)
+    want = 1 / (1 + np.exp(-(at[0] * margins(dense, labels, dense) + at[1])))
+    assert np.abs(model.scores(texts) - want).max() < 2e-3
+
+
 def test_dual_coordinate_descent_reaches_the_optimum(monkeypatch):
     monkeypatch.setattr(nbsvm, "EPOCHS", 200)
     draw = np.random.default_rng(0)
