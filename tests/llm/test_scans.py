@@ -4,6 +4,7 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from edge_cases import LONG, ROWS, documents, prose  # noqa: E402
@@ -122,3 +123,110 @@ def test_licences_are_told_apart(spark):
     for r in license_scan.identify(docs).collect():
         found[r.doc_id].add(r.license)
     assert [found[i] for i in range(len(cases))] == [names for _, names in cases]
+
+
+def brute_identify(rows, templates):
+    """Windows, phrases and the choice among overlapping licences over plain lists of words."""
+    out = []
+    made = []
+    for i, (name, text, telling) in enumerate(templates):
+        w = license_scan.template_words(text)
+        made.append((i, name, len(w), max(1, len(w) // 4), {" ".join(w[j : j + 5]) for j in range(len(w) - 4)}, [f" {' '.join(license_scan.template_words(x))} " for x in telling]))
+    for doc_id, text in sorted({(r[0], r[1] or "") for r in rows}, key=repr):
+        words = license_scan.template_words(text)
+        grams = [" ".join(words[j : j + 5]) for j in range(len(words) - 4)]
+        windows = []
+        for i, name, n, s, shingles, phrases in made:
+            at = [p for p, g in enumerate(grams) if g in shingles]
+            starts = {k * s for p in at for k in range(max(0, -(-(p - (n + s - 5)) // s)), p // s + 1)}
+            for start in starts:
+                inside = [p for p in at if start <= p <= start + n + s - 5]
+                held = {grams[p] for p in inside}
+                if len(held) / len(shingles) >= 0.8:
+                    told = all(any(x in f" {g} " for g in held) for x in phrases)
+                    windows.append((i, name, start, len(held), len(held) / len(shingles), told, frozenset(inside)))
+        best, heard = {}, {}
+        for i, name, start, n_held, share, told, inside in windows:
+            for p in inside:
+                if told:
+                    best[p] = max(best.get(p, (0,)), (n_held, share, -i, name))
+                    heard.setdefault((i, p), True)
+        found = {}
+        for i, name, start, n_held, share, told, inside in windows:
+            if any(heard.get((i, p)) for p in inside) and not any(best[p][3] != name for p in inside if p in best):
+                old = found.get((i, name), (0.0, start))
+                found[i, name] = (max(old[0], share), min(old[1], start))
+        out += [(doc_id, i, name, round(share, 9), start) for (i, name), (share, start) in found.items()]
+    return sorted(out)
+
+
+def test_identify_against_brute_force_with_all_templates(spark):
+    """Every template whole, in prose, and with a fifth of its words changed."""
+    draw = random.Random(12)
+    rows = []
+    for i, (_, text, _) in enumerate(license_scan.TEMPLATES):
+        rows.append((i, f"{prose(9, draw)}. {text} {prose(7, draw)}", "", 0, ""))
+        w = text.split()
+        for k in range(3, len(w), 31):
+            w[k] = "changed"
+        rows.append((1_000 + i, " ".join(w), "", 0, ""))
+    found = license_scan.identify(documents(spark, rows)).collect()
+    want = brute_identify(rows, license_scan.TEMPLATES)
+    assert sorted((r.doc_id, r.template, r.license, round(r.containment, 9), r.start) for r in found) == want
+    named = {}
+    for r in found:
+        named.setdefault(r.doc_id, set()).add(r.license)
+    for i, (name, text, _) in enumerate(license_scan.TEMPLATES):
+        if len(text) > 700:
+            assert named[i] == {name}, (name, named[i])
+
+
+def test_a_text_that_only_changed_its_name_has_no_or_its_own_licence(spark):
+    whole = {name: text for name, text, _ in license_texts.texts() if len(text) > 700}
+    swap = lambda text, old, new: re.sub(r"(?i)" + old.replace(" ", r"\s+"), new, text)
+    cases = [
+        (swap(whole["GPL-3.0"], "GNU General Public License", "GNU Affero General Public License"), {"AGPL-3.0"}),
+        (swap(whole["GPL-2.0"], "GNU General Public License", "Acme Private Licence"), set()),
+        (swap(whole["GPL-2.0"], "Version 2", "Version 9"), {"GPL"}),  # its appendix still names the licence, without a version
+        (swap(whole["Apache-2.0"], "Apache License", "Acme License"), set()),
+        (swap(whole["MPL-2.0"], "Mozilla Public License", "Acme Public License"), set()),
+        (swap(whole["GFDL-1.2"], "Version 1.2", "Version 1.7"), set()),
+        (whole["BSD-4-Clause"], {"BSD-4-Clause"}),
+        (whole["BSD-3-Clause"], {"BSD-3-Clause"}),
+        (whole["BSD-2-Clause"], {"BSD-2-Clause"}),
+        (whole["MIT-0"], {"MIT-0"}),
+        (whole["MIT"], {"MIT"}),
+        (whole["Zlib"], {"Zlib"}),
+        (whole["Unlicense"], {"Unlicense"}),
+    ]
+    docs = documents(spark, [(i, text, "", 0, "") for i, (text, _) in enumerate(cases)])
+    found = {i: set() for i in range(len(cases))}
+    for r in license_scan.identify(docs).collect():
+        found[r.doc_id].add(r.license)
+    assert found == {i: names for i, (_, names) in enumerate(cases)}
+
+
+def test_bands_point_to_templates_with_a_fifth_of_their_shingles_changed(spark):
+    """Copies at every offset to the windows, with words changed at random places."""
+    draw = random.Random(3)
+    rows, want = [], {}
+    for i, (_, text, _) in enumerate(license_scan.TEMPLATES):
+        w = license_scan.template_words(text)
+        if len(w) >= license_scan.WINDOW + license_scan.STRIDE + 4:
+            for offset in range(0, 16, 3):
+                copy = list(w)
+                for k in draw.sample(range(len(w)), max(1, len(w) // 25)):  # five shingles hold a word
+                    copy[k] = "changed"
+                rows.append((len(rows), " ".join(license_scan.template_words(prose(offset + 1, draw)) + copy), "", 0, ""))
+                want[len(rows) - 1] = i
+    docs = documents(spark, rows)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key")).join(license_scan.candidates(docs, license_scan.TEMPLATES), "text_key")
+    may = {r.doc_id: set(r.may) for r in keyed.collect()}
+    assert all(want[i] in may.get(i, ()) for i in want) and len(want) > 60
+
+
+def test_candidates_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    rows = [(i, n[1] + " " + prose(5), "", 0, "") for i, n in enumerate(license_scan.NOTICES * 3)]
+    before = sorted(map(tuple, license_scan.identify(documents(spark, rows)).collect()))
+    monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, license_scan.identify(documents(spark, rows)).collect())) == before and before
