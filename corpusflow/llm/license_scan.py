@@ -140,7 +140,7 @@ def candidates(docs: DataFrame, notices) -> DataFrame:
     keys, short = _keys(docs.sparkSession, notices)
     both = lambda h: F.concat(_bands(h, STRIDE), F.filter(h, lambda x: x.isin(short)) if short else F.array().cast("array<bigint>"))
     w = lambda w: F.when(F.size(w) >= SHINGLE, let(_hashed(w), both))
-    found = docs.select(F.xxhash64(text_of("text")).alias("text_key"), F.explode(F.array_distinct(let(words("text"), w))).alias("key"))
+    found = docs.select(F.xxhash64(text_of("text")).alias("text_key"), F.explode_outer(F.array_distinct(let(words("text"), w))).alias("key"))
     pairs = found.join(F.broadcast(keys), "key")
     return pairs.groupBy("text_key").agg(F.collect_set("template").alias("may"))
 
@@ -152,7 +152,8 @@ def _held(docs: DataFrame, notices) -> DataFrame:
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     texts = docs.select("doc_id", F.xxhash64(text_of("text")).alias("text_key"), "text").join(known, "text_key")
     keyed = texts.select("doc_id", "text_key", "may", let(words("text"), _pieces).alias("pieces"))
-    pieces = keyed.select("doc_id", "text_key", "may", F.inline("pieces"))
+    # Outer: of an inner one the planner would ask beforehand, of every document, whether it gives any row.
+    pieces = keyed.select("doc_id", "text_key", "may", F.inline_outer("pieces"))
     grams = pieces.select("doc_id", "text_key", "may", "at", "part", F.posexplode(_hashed(F.col("part"))).alias("j", "hash"))
     same = F.concat_ws(" ", F.slice("part", F.col("j") + 1, SHINGLE)) == F.col("shingle")
     hits = grams.join(F.broadcast(template_table(docs.sparkSession, notices)), "hash").filter(same & F.array_contains("may", F.col("template"))).withColumn("p", F.col("at") + F.col("j"))
