@@ -185,12 +185,12 @@ def op2_license_scan(t) -> DataFrame:
 
 
 _SQL_MODEL = """
-    {m}3 AS (SELECT a, b, c, count(*) AS n FROM {of} GROUP BY a, b, c),
+    {m}3 AS (SELECT a, b, c, count(*) * (SELECT least(t, b) / greatest({side}, 1) FROM sizes) AS n FROM g JOIN {side}_ids USING (doc_id) GROUP BY a, b, c),
     {m}2 AS (SELECT b, c, sum(n) AS n FROM {m}3 GROUP BY b, c),
     {m}1 AS (SELECT c, sum(n) AS n FROM {m}3 GROUP BY c),
     {m}ab AS (SELECT a, b, sum(n) AS n FROM {m}3 GROUP BY a, b),
     {m}b AS (SELECT b, sum(n) AS n FROM {m}3 GROUP BY b),
-    {m}p1 AS (SELECT c, (coalesce(n, 0) + 1) / (coalesce((SELECT sum(n) FROM {m}1), 0) + 128) AS p FROM (SELECT DISTINCT c FROM g) LEFT JOIN {m}1 USING (c)),
+    {m}p1 AS (SELECT c, (coalesce(n, 0) + 1) / ((SELECT least(t, b) + symbols FROM sizes)) AS p FROM (SELECT DISTINCT c FROM g) LEFT JOIN {m}1 USING (c)),
     {m}p2 AS (SELECT b, c, (coalesce({m}2.n, 0) + 10 * p) / (coalesce({m}b.n, 0) + 10) AS p
               FROM (SELECT DISTINCT b, c FROM g) JOIN {m}p1 USING (c) LEFT JOIN {m}2 USING (b, c) LEFT JOIN {m}b USING (b)),
     {m} AS (SELECT a, b, c, -ln((coalesce({m}3.n, 0) + 10 * p) / (coalesce({m}ab.n, 0) + 10)) AS loss
@@ -199,21 +199,19 @@ _SQL_MODEL = """
 
 @catalog.add(
     f"""
-    WITH ch AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c FROM documents WHERE coalesce(text, '') <> ''),
-    v AS (SELECT list(c) AS known FROM (SELECT c, count(*) AS n FROM ch GROUP BY c ORDER BY n DESC, unicode(c) LIMIT 126)),
-    t AS (SELECT doc_id, list_concat(['', ''], CASE WHEN coalesce(text, '') = '' THEN [] ELSE
-            list_transform(string_split(text, ''), lambda c: CASE WHEN list_contains(known, c) THEN c ELSE 'unknown' END) END, ['']) AS w
-          FROM documents, v),
-    g AS MATERIALIZED (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t)),
-    good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-    chosen AS (SELECT g.* FROM g JOIN good USING (doc_id)),{_SQL_MODEL.format(m="ours", of="chosen")},{_SQL_MODEL.format(m="theirs", of="g")}
+    WITH w AS (SELECT doc_id, list_concat(['', ''], CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, '') END, ['']) AS w FROM documents),
+    g AS MATERIALIZED (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+    t_ids AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+    b_ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t_ids)),
+    sizes AS MATERIALIZED (SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM t_ids))::DOUBLE AS t, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM t_ids))::DOUBLE AS b,
+        greatest(128, count(DISTINCT c) FILTER (c <> '') + 2) AS symbols FROM g),{_SQL_MODEL.format(m="ours", side="t")},{_SQL_MODEL.format(m="theirs", side="b")}
     SELECT doc_id, count(*) AS n_tokens, round(avg(ours.loss), 6) AS target_loss, round(avg(theirs.loss), 6) AS background_loss,
            round(avg(ours.loss) - avg(theirs.loss), 6) AS score
     FROM g JOIN ours USING (a, b, c) JOIN theirs USING (a, b, c) GROUP BY doc_id
     """,
 )
 def op6_lm_score(t) -> DataFrame:
-    """Every document between a model of the documents labelled good and a model of all documents."""
+    """Every document between a model of the documents labelled good and a model of all others, matched in size."""
     good = t.labels.filter("quality = 1").select("doc_id").distinct()
     model = lm_score.fit(t.documents, good)
     scored = lm_score.score(t.documents.select("doc_id", "text"), *model).drop("text")

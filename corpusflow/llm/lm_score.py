@@ -1,10 +1,13 @@
 """Cross-entropy difference of documents between a target and a background language model.
 
 Both models are n-gram models of order 3 over one vocabulary: a boundary, an unknown symbol and every character
-of the documents. The background is counted over all documents, the target over the documents chosen by the
-caller. Each order is smoothed towards the one below (weight ``PRIOR``), the lowest towards equal shares of all
-symbols and at least ``VOCABULARY``, in both models alike. A document's score is the mean over its tokens, end
-boundary included, of the target's loss less the background's: the lower, the more it is like the target.
+of the documents. The target is counted over the documents chosen by the caller, the background over all others,
+so each document is counted in one model, and every document is scored by counts of which one side holds its own.
+The models are matched in size: the counts of the larger side are scaled to the tokens of the smaller one before
+smoothing, so that neither loses more to its prior, and no document is left out to get there. Each order is
+smoothed towards the one below (weight ``PRIOR``), the lowest towards equal shares of all symbols and at least
+``VOCABULARY``, in both models alike. A document's score is the mean over its tokens, end boundary included, of
+the target's loss less the background's: the lower, the more it is like the target.
 
 A trigram is one number, its cell. Tasks add up what they read and hand on sums before they hold more than
 ``HELD`` cells; the counts are a table of cells. To score, tasks cut the documents into blocks of about ``BLOCK``
@@ -14,8 +17,8 @@ of its own cells. The driver reads three sums and no part of a model.
 A caller may give a ``size``: then the vocabulary is the ``size - 2`` most frequent characters and all others are
 the unknown symbol. A character that the models have not seen has no count and falls back to equal shares.
 
-Null texts are empty; an empty text has one token, its end. Without documents in the target all its losses are
-those of equal shares. Null and repeated ids are scored row by row. Further columns pass through; ``n_tokens``,
+Null texts are empty; an empty text has one token, its end. Where a side has no documents there is nothing to
+compare with: both models are equal shares and all scores are 0. Null and repeated ids are scored row by row. Further columns pass through; ``n_tokens``,
 ``target_loss``, ``background_loss`` and ``score`` replace columns of these names.
 """
 
@@ -128,8 +131,9 @@ def trigram_counts(docs: DataFrame, vocabulary: list[int] | None = None) -> Data
         codes, sums = Codes(vocabulary), [Sums(HELD), Sums(HELD)]
         for batch in slices(batches):
             rows = [codes.cells(text.as_py()) for text in batch.column(0)]
-            wanted = [r for r, w in zip(rows, batch.column(1).to_pylist(), strict=True) if w]
-            for side, held in enumerate((rows, wanted)):
+            chosen = batch.column(1).to_pylist()
+            for side in range(2):
+                held = [r for r, w in zip(rows, chosen, strict=True) if w == bool(side)]
                 if held:
                     sums[side].add(np.concatenate(held))
                 if sums[side].full():
@@ -144,29 +148,26 @@ def trigram_counts(docs: DataFrame, vocabulary: list[int] | None = None) -> Data
 
 @dataclass(frozen=True)
 class Model:
-    """One side of a table of trigram counts."""
+    """One side of a table of trigram counts; each count weighs ``weight``, ``total`` is the weight of all."""
 
     counts: DataFrame
     side: str
-    total: int
+    weight: float
+    total: float
     symbols: int
 
-    def __array__(self, dtype=None, copy=None) -> np.ndarray:
-        """The losses of the counted cells, on the driver: for a look at a small model."""
-        table = losses(self.counts.select("cell"), self, self).orderBy("cell")
-        return np.array([r["target_loss"] for r in table.select("target_loss").collect()], dtype or np.float64)
-
 
 def fit(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> tuple[list[int] | None, Model, Model]:
     """The vocabulary (None: every character) and the models of target and background; ``target_ids`` holds distinct ``doc_id``."""
     vocabulary = None if size is None else vocabulary_of(docs, size)
     chosen = target_ids.select(F.col("doc_id").alias("target_id"))
-    marked = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("target_id"), "left")
+    marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("target_id"), "left")
     counts = written(trigram_counts(marked.select("text", F.col("target_id").isNotNull().alias("in_target")), vocabulary), "trigrams")
     last = counts.groupBy(F.col("cell").bitwiseAND(F.lit(ONE)).alias("c")).agg(*[F.sum(s).alias(s) for s in _SIDES])
     totals = last.agg(F.count_if(F.col("c") >= FIRST_CHARACTER).alias("characters"), *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in _SIDES]).first()
     symbols = size or max(VOCABULARY, totals["characters"] + FIRST_CHARACTER)
-    background, target = (Model(counts, s, totals[s], symbols) for s in _SIDES)
+    least = float(min(totals[s] for s in _SIDES))
+    background, target = (Model(counts, s, least / max(totals[s], 1), least, symbols) for s in _SIDES)
     return vocabulary, target, background
 
 
@@ -182,10 +183,10 @@ def losses(cells: DataFrame, target: Model, background: Model) -> DataFrame:
         return target.counts.groupBy(key.alias(name)).agg(*[F.sum(m.side).alias(f"{k}_{tag}") for k, m in models.items()])
 
     def n(side: str, tag: str) -> Column:
-        return F.coalesce(F.col(f"{side}_{tag}"), F.lit(0))
+        return F.coalesce(F.col(f"{side}_{tag}"), F.lit(0)) * F.lit(models[side].weight)
 
     cell = F.col("cell")
-    one = lambda k, m: (n(k, "last") + F.lit(1.0)) / F.lit(float(m.total + m.symbols))
+    one = lambda k, m: (n(k, "last") + F.lit(1.0)) / F.lit(m.total + m.symbols)
     two = lambda k, m: (n(k, "pair") + F.lit(PRIOR) * one(k, m)) / (n(k, "middle") + F.lit(PRIOR))
     three = lambda k: (n(k, "cell") + F.lit(PRIOR) * F.col(f"{k}_two")) / (n(k, "context") + F.lit(PRIOR))
     pairs = (

@@ -183,12 +183,14 @@ def brute_scores(rows, wanted, size):
     ids = {c: i + 2 for i, c in enumerate(sorted(chars, key=lambda c: (-chars[c], c))[: size - 2])}
     tokens = lambda t: [0, 0, *[ids.get(c, 1) for c in t or ""], 0]
     out = []
-    for part in (wanted, rows):
-        three = {}
+    sides = [wanted, [r for r in rows if r not in wanted]]
+    totals = [sum(len(r[1] or "") + 1 for r in part) for part in sides]
+    for part, own in zip(sides, totals, strict=True):
+        three, weight = {}, min(totals) / max(own, 1)
         for _, text, *_ in part:
             t = tokens(text)
             for g in zip(t, t[1:], t[2:], strict=False):
-                three[g] = three.get(g, 0) + 1
+                three[g] = three.get(g, 0) + weight
         two, one, context2, context1 = {}, {}, {}, {}
         for (a, b, c), n in three.items():
             for table, k in ((two, (b, c)), (one, c), (context2, (a, b)), (context1, b)):
@@ -223,9 +225,20 @@ def test_language_model_of_nothing(spark):
     ids = spark.createDataFrame([], "doc_id long")
     assert lm_score.score(none, *lm_score.fit(none, ids)).count() == 0
     docs = documents(spark)
-    vocabulary, target, _ = lm_score.fit(docs, ids)
-    assert np.allclose(target, np.log(lm_score.VOCABULARY))
-    assert lm_score.score(docs, *lm_score.fit(docs, ids)).count() == len(ROWS)
+    every = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    for chosen, rows in ((ids, docs), (every, docs.filter("doc_id IS NOT NULL"))):
+        found = lm_score.score(docs, *lm_score.fit(rows, chosen)).collect()
+        assert len(found) == len(ROWS) and all(r.score == 0 for r in found)
+        assert np.allclose([r.target_loss for r in found], np.log(lm_score.VOCABULARY))
+
+
+def test_a_side_of_many_copies_is_matched_in_size(spark):
+    """The same texts on both sides, one of them forty times over: no side is preferred."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdef ") for _ in range(60)) for _ in range(10)]
+    rows = [(i, t, "", 0, "") for i, t in enumerate(texts)] + [(100 + i, t, "", 0, "") for i, t in enumerate(texts * 40)]
+    docs, ids = documents(spark, rows), spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    assert all(abs(r.score) < 1e-9 for r in lm_score.score(docs, *lm_score.fit(docs, ids)).collect())
 
 
 def test_language_model_knows_every_character(spark):
