@@ -160,7 +160,8 @@ class Model:
 def fit(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> tuple[list[int] | None, Model, Model]:
     """The vocabulary (None: every character) and the models of target and background; ``target_ids`` holds distinct ``doc_id``."""
     vocabulary = None if size is None else vocabulary_of(docs, size)
-    chosen = target_ids.select(F.col("doc_id").alias("target_id"))
+    # Written first, so that Spark knows its size when it plans: texts are shuffled only where the ids are too many to send.
+    chosen = written(target_ids.select(F.col("doc_id").alias("target_id")), "target-ids")
     marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("target_id"), "left")
     counts = written(trigram_counts(marked.select("text", F.col("target_id").isNotNull().alias("in_target")), vocabulary), "trigrams")
     last = counts.groupBy(F.col("cell").bitwiseAND(F.lit(ONE)).alias("c")).agg(*[F.sum(s).alias(s) for s in _SIDES])
