@@ -7,13 +7,21 @@
    shuffled; buckets with the same members count once.
 3. In a bucket, pairs that agree in ``AGREEMENT`` of the 100 values (six deviations below what a pair at the
    threshold has) are candidates. A spanning forest of them leaves the bucket, never the pairs.
-4. Candidate components meet with their texts, and all their pairs are verified on the full n-gram sets, by
-   products of indicator matrices. What leaves is a count of links for each node and a spanning forest of
-   the links.
+4. Candidate components meet with their texts, and all their pairs are decided on the full n-gram sets. What
+   leaves is a count of links for each node and a spanning forest of the links. A component of one block is
+   decided by products of indicator matrices. In a larger one, see below, most pairs are decided by their
+   distances to one text of it, the hub, and only the others meet.
 5. Components of the links are the classes; a class is named by its smallest ``doc_id``.
 
-A bucket or component above ``BLOCK_NODES`` nodes or ``BLOCK_BYTES`` of text is cut into blocks, and each pair
-of blocks is a group of rows of its own, so that no task holds more than two blocks and no pair is left out.
+Sets of n-grams A and B are linked where |A| + |B| >= 9 |A xor B|. With the hub H, |A xor B| is at most
+|A xor H| + |B xor H|, so with the *slack* |A| - 9 |A xor H| of each node, all pairs whose slacks add up to 0 or
+more are linked. They are counted from how many nodes of the component have each slack; each text is shuffled
+once for that, and the hub once for each block. Nodes with a pair below 0 go on to be compared, with the nodes
+that they are undecided with.
+
+A bucket or component above ``BLOCK_NODES`` nodes or ``BLOCK_BYTES`` of text is cut into blocks, and where pairs
+are compared each pair of blocks is a group of rows of its own, so that no task holds more than two blocks (and a
+hub) and no pair is left out.
 
 A document of fewer than five words has one n-gram, all its words. Null, empty and wordless texts have none
 and are alone in their class, without links. Null ids take part; they name no class (a class without any id
@@ -29,9 +37,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.llm.components import components
 from corpusflow.llm.tables import NO_ID, by_run, keep_rows, row_id, slices, text_of
+from corpusflow.operators.unions import stack_rows
 from corpusflow.session import written
 
 SHINGLE = 5
@@ -39,6 +49,8 @@ THRESHOLD = 0.8
 BANDS = 20
 ROWS = 5
 AGREEMENT = 55
+#: Of the words of two linked sets together, one in so many may be in one set only: (1 + THRESHOLD) / (1 - THRESHOLD).
+FAR = 9
 BLOCK_NODES = 512
 BLOCK_BYTES = 8 * 1024 * 1024
 REMEMBERED_WORDS = 250_000
@@ -197,24 +209,53 @@ def overlaps(sets: list[set]) -> np.ndarray:
     return out
 
 
-def _verified(table: pa.Table) -> pa.RecordBatch:
-    nodes, blocks, copies = _column(table, "node"), _column(table, "block"), _column(table, "n_copies")
+_FOUND = {"a": pa.int64(), "b": pa.int64(), "n_texts": pa.int64(), "n_docs": pa.int64()}
+_PLACED = {"label": pa.int64(), "node": pa.int64(), "hub": pa.int64(), "slack": pa.int64(), "near_hub": pa.bool_(), "n_copies": pa.int64(), "n_bytes": pa.int64(), "text": pa.string()}
+
+
+def _compared(table: pa.Table, asked: np.ndarray) -> dict[str, list]:
+    """The links among the ``asked`` pairs: what each node has of them, and a spanning forest."""
+    nodes, copies = _column(table, "node"), _column(table, "n_copies")
     sets = [ngram_set(split_words(x.as_py())) for x in table.column("text")]
     sizes, shared = np.array([len(s) for s in sets]), overlaps(sets)
     union = sizes[:, None] + sizes[None, :] - shared
-    linked = (shared >= THRESHOLD * union - 1e-6) & _paired(blocks, int(table.column("first")[0].as_py()), int(table.column("second")[0].as_py()))
+    linked = (shared >= THRESHOLD * union - 1e-6) & asked
     some = np.flatnonzero(linked.any(axis=1))
     edges = np.array(_forest(nodes, linked), np.int64).reshape(-1, 2)
     none = [None] * len(edges)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*nodes[some].tolist(), *edges[:, 0].tolist()], pa.int64()),
-            pa.array([None] * len(some) + edges[:, 1].tolist(), pa.int64()),
-            pa.array(linked[some].sum(axis=1).tolist() + none, pa.int64()),
-            pa.array((linked[some] @ copies).tolist() + none, pa.int64()),
-        ],
-        ["a", "b", "n_texts", "n_docs"],
-    )
+    return {
+        "a": [*nodes[some].tolist(), *edges[:, 0].tolist()],
+        "b": [None] * len(some) + edges[:, 1].tolist(),
+        "n_texts": linked[some].sum(axis=1).tolist() + none,
+        "n_docs": (linked[some] @ copies).tolist() + none,
+    }
+
+
+def _record(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), k) for c, k in kinds.items()], list(kinds))
+
+
+def _decided_or_placed(table: pa.Table) -> pa.RecordBatch:
+    """The links of a component of one block; else the slack of each node of this block."""
+    if table.column("n_blocks")[0].as_py() == 1:
+        return _record(_compared(table, ~np.eye(table.num_rows, dtype=bool)), _FOUND | _PLACED)
+    nodes, hubs, own = (_column(table, c) for c in ("node", "hub", "own"))
+    hub = ngram_set(split_words(table.column("text")[int(np.flatnonzero(nodes == hubs)[0])].as_py()))
+    rows = np.flatnonzero(own)
+    slacks = []
+    for i in rows.tolist():
+        grams = ngram_set(split_words(table.column("text")[i].as_py()))
+        slacks.append(len(grams) - FAR * len(grams ^ hub))
+    kept = table.select([c for c in _PLACED if c in table.column_names]).take(pa.array(rows)).to_pydict()
+    return _record(kept | {"slack": slacks, "near_hub": [x + len(hub) >= 0 for x in slacks]}, _FOUND | _PLACED)
+
+
+def _undecided(table: pa.Table) -> pa.RecordBatch:
+    """The links among the pairs of a group of two blocks whose slacks add up to less than 0."""
+    slack = _column(table, "slack")
+    own = _paired(_column(table, "block"), int(table.column("first")[0].as_py()), int(table.column("second")[0].as_py()))
+    return _record(_compared(table, own & (slack[:, None] + slack[None, :] < 0)), _FOUND)
 
 
 def _grouped(rows: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
@@ -275,12 +316,65 @@ def join(docs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     """(a, b, n_texts, n_docs): links counted for node a where b is null, else an edge of a spanning forest of the links."""
     near = near.join(nodes.select("node", "rep_id", "rep_key", "n_copies", "n_bytes"), "node")
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
-    wanted = near.drop("n_bytes").join(sizes, "label")
+    hub = F.max_by("node", F.struct("n_copies", -F.col("node"))).alias("hub")
+    sizes = near.groupBy("label").agg(_n_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("n_blocks"), hub)
     # Whole texts are shuffled once, to the nodes they represent; rows repeated in full count once.
-    full = _texts(docs).join(wanted.hint("shuffle_hash"), ["rep_id", "rep_key"]).dropDuplicates(["rep_id", "rep_key"])
-    cut = _in_blocks(full, "label", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)))
-    return _grouped(cut.select("label", "first", "second", "block", "node", "n_copies", "text"), "label", _verified, "a long, b long, n_texts long, n_docs long")
+    full = _texts(docs).join(near.join(sizes, "label").hint("shuffle_hash"), ["rep_id", "rep_key"]).dropDuplicates(["rep_id", "rep_key"])
+    block = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
+    into = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.array(block))
+    dealt = full.select("label", "node", "hub", "n_blocks", "n_copies", "n_bytes", "text", block.alias("home"), F.explode(into).alias("block"))
+    dealt = dealt.withColumn("own", F.col("home") == F.col("block")).drop("home")
+    schema = "a long, b long, n_texts long, n_docs long, label long, node long, hub long, slack long, near_hub boolean, n_copies long, n_bytes long, text string"
+    first = written(by_run(dealt, ["label", "block"], "node", _decided_or_placed, schema), "decided")
+    placed = first.filter("slack IS NOT NULL").drop("a", "b", "n_texts", "n_docs")
+    answered = placed.join(_sure_links(placed), ["label", "slack"])
+    nothing = F.lit(None).cast("long")
+    return stack_rows(
+        first.filter("slack IS NULL").select("a", "b", "n_texts", "n_docs"),
+        answered.filter("sure_texts > 0").select(F.col("node").alias("a"), nothing.alias("b"), F.col("sure_texts").alias("n_texts"), (F.col("sure_docs") - F.when(F.col("slack") >= 0, F.col("n_copies")).otherwise(0)).alias("n_docs")),
+        placed.filter("near_hub AND node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), nothing.alias("n_texts"), nothing.alias("n_docs")),
+        _rest(answered.filter("open_texts > 0")),
+    )
+
+
+def _n_blocks(rows, size):
+    return F.greatest(F.ceil(rows / BLOCK_NODES), F.ceil(size / BLOCK_BYTES)).cast("long")
+
+
+def _sure_links(placed: DataFrame) -> DataFrame:
+    """(label, slack, sure_texts, sure_docs, open_texts): for a node of this slack, the other nodes of its component that
+    are linked by their slacks, their documents (its own included where its slack is not negative), and the nodes left.
+
+    A running count over the slacks of a component, of which there are at most some ten times the words of its texts.
+    """
+    held = placed.groupBy("label", "slack").agg(F.count(F.lit(1)).alias("n"), F.sum("n_copies").alias("docs"))
+    zero = F.lit(0).cast("long")
+    marks = stack_rows(
+        held.select("label", F.col("slack").alias("at"), F.lit(False).alias("asks"), "n", "docs"),
+        held.select("label", (-F.col("slack")).alias("at"), F.lit(True).alias("asks"), zero.alias("n"), zero.alias("docs")),
+    )
+    whole = Window.partitionBy("label")
+    upto = whole.orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.select("label", "at", "asks", F.sum("n").over(upto).alias("n"), F.sum("docs").over(upto).alias("docs"), F.sum("n").over(whole).alias("all"))
+    itself = (F.col("at") <= 0).cast("long")
+    return counted.filter("asks").select(
+        "label", (-F.col("at")).alias("slack"), (F.col("n") - itself).alias("sure_texts"), F.col("docs").alias("sure_docs"), (F.col("all") - F.col("n") - (1 - itself)).alias("open_texts")
+    )
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Links among nodes that slacks leave open. Two nodes that are not negative are sure, so only blocks of negative
+    nodes meet all blocks."""
+    low = F.col("slack") < 0
+    count = lambda of: _n_blocks(F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("n_bytes"))), F.lit(0)))
+    sizes = rows.groupBy("label").agg(count(low).alias("n_low"), count(~low).alias("n_high"))
+    # A hash other than the one that dealt the first blocks, which all of a block's nodes agree in.
+    draw = F.xxhash64("node", F.lit(1))
+    block = F.when(low, F.pmod(draw, F.col("n_low"))).otherwise(F.col("n_low") + F.pmod(draw, F.greatest("n_high", F.lit(1))))
+    last = F.when(low, F.col("n_low") + F.col("n_high") - 1).otherwise(F.col("n_low") - 1)
+    met = rows.join(sizes, "label").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = met.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    return _grouped(met.select("label", "first", "second", "block", "node", "slack", "n_copies", "text"), "label", _undecided, "a long, b long, n_texts long, n_docs long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,44 @@ def test_ngram_classes_and_links_against_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, found), key=key) == sorted(((r[0], c, n) for r, c, n in zip(rows, names, links, strict=True)), key=key)
 
 
+def test_links_of_large_components_against_brute_force(spark, monkeypatch):
+    """Hubs, pairs decided by slack, and pairs left open, in blocks of a few nodes or of few bytes."""
+    draw = random.Random(6)
+    base = prose(60, draw).split()
+    rows = []
+    for i in range(150):
+        words = list(base) + prose(draw.choice([0, 0, 3, 9]), draw).split()
+        for _ in range(draw.choice([0, 0, 1, 1, 2])):
+            words[draw.randrange(len(words))] = draw.choice(["swap", "other", "third"])
+        rows.append((i, " ".join(words), "", i, ""))
+    rows += rows[:20]
+    names, links = brute_classes(rows)
+    want = sorted((r[0], c, n) for r, c, n in zip(rows, names, links, strict=True))
+    assert len(set(links)) > 10
+    for nodes, size in ((9, 1 << 20), (64, 3000)):
+        monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
+        found = ngram_join.join(documents(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+        assert sorted(map(tuple, found)) == want
+
+
+def test_a_hot_component_is_counted_without_meeting_pairwise(spark, monkeypatch):
+    """Every text differs from one text by one word: all pairs are sure, and none is compared."""
+    def never(table):
+        raise AssertionError("compared")
+
+    draw = random.Random(9)
+    base, n = prose(200, draw).split(), 2_000
+    rows = [(0, " ".join(base), "", 0, ""), (n, " ".join(base), "", 0, "")]
+    for i in range(1, n):
+        words = list(base)
+        words[0 if i % 2 else 199] = f"w{i}"
+        rows.append((i, " ".join(words), "", i, ""))
+    monkeypatch.setattr(ngram_join, "_undecided", never)
+    found = ngram_join.join(documents(spark, rows)).groupBy("class_id", "n_links", "n_text_links", "n_copies").count().collect()
+    assert sorted(map(tuple, found)) == [(0, n, n - 1, 1, n - 1), (0, n, n - 1, 2, 2)]
+
+
 def test_keep_one_keeps_one_of_each_class_and_all_wordless_texts(spark):
     docs = documents(spark, ROWS + near_rows(30))
     kept = ngram_join.keep_one(docs)
