@@ -290,8 +290,8 @@ def join(docs: DataFrame) -> DataFrame:
     found = written(verified(docs, nodes, near), "links")
 
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    named = components(found.filter("b is not null").select("a", "b")).join(nodes.select("node", "rep_id", "rep_key"), "node")
-    first = named.groupBy("label").agg(F.min(F.struct("rep_id", "rep_key")).alias("first"))
+    named = written(components(found.filter("b is not null").select("a", "b")).join(nodes.select("node", "rep_id", "rep_key"), "node"), "named")
+    first = written(named.groupBy("label").agg(F.min(F.struct("rep_id", "rep_key")).alias("first")), "class-names")
     in_class = named.join(first, "label").select("node", "first")
     keyed = nodes.join(in_class, "node", "left").join(links, "node", "left").select(
         "words_key",
@@ -317,7 +317,8 @@ def verified(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     """(a, b, n_texts, n_docs): links counted for node a where b is null, else an edge of a spanning forest of the links."""
     near = near.join(nodes.select("node", "rep_id", "rep_key", "n_copies", "n_bytes"), "node")
     hub = F.max_by("node", F.struct("n_copies", -F.col("node"))).alias("hub")
-    sizes = near.groupBy("label").agg(_n_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("n_blocks"), hub)
+    # Written, for a join above an aggregation keeps a hot label in one task.
+    sizes = written(near.groupBy("label").agg(_n_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("n_blocks"), hub), "sizes")
     # Whole texts are shuffled once, to the nodes they represent; rows repeated in full count once.
     full = _texts(docs).join(near.join(sizes, "label").hint("shuffle_hash"), ["rep_id", "rep_key"]).dropDuplicates(["rep_id", "rep_key"])
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
@@ -367,7 +368,7 @@ def _rest(rows: DataFrame) -> DataFrame:
     nodes meet all blocks."""
     low = F.col("slack") < 0
     count = lambda of: _n_blocks(F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("n_bytes"))), F.lit(0)))
-    sizes = rows.groupBy("label").agg(count(low).alias("n_low"), count(~low).alias("n_high"))
+    sizes = written(rows.groupBy("label").agg(count(low).alias("n_low"), count(~low).alias("n_high")), "rest-sizes")
     # A hash other than the one that dealt the first blocks, which all of a block's nodes agree in.
     draw = F.xxhash64("node", F.lit(1))
     block = F.when(low, F.pmod(draw, F.col("n_low"))).otherwise(F.col("n_low") + F.pmod(draw, F.greatest("n_high", F.lit(1))))
