@@ -68,6 +68,24 @@ def test_a_long_segment_is_no_row_for_each_frame(spark):
     assert {r["name"]: r["count"] for r in covered.groupBy("name").count().collect()} == {"all": 20_000, "some": 2}
 
 
+def test_frames_at_one_position_meet_a_segment_once(spark):
+    """Many sequences under the null key: the totals are those of brute force, from a row for each position and segment."""
+    frames = [(None if i % 9 else 1, t, None if (i + t) % 5 == 0 else float(i * t % 13)) for i in range(40) for t in range(30)] + [(2, 0, None)]
+    phones = [(None if i % 4 else 1, i // 2, i % 30, i % 30 + i % 7) for i in range(120)] + [(2, 900, 0, 3), (3, 901, 0, 3)]
+    tier = spark.createDataFrame(phones, "user_id long, phone long, start long, end long")
+    at = intervals.moments(spark.createDataFrame(frames, "user_id long, t long, value double"), ["user_id"], "value")
+    covered = intervals.frames_in_segments(at, tier, ["user_id"], span=("start", "end"))
+    assert covered.count() == sum(min(e, 30 if k != 2 else 1) - s for k, _, s, e in phones if k != 3)
+    found = covered.groupBy("user_id", "phone").agg(F.sum("n_frames"), F.sum("n_values"), F.sum("total")).collect()
+    wanted = {}
+    for key, phone, start, end in phones:
+        for values in [[v for k, t, v in frames if k == key and start <= t < end]]:
+            if values:
+                wanted.setdefault((key, phone), []).extend(values)
+    whole = {k: [v for v in values if v is not None] for k, values in wanted.items()}
+    assert {(r[0], r[1]): tuple(r)[2:] for r in found} == {k: (len(wanted[k]), len(v), sum(v) if v else None) for k, v in whole.items()}
+
+
 # Sketches.
 
 
