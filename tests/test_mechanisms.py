@@ -68,6 +68,32 @@ def test_a_long_segment_is_no_row_for_each_frame(spark):
     assert {r["name"]: r["count"] for r in covered.groupBy("name").count().collect()} == {"all": 20_000, "some": 2}
 
 
+@pytest.mark.parametrize("members,size", [(3, 5), (2, 1_000), (1_000, 4)])
+def test_lists_and_slices_lose_no_pair(spark, monkeypatch, members, size):
+    monkeypatch.setattr(intervals, "MEMBERS", members)
+    monkeypatch.setattr(intervals, "SLICE", size)
+    schema = "key string, start long, end long, i int"
+    a, b = spans(150, 1, 30), spans(150, 2, 40)
+    b += b[:40]  # rows that come twice
+    met = intervals.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["key"], width=8)
+    assert met.columns == ["key", "left", "right", "overlap_start", "overlap_end"]
+    found = met.select("key", "left.*", F.col("right.i").alias("j"), F.col("right.start").alias("s"), "overlap_start", "overlap_end").collect()
+    assert sorted((r.i, r.j, r.overlap_start, r.overlap_end) for r in found) == brute_overlaps(a, b)
+    assert {(r.key, r.start, r.end, r.i) for r in found} <= set(a) and {(r.s, r.j) for r in found} <= {(x[1], x[3]) for x in b}
+
+
+def test_a_hot_place_of_a_key_is_many_join_keys(spark):
+    """All in one bin: no join key has more than its share of rows, and each row of the left meets each of the right once."""
+    n = 40_000
+    sides = [spark.range(n).select(F.lit(None).cast("long").alias("key"), (F.col("id") % 3).alias("start"), F.lit(8).alias("end"), "id") for _ in range(2)]
+    lists = [intervals._gathered(intervals._leveled(df, ["key"], ("start", "end"), 8)) for df in sides]
+    assert n / intervals.MEMBERS <= lists[0].count() <= n / intervals.MEMBERS + 3
+    cells = [intervals._binned(df, F.array(F.lit(0)), 8, side) for df, side in zip(lists, "lr", strict=True)]
+    for df, side in zip(intervals._sliced(*cells), "lr", strict=True):
+        held = df.groupBy("_key", "_at", "_bin", "_i", "_j").agg(F.sum(F.size(f"_{side}._rows")).alias("n")).collect()
+        assert len(held) == 25 and max(r.n for r in held) < 2 * intervals.SLICE and sum(r.n for r in held) == 5 * n
+
+
 def test_frames_at_one_position_meet_a_segment_once(spark):
     """Many sequences under the null key: the totals are those of brute force, from a row for each position and segment."""
     frames = [(None if i % 9 else 1, t, None if (i + t) % 5 == 0 else float(i * t % 13)) for i in range(40) for t in range(30)] + [(2, 0, None)]
