@@ -20,10 +20,12 @@ NULL_INITIALS = ("NULLINIT", "nullinit")
 LANGUAGE_TAG = r"^<lang:.*>$"
 
 # The published mteval-13a rules, in the order they are applied. The first one lists
-# the ASCII symbols other than ' . , - as ranges and pads blanks too; padding blanks changes no token.
+# the ASCII symbols other than ' . , - one by one (Java looks that up in a table) and does not pad blanks,
+# which changes no token. The second looks for its rare character first and then behind it: at a
+# character that is no digit, and not the last one padded, for a match of the rule took both.
 MTEVAL_13A_RULES = (
-    (r"([\p{Punct}&&[^'.,-]])", " $1 "),
-    (r"([^0-9])([.,])", "$1 $2 "),
+    (r"""[!"#$%&()*+/:;<=>?@\[\\\]^_`{|}~]""", " $0 "),
+    (r"[.,](?<=[^0-9][.,])(?<!\G[.,])", " $0 "),
     (r"([.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 )
@@ -59,9 +61,13 @@ def normalize_id(col: Column) -> Column:
 def tokenize_13a(col: Column) -> Column:
     """Tokens as the scorer counts them (trailing white space is cut first, as the scorer does)."""
     line = F.rtrim(col, F.lit(SPACES))
-    line = _swap(_swap(_swap(line, "<skipped>", ""), "-\n", ""), "\n", " ")
+    # Few lines hold what is replaced here, and a search for one character is cheaper than a replacement that finds nothing.
+    one_line = lambda c: _swap(_swap(c, "-\n", ""), "\n", " ")
+    marked = one_line(_swap(line, "<skipped>", ""))
     for entity, char in ENTITIES:
-        line = _swap(line, entity, char)
+        marked = _swap(marked, entity, char)
+    markup = F.contains(col, F.lit("&")) | F.contains(col, F.lit("<"))
+    line = F.when(markup, marked).when(F.contains(col, F.lit("\n")), one_line(line)).otherwise(line)
     line = F.concat(F.lit(" "), line, F.lit(" "))
     for pattern, replacement in MTEVAL_13A_RULES:
         line = F.regexp_replace(line, pattern, replacement)

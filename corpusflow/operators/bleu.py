@@ -37,24 +37,25 @@ def with_ngrams(df: DataFrame, tokens: str, order: int = MAX_ORDER) -> DataFrame
 def _sentence_matches(hyp: pa.ListArray, ref: pa.ListArray) -> np.ndarray:
     """Clipped matches of each order, for each pair of token lists: rows x orders."""
     sides = [hyp, ref]
-    coded = pa.concat_arrays([pc.list_flatten(s) for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pa.concat_arrays([pc.list_flatten(s) for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.concatenate([pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False) for s in sides])
     row = np.repeat(np.arange(len(sizes)), sizes)
+    pair, n_ours, width = row % len(hyp), sizes[: len(hyp)].sum(), words.max(initial=0) + 1
     out = np.zeros((len(hyp), MAX_ORDER), np.int64)
-    words, grams, start = coded, coded, np.arange(len(coded))
+    # Grams are numbered within their pair, by hash and not by sorting.
+    grams, start = pair, np.arange(len(words))
     for order in range(1, MAX_ORDER + 1):
-        if order > 1:
-            # A gram goes on by the next word, as long as the sentence does.
-            inside = start[start + order - 1 < len(row)]
-            inside = inside[row[inside + order - 1] == row[inside]]
-            grams = grams[np.searchsorted(start, inside)] * (words.max(initial=0) + 1) + words[inside + order - 1]
-            start = inside
-        grams = np.unique(grams, return_inverse=True)[1]
-        owner, width = row[start], grams.max(initial=0) + 1
-        ours = owner < len(hyp)
-        (a, n), (b, m) = (np.unique(k, return_counts=True) for k in (owner[ours] * width + grams[ours], (owner[~ours] - len(hyp)) * width + grams[~ours]))
-        both, at, other = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        out[:, order - 1] = np.bincount(both // width, weights=np.minimum(n[at], m[other]), minlength=len(hyp))
+        # A gram goes on by the next word, as long as the sentence does.
+        inside = start + order - 1 < len(row)
+        inside[inside] = row[start[inside] + order - 1] == row[start[inside]]
+        grams, start = grams[inside], start[inside]
+        grams = pa.array(grams * width + words[start + order - 1]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        number = int(grams.max(initial=-1)) + 1
+        ours = start < n_ours
+        both = np.minimum(*[np.bincount(grams[side], minlength=number) for side in (ours, ~ours)])
+        owner = np.empty(number, np.int64)
+        owner[grams] = pair[start]
+        out[:, order - 1] = np.bincount(owner, weights=both, minlength=len(hyp))
     return out
 
 

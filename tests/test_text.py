@@ -1,5 +1,8 @@
 """Text functions on hand-made cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +90,31 @@ def test_words_match_python(spark):
 )
 def test_tokenize_13a(spark, given, wanted):
     assert " ".join(one(spark, given, X.tokenize_13a)) == wanted
+
+
+def plain_13a(text):
+    """The published rules as they stand."""
+    line = re.sub(f"[{X.SPACES}]+$", "", text).replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, char in X.ENTITIES:
+        line = line.replace(entity, char)
+    line = f" {line} "
+    for pattern, new in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        line = re.sub(pattern, new, line)
+    return [w for w in re.split(f"[{X.SPACES}]+", line) if w]
+
+
+def test_tokenize_13a_is_the_published_rules(spark):
+    draw = random.Random(5)
+    pieces = [*"a7.,.,.,- '!_|\\]^&<\né。０\r", " ", "\U0001f600", "&amp;", "lt;", "&quot;", "<skipped>", "-\n", "&am<skipped>p;"]
+    texts = [".,5", "a.,b", "...", ",.7", "", *["".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))) for _ in range(4_000)]]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string")
+    found = {r.i: r.w for r in df.select("i", X.tokenize_13a(F.col("t")).alias("w")).collect()}
+    assert found.pop(len(texts)) is None
+    assert found == {i: plain_13a(t) for i, t in enumerate(texts)}
+
+
+def test_rules_of_13a_search_for_rare_characters_first(spark):
+    """Replacements are planned under a condition, and no rule begins at any character."""
+    plan = spark.range(1).select(X.tokenize_13a(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN" in plan and plan.index("CASE WHEN") < plan.index(" replace(")
+    assert not any(pattern.lstrip("(").startswith("[^") for pattern, _ in X.MTEVAL_13A_RULES)
