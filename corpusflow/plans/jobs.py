@@ -123,9 +123,9 @@ def score_predictions(
     A prediction without a transcript scores as the empty string. A bad listing and unequal sides
     fail the job; ``prediction_problems`` and ``unpaired_positions`` name the culprits.
     """
-    heard = list_predictions(paths).join(transcripts, "path", "left").select(
-        "idx", asr_postprocess(F.col("tokens"), mode, silence).alias("prediction")
-    )
+    # Lines are shuffled, and not the tokens they are made of.
+    said = transcripts.select("path", asr_postprocess(F.col("tokens"), mode, silence).alias("prediction"))
+    heard = list_predictions(paths).join(said, "path", "left").select("idx", F.coalesce("prediction", F.lit("")).alias("prediction"))
     if language == "hok":
         heard = heard.withColumn("prediction", merge_syllables(F.col("prediction")))
     lines = references.select("idx", normalize_line(F.col("text")).alias("reference"))

@@ -77,6 +77,13 @@ def test_score_predictions(spark):
         jobs.score_predictions(twice, heard, references).collect()
 
 
+def test_transcripts_are_lines_before_they_are_joined(spark):
+    paths, heard = scoring(spark, ["a", "|", "b"])
+    references = spark.createDataFrame([(0, "a b"), (1, "lost")], "idx bigint, text string")
+    plan = jobs.score_predictions(paths, heard, references)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(tokens") == 1 and plan.index("Join LeftOuter") < plan.index("array_join(tokens")
+
+
 def test_score_hokkien(spark):
     paths, heard = scoring(spark, ["ts", "ua5", "NULLINIT", "e3", "b", "o2", "k", "i1"])
     references = spark.createDataFrame([(0, "tsua5 e3 bo2 ki1"), (1, "x")], "idx bigint, text string")
