@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # The characters that count as white space (those of Python's str.strip and str.split).
@@ -29,6 +32,14 @@ MTEVAL_13A_RULES = (
     (r"([.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 )
+# The same rules for RE2, which Arrow uses, and what a word must hold for one of them to change it.
+RE2_13A_RULES = (
+    (r"([!-&(-+/:-@\[-`{-~])", r" \1 "),
+    (r"([^0-9])([.,])", r"\1 \2 "),
+    (r"([.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
+RULED_13A = r"[!-&(-,./:-@\[-`{-~]|[0-9]-"
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
 
@@ -58,22 +69,59 @@ def normalize_id(col: Column) -> Column:
     return _swap(col, ".mp3", "")
 
 
-def tokenize_13a(col: Column) -> Column:
-    """Tokens as the scorer counts them (trailing white space is cut first, as the scorer does)."""
-    line = F.rtrim(col, F.lit(SPACES))
+def line_13a(col: Column) -> Column:
+    """The line that the rules of 13a read: entities replaced, line ends joined (trailing white space is cut first, as the scorer does)."""
     # Few lines hold what is replaced here, and a search for one character is cheaper than a replacement that finds nothing.
     one_line = lambda c: _swap(_swap(c, "-\n", ""), "\n", " ")
+    line = F.rtrim(col, F.lit(SPACES))
     marked = one_line(_swap(line, "<skipped>", ""))
     for entity, char in ENTITIES:
         marked = _swap(marked, entity, char)
     markup = F.contains(col, F.lit("&")) | F.contains(col, F.lit("<"))
-    line = F.when(markup, marked).when(F.contains(col, F.lit("\n")), one_line(line)).otherwise(line)
-    line = F.concat(F.lit(" "), line, F.lit(" "))
+    return F.when(markup, marked).when(F.contains(col, F.lit("\n")), one_line(line)).otherwise(col)
+
+
+def tokenize_13a(col: Column) -> Column:
+    """Tokens as the scorer counts them."""
+    line = F.concat(F.lit(" "), line_13a(col), F.lit(" "))
     for pattern, replacement in MTEVAL_13A_RULES:
         line = F.regexp_replace(line, pattern, replacement)
     return words(line)
 
 
+def numbered_13a(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`tokenize_13a` inside a task: numbers of all tokens of ``lines`` (see :func:`line_13a`), and the tokens of each line.
+
+    Equal tokens have equal numbers. No rule reads past white space, so each distinct word is taken apart once.
+    """
+    said = pc.utf8_split_whitespace(lines)
+    coded = said.flatten().dictionary_encode()
+    vocabulary, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    ruled = pc.match_substring_regex(vocabulary, RULED_13A)
+    pad, joint = pa.scalar(" ", vocabulary.type), pa.scalar("", vocabulary.type)
+    padded = pc.binary_join_element_wise(pad, vocabulary.filter(ruled), pad, joint)
+    for pattern, replacement in RE2_13A_RULES:
+        padded = pc.replace_substring_regex(padded, pattern, replacement)
+    parts = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(padded))
+    plain = vocabulary.filter(pc.invert(ruled))
+    number = pa.concat_arrays([plain, parts.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    # Of each distinct word: how many tokens, and where they begin in ``number``. White space at an end of a line leaves an empty word.
+    by_rule = ruled.to_numpy(zero_copy_only=False)
+    pieces = np.ones(len(vocabulary), np.int64)
+    pieces[by_rule] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    first = np.empty(len(vocabulary), np.int64)
+    for kind in (~by_rule, by_rule):
+        first[kind] = np.cumsum(pieces[kind]) - pieces[kind]
+    first[by_rule] += len(plain)
+    pieces[pc.equal(vocabulary, joint).to_numpy(zero_copy_only=False)] = 0
+
+    ends = np.concatenate([[0], np.cumsum(pieces[word])])
+    tokens = number[np.repeat(first[word] - ends[:-1], pieces[word]) + np.arange(ends[-1])]
+    last = np.cumsum(pc.list_value_length(said).to_numpy(zero_copy_only=False))
+    return tokens, np.diff(ends[last], prepend=0)
+
+
 def detokenize(tokens: Column) -> Column:
     """Pieces of a hypothesis to readable text."""
     text = F.array_join(tokens, "")

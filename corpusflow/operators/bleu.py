@@ -7,14 +7,14 @@ short to have an order at all, the score is 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpusflow.functions.text import tokenize_13a
+from corpusflow.functions.text import line_13a, numbered_13a
 
 MAX_ORDER = 4
 
@@ -34,56 +34,69 @@ def with_ngrams(df: DataFrame, tokens: str, order: int = MAX_ORDER) -> DataFrame
     return df
 
 
-def _sentence_matches(hyp: pa.ListArray, ref: pa.ListArray) -> np.ndarray:
-    """Clipped matches of each order, for each pair of token lists: rows x orders."""
-    sides = [hyp, ref]
-    words = pa.concat_arrays([pc.list_flatten(s) for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.concatenate([pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False) for s in sides])
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    pair, n_ours, width = row % len(hyp), sizes[: len(hyp)].sum(), words.max(initial=0) + 1
-    out = np.zeros((len(hyp), MAX_ORDER), np.int64)
+def _sentence_matches(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Clipped matches of each order, for each sentence pair: rows x orders.
+
+    ``words`` are the numbered tokens of all hypotheses and then of all references, ``sizes`` the tokens of each.
+    """
+    pairs = len(sizes) // 2
+    pair = np.repeat(np.arange(len(sizes)) % pairs, sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # tokens from here to the sentence's end
+    n_ours, width = sizes[:pairs].sum(), words.max(initial=0) + 1
+    out = np.zeros((pairs, MAX_ORDER), np.int64)
     # Grams are numbered within their pair, by hash and not by sorting.
     grams, start = pair, np.arange(len(words))
     for order in range(1, MAX_ORDER + 1):
-        # A gram goes on by the next word, as long as the sentence does.
-        inside = start + order - 1 < len(row)
-        inside[inside] = row[start[inside] + order - 1] == row[start[inside]]
-        grams, start = grams[inside], start[inside]
-        grams = pa.array(grams * width + words[start + order - 1]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        number = int(grams.max(initial=-1)) + 1
-        ours = start < n_ours
-        both = np.minimum(*[np.bincount(grams[side], minlength=number) for side in (ours, ~ours)])
-        owner = np.empty(number, np.int64)
-        owner[grams] = pair[start]
-        out[:, order - 1] = np.bincount(owner, weights=both, minlength=len(hyp))
+        coded = pa.array(grams * width + words[start + order - 1]).dictionary_encode()
+        grams, number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        at = np.searchsorted(start, n_ours)
+        both = np.minimum(*[np.bincount(side, minlength=number) for side in (grams[:at], grams[at:])])
+        owner = np.zeros(number, np.int64)
+        owner[grams[:at]] = pair[start[:at]]
+        out[:, order - 1] = np.bincount(owner, weights=both, minlength=pairs)
+        # A longer gram can be on both sides only if the grams of this order that begin and end it are.
+        shared = np.zeros(len(words) + 1, bool)
+        shared[start] = both[grams] > 0
+        goes_on = shared[start] & shared[start + 1] & (left[start] > order)
+        grams, start = grams[goes_on], start[goes_on]
     return out
 
 
-#: Sentence pairs whose n-grams are counted at a time.
-PAIRS_AT_ONCE = 256
+#: Bytes of sentence pairs whose n-grams are counted at a time; a longer pair is counted alone.
+BYTES_AT_ONCE = 1 << 19
+
+
+def _slices(hyp: pa.Array, ref: pa.Array) -> Iterator[slice]:
+    """Runs of sentence pairs of about ``BYTES_AT_ONCE``."""
+    ends = np.cumsum(sum(pc.binary_length(side).to_numpy(zero_copy_only=False).astype(np.int64) for side in (hyp, ref)))
+    at = 0
+    while at < len(ends):
+        full = (ends[at - 1] if at else 0) + BYTES_AT_ONCE
+        to = max(int(np.searchsorted(ends, full, "right")), at + 1)
+        yield slice(at, to)
+        at = to
 
 
-def sentence_counts(tokens: DataFrame, hyp: str, ref: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, m1..m4, hyp_len, ref_len...) for each sentence pair: matches and n-gram numbers of each order.
+def sentence_counts(lines: DataFrame, hyp: str, ref: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, m1..m4, t1..t4, r1..r4) for each pair of lines (see ``line_13a``): matches and n-gram numbers of each order.
 
-    The n-grams of a pair are counted where its tokens are, so no key is needed and none can be wrong.
+    The tokens and n-grams of a pair are counted where its lines are, so no key is needed and none can be wrong.
     """
     orders = range(1, MAX_ORDER + 1)
-    schema = T.StructType([*tokens.select(*by).schema.fields] + [T.StructField(f"{c}{n}", T.LongType()) for c in "mtr" for n in orders])
+    schema = T.StructType([*lines.select(*by).schema.fields] + [T.StructField(f"{c}{n}", T.LongType()) for c in "mtr" for n in orders])
 
     def task(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
-                part = batch.slice(at, PAIRS_AT_ONCE)
-                sides = [part.column(c) for c in (hyp, ref)]
-                matches = _sentence_matches(*sides)
+            for run in _slices(batch.column(hyp), batch.column(ref)):
+                part = batch.slice(run.start, run.stop - run.start)
+                words, sizes = numbered_13a(pa.concat_arrays([part.column(c) for c in (hyp, ref)]))
+                matches = _sentence_matches(words, sizes)
                 columns = {b: part.column(b) for b in by} | {f"m{n}": pa.array(matches[:, n - 1]) for n in orders}
-                for name, side in zip("tr", sides, strict=True):
-                    length = side.value_lengths().to_numpy(zero_copy_only=False)
-                    columns |= {f"{name}{n}": pa.array(np.maximum(length - (n - 1), 0).astype(np.int64)) for n in orders}
+                for name, length in zip("tr", np.split(sizes, 2), strict=True):
+                    columns |= {f"{name}{n}": pa.array(np.maximum(length - (n - 1), 0)) for n in orders}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return tokens.select(*by, hyp, ref).mapInArrow(task, schema)
+    return lines.select(*by, hyp, ref).mapInArrow(task, schema)
 
 
 def _totals() -> list[Column]:
@@ -138,14 +151,15 @@ def corpus_bleu(
     reference: str = "reference",
     key: str = "idx",
     by: Sequence[str] = (),
+    laid: bool = False,
 ) -> DataFrame:
     """BLEU of the corpus, or of each group of it, from raw sentences.
 
     Raw sentences are what is shuffled, once, to spread them evenly: by a hash of the whole pair, for
     a layout left over from a join of few bytes would have too few tasks. ``key`` only adds to that
-    hash; it need not be unique.
+    hash; it need not be unique. Pairs that are spread by a shuffle of their own (``laid``) stay where they are.
     """
-    return score_counts(_pair_counts(pairs, prediction, reference, key, by), by)
+    return score_counts(_pair_counts(pairs, prediction, reference, key, by, laid), by)
 
 
 def bleu_grouping_sets(
@@ -160,13 +174,15 @@ def bleu_grouping_sets(
     return score_grouping_sets(_pair_counts(pairs, prediction, reference, key, by), by, sets)
 
 
-def _pair_counts(pairs: DataFrame, prediction: str, reference: str, key: str, by: Sequence[str]) -> DataFrame:
-    laid = pairs.select(*by, prediction, reference, F.xxhash64(key, prediction, reference).alias("_lay")).repartition("_lay")
-    tokens = laid.select(
+def _pair_counts(pairs: DataFrame, prediction: str, reference: str, key: str, by: Sequence[str], laid: bool = False) -> DataFrame:
+    if not laid:
+        pairs = pairs.select(*by, prediction, reference, F.xxhash64(key, prediction, reference).alias("_lay")).repartition("_lay")
+    # Arrow takes valid text only.
+    lines = pairs.select(
         *by,
         *[
-            tokenize_13a(F.coalesce(F.col(column), F.lit(""))).alias(side)
+            line_13a(F.make_valid_utf8(F.coalesce(F.col(column), F.lit("")))).alias(side)
             for side, column in (("_hyp", prediction), ("_ref", reference))
         ],
     )
-    return sentence_counts(tokens, "_hyp", "_ref", by)
+    return sentence_counts(lines, "_hyp", "_ref", by)

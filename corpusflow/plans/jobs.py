@@ -129,7 +129,8 @@ def score_predictions(
     if language == "hok":
         heard = heard.withColumn("prediction", merge_syllables(F.col("prediction")))
     lines = references.select("idx", normalize_line(F.col("text")).alias("reference"))
-    return bleu.corpus_bleu(joins.paired_by_position(heard, lines))
+    # A full outer join always shuffles, here by an index of its own for each pair.
+    return bleu.corpus_bleu(joins.paired_by_position(heard, lines), laid=True)
 
 
 @dataclass(frozen=True)

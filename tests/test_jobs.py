@@ -84,6 +84,15 @@ def test_transcripts_are_lines_before_they_are_joined(spark):
     assert plan.count("array_join(tokens") == 1 and plan.index("Join LeftOuter") < plan.index("array_join(tokens")
 
 
+def test_pairs_are_counted_where_they_meet(spark):
+    """No shuffle between the full outer join by position and the counts; small tables are not broadcast there either."""
+    paths, heard = scoring(spark, ["a", "|", "b"])
+    references = spark.createDataFrame([(0, "a b"), (1, "lost")], "idx bigint, text string")
+    plan = jobs.score_predictions(paths, heard, references)._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("MapInArrow") : plan.index("FullOuter")]
+    assert "Exchange" not in above and "SortMergeJoin" in above
+
+
 def test_score_hokkien(spark):
     paths, heard = scoring(spark, ["ts", "ua5", "NULLINIT", "e3", "b", "o2", "k", "i1"])
     references = spark.createDataFrame([(0, "tsua5 e3 bo2 ki1"), (1, "x")], "idx bigint, text string")

@@ -1,12 +1,14 @@
 """Joins, filters, aggregates, batching, mixing, scoring on hand-made cases."""
 
 import math
+import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import tokenize_13a, words
+from corpusflow.functions.text import numbered_13a, tokenize_13a, words
 from corpusflow.operators import aggregates, batching, bleu, filters, hypotheses, joins, mixing, similarity
 from corpusflow.operators.quarantine import for_extraction, for_scoring, safe_map
 from corpusflow.operators.sequences import exploded
@@ -250,6 +252,37 @@ def test_bleu_counts_before_shuffling(spark):
     assert plan.count("Exchange") == 2 and plan.count("HashAggregate") == 2
 
 
+def test_bleu_takes_distinct_words_apart_and_not_lines(spark):
+    """Lines go to the tasks as they are: no rule of the tokenizer runs over them, and no token list is made of them."""
+    df = spark.range(10).select(F.col("id").alias("idx"), F.lit("a, b").alias("prediction"), F.lit("a b").alias("reference"))
+    plan = bleu.corpus_bleu(df)._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "regexp_replace" not in plan and "split(" not in plan
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 19])
+def test_matches_of_each_pair(monkeypatch, at_once):
+    monkeypatch.setattr(bleu, "BYTES_AT_ONCE", at_once)
+    draw = random.Random(at_once)
+    hyps, refs = ([" ".join(draw.choices("ab.c,", k=draw.randint(0, 12))) for _ in range(60)] for _ in range(2))
+    sides, found = [pa.array(side, pa.string()) for side in (hyps, refs)], []
+    for run in bleu._slices(*sides):
+        words, sizes = numbered_13a(pa.concat_arrays([side[run] for side in sides]))
+        found += bleu._sentence_matches(words, sizes).tolist()
+    wanted = []
+    for pair in zip(hyps, refs, strict=True):
+        tokens = [side.split() for side in pair]
+        grams = [[Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in tokens] for n in range(1, 5)]
+        wanted.append([(ours & theirs).total() for ours, theirs in grams])
+    assert found == wanted
+
+
+def test_bleu_of_bytes_that_are_no_text(spark):
+    broken = F.unhex(F.lit("61FF6220632064")).cast("string")
+    df = spark.range(1).select(F.col("id").alias("idx"), broken.alias("prediction"), broken.alias("reference"))
+    row = bleu.corpus_bleu(df).first()
+    assert row["hyp_len"] == row["ref_len"] == 3 and row["precision3"] == 100.0
+
+
 def test_bleu_of_a_repeated_key(spark):
     df = table(spark, "idx int, prediction string, reference string", (0, "a b c d e", "v w x y z"), (0, "v w x y z", "a b c d e"))
     assert bleu.corpus_bleu(df).first()["bleu"] == 0.0

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,25 @@ def test_tokenize_13a_is_the_published_rules(spark):
     assert found == {i: plain_13a(t) for i, t in enumerate(texts)}
 
 
+def test_numbered_13a_is_the_published_rules(spark):
+    draw = random.Random(6)
+    pieces = [*"a7.,.,.,- '!_|\\]^&<\né。０\r\x1c\x85", "\u3000", "\U0001f600", "&amp;", "lt;", "&quot;", "<skipped>", "-\n", "&am<skipped>p;"]
+    texts = ["", " ", "a..5", ",.7", " a ", *["".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))) for _ in range(4_000)]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.line_13a(F.col("t")).alias("l")).orderBy("i").collect()
+    for kind in (pa.string(), pa.large_string()):
+        numbers, sizes = X.numbered_13a(pa.array([r.l for r in lines], kind))
+        wanted = [plain_13a(t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in wanted]
+        pairs = set(zip(numbers.tolist(), (token for w in wanted for token in w), strict=True))
+        assert len(pairs) == len({n for n, _ in pairs}) == len({token for _, token in pairs})
+
+
+def test_numbered_13a_of_nothing():
+    for lines in ([], [""], ["", "  "]):
+        numbers, sizes = X.numbered_13a(pa.array(lines, pa.string()))
+        assert len(numbers) == 0 and sizes.tolist() == [0] * len(lines)
+
+
 def test_rules_of_13a_search_for_rare_characters_first(spark):
     """Replacements are planned under a condition, and no rule begins at any character."""
     plan = spark.range(1).select(X.tokenize_13a(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
