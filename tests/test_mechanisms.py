@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -94,6 +95,35 @@ def test_a_hot_place_of_a_key_is_many_join_keys(spark):
         assert len(held) == 25 and max(r.n for r in held) < 2 * intervals.SLICE and sum(r.n for r in held) == 5 * n
 
 
+def test_pairs_of_a_hot_place_are_made_in_pieces_and_by_many_tasks(spark, monkeypatch):
+    """The loop that makes pairs is not fused with the join, which would hold a list's rows with all that they meet; lists hold what differs."""
+    monkeypatch.setattr(intervals, "MEMBERS", 300)
+    monkeypatch.setattr(intervals, "PAIRS", 512)
+    sides = [spark.range(n).select(F.when(F.col("id") >= 0, "k").alias("key"), (F.col("id") % 3).alias("start"), F.lit(8).alias("end"), "id") for n in (1_500, 700)]
+    met = intervals.overlap_join(*sides, ["key"], width=8).select("left.id", F.col("right.id").alias("j"), "left.start", F.col("right.end").alias("end"))
+    assert met.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    assert met.distinct().count() == met.count() == 1_500 * 700 and met.filter("start <> id % 3 OR end <> 8").count() == 0
+    met.collect()
+    lines = plan_of(met).split("Initial Plan")[0].splitlines()
+    fused = {name: next(re.search(r"\*\((\d+)\)", x).group(1) for x in lines if name in x) for name in ("Generate inline", "Join [_key")}
+    assert fused["Generate inline"] != fused["Join [_key"]
+    held = intervals._leveled(sides[0], ["key"], ("start", "end"), 8, intervals._shared(sides[0], ["key", "start", "end"]))
+    assert held.schema["_row"].dataType.names == ["id"]
+
+
+def test_rows_of_pairs_are_the_rows_that_came_in(spark):
+    """Equal values that are not the same value, keys of two types, names with dots, and nothing besides key and span."""
+    a = spark.createDataFrame([(0.0, 1, 5, "x"), (-0.0, 1, 5, "y"), (1.0, 2, 3, "z")], "key double, start long, end long, `a.b` string")
+    found = intervals.overlap_join(a, a.select("key", F.col("start").cast("double"), "end"), ["key"], width=4)
+    assert found.schema["left"].dataType.names == a.columns and found.schema["right"].dataType["start"].dataType.simpleString() == "double"
+    rows = sorted((str(r.left.key), r.left["a.b"], str(r.right.key), r.right.start, r.right.end) for r in found.collect())
+    assert rows == [(k, n, other, 1.0, 5) for k, n in (("-0.0", "y"), ("0.0", "x")) for other in ("-0.0", "0.0")] + [("1.0", "z", "1.0", 2.0, 3)]
+    few = spark.createDataFrame([(7, 0, 4), (7, 3, 9)], "key int, start int, end int")
+    pairs = intervals.overlap_join(few, few.select(F.col("key").cast("long"), "start", "end"), ["key"], width=4)
+    assert [pairs.schema[c].dataType["key"].dataType.simpleString() for c in ("left", "right")] == ["int", "bigint"]
+    assert {(r.left.key, r.right.key) for r in pairs.collect()} == {(7, 7)} and pairs.count() == 4
+
+
 def test_frames_at_one_position_meet_a_segment_once(spark):
     """Many sequences under the null key: the totals are those of brute force, from a row for each position and segment."""
     frames = [(None if i % 9 else 1, t, None if (i + t) % 5 == 0 else float(i * t % 13)) for i in range(40) for t in range(30)] + [(2, 0, None)]
